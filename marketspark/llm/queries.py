@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, token_store, url_filter
+from . import jaccard, mixing, packing, quality, substring, token_store, url_filter
 
 #: The rules of the url query: fixed values.
 URL_RULES = (
@@ -50,6 +50,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", "fail_bits")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document: windows of 35 words."""
+    return substring.removal_digests(_read(spark, sf_dir, "documents", "doc_id", "text"), size=35)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, links of every document: three-word shingles, 90 percent."""
     groups = jaccard.link_groups(_read(spark, sf_dir, "documents", "doc_id", "text"), size=3, percent=90)
