@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, substring, token_store, url_filter
+from . import jaccard, license_scan, mixing, packing, quality, substring, token_store, topk, url_filter, warc
 
 #: The rules of the url query: fixed values.
 URL_RULES = (
@@ -37,6 +37,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license, shared, template_size, start of every license text that a document holds."""
+    return license_scan.scan(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     return token_store.encode_and_read_back(_read(spark, sf_dir, "documents", "doc_id", "text"), end_id=2)
@@ -50,6 +55,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", "fail_bits")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the ten best of all vectors for each vec_id divisible by 100."""
+    return topk.top_k(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document: windows of 35 words."""
     return substring.removal_digests(_read(spark, sf_dir, "documents", "doc_id", "text"), size=35)
@@ -61,6 +71,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", "links")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record read back."""
+    back = warc.archive_round_trip(_read(spark, sf_dir, "pages", "page_id", "url", "html"), min_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP1_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -103,11 +119,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
+OP7_SQL = r"""
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id,
+        array_to_string(list_transform(string_split(hex, ''), lambda h: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', h) - 3, 4)), '') AS bits FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: (substr(bits, 5 * k + j + 1, 1) = '1')::INTEGER * (16 >> j)))::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
+
 
 def queries() -> dict:
-    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
-    return found
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op1_url_filter": OP1_SQL, "op6_quality_rules": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op10_warc": OP10_SQL}

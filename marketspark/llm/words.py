@@ -88,20 +88,20 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Block]:
-    """The column's texts in blocks of at most limit bytes, or of one text."""
+def blocks(column: pa.Array, limit: int = 1 << 20, between: np.ndarray = WHITE) -> Iterator[Block]:
+    """The column's texts in blocks of at most limit bytes, or of one text. between: bytes that part words."""
     data, offsets = utf8_parts(column)
     n, first = len(offsets) - 1, 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         last = min(last, n)
         part = data[offsets[first] : offsets[last]]
-        yield _block(first, last, part, offsets[first : last + 1] - offsets[first])
+        yield _block(first, last, part, offsets[first : last + 1] - offsets[first], between)
         first = last
 
 
-def _block(first: int, last: int, data: np.ndarray, offsets: np.ndarray) -> Block:
-    word = ~WHITE[data]
+def _block(first: int, last: int, data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> Block:
+    word = ~between[data]
     begins, closes = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     closes[:-1] &= ~word[1:]
@@ -138,6 +138,3 @@ def rolling_hashes(words: np.ndarray, size: int) -> np.ndarray:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * powers, dtype=np.uint64)])
         return mix((sums[size:] - sums[:n]) * inverse)
 
-
-def strings(values: list, lengths_type=pa.string()) -> pa.Array:
-    return pa.array(values, lengths_type)
