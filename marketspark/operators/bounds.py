@@ -1,0 +1,18 @@
+"""A check of size before a table is sent to every task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast after its rows are counted, up to most; more raise a ValueError."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: this table is meant to be small")
+    return F.broadcast(df)
+
+
+def small_or_shuffled(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has most rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
