@@ -27,7 +27,7 @@ from . import words as W
 from .common import stage
 
 GRAM = 12  # words of an anchor's run
-GROUP_ROWS = 5_000
+GROUP_ROWS = 50_000  # about 20 MB of words
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
