@@ -62,7 +62,7 @@ def script_lint(scripts: DataFrame) -> DataFrame:
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
     index = _matches(lines, ACCESS, 3).withColumnRenamed("g2", "name").join(arrays, ["script_id", "name"]).withColumn("i", F.col("g3").cast("long"))
-    out_of_bounds = index.where((F.col("i") < 0) | (F.col("i") >= F.col("size")))
+    out_of_bounds = index.where(F.col("size").isNotNull() & ((F.col("i") < 0) | (F.col("i") >= F.col("size"))))
     bounds = _diagnostic(out_of_bounds, text("array.", F.col("g1"), "(", F.col("name"), ", ", F.col("i"), ") — index ", F.col("i"), " out of bounds (array size is ", F.col("size"), ")"), "error")
 
     ends = _matches(lines, ENDS, 2).withColumnRenamed("g1", "name").where("name <> 'array'").join(arrays.where("size = 0"), ["script_id", "name"])

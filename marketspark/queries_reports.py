@@ -27,7 +27,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 KEY = "printf('%012d.%03d.%012d', l_orderkey, l_linenumber, l_partkey)"
 TRADES = f"""WITH trades AS (SELECT l_suppkey::VARCHAR AS strategy, CASE WHEN l_linestatus = 'O' THEN 'long' ELSE 'short' END AS side,
   l_shipdate - INTERVAL 1 DAY * l_linenumber AS entry_ts, l_shipdate AS exit_ts, l_quantity AS qty,
-  CAST(l_extendedprice * (l_tax - l_discount) AS DECIMAL(18,2)) AS pnl, {KEY} AS trade_id FROM lineitem)"""
+  CAST(floor(l_extendedprice * (l_tax - l_discount) * 100 + 0.5) / 100 AS DECIMAL(18,2)) AS pnl, {KEY} AS trade_id FROM lineitem)"""
 RATIOS = ("return_pct", "win_rate", "profit_factor", "avg_trade", "avg_win", "avg_loss", "reward_risk", "sharpe")
 METRICS = """count(*) AS total_trades, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, sum(pnl)::DOUBLE AS net_profit,
   sum(pnl)::DOUBLE / 10000 * 100 AS return_pct, count(*) FILTER (pnl > 0) / count(*) AS win_rate,

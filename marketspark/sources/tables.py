@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import js_round
+
 BAR = "symbol string, resolution string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 CANDLE_PAYLOAD = "data array<array<string>>"
 
@@ -34,7 +36,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_shipdate") - F.expr("make_dt_interval(l_linenumber)")).alias("entry_ts"),
         F.col("l_shipdate").alias("exit_ts"),
         F.col("l_quantity").alias("qty"),
-        (F.col("l_extendedprice") * (F.col("l_tax") - F.col("l_discount"))).cast("decimal(18,2)").alias("pnl"),
+        js_round(F.col("l_extendedprice") * (F.col("l_tax") - F.col("l_discount")), 2).cast("decimal(18,2)").alias("pnl"),
         F.format_string("%012d.%03d.%012d", "l_orderkey", "l_linenumber", "l_partkey").alias("trade_id"),
     )
 
