@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 
@@ -111,8 +112,8 @@ def measure(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def ledger(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """df without its text, with MEASURES (long) and fail_bits (long).
+def ledger(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, keep_text: bool = False) -> DataFrame:
+    """df without its text (but for keep_text), with MEASURES (long) and fail_bits (long).
 
     Null and empty texts have no words, so all measures are 0. Columns of df with these
     names are replaced. No shuffle; memory follows the longest text. Rows stay rows:
@@ -124,11 +125,10 @@ def ledger(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = measure(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found)], [*keep, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], *map(pa.array, found)], [*held, *MEASURES])
 
-    schema = df.select(*keep).schema
-    for m in MEASURES:
-        schema = schema.add(m, "long", True)
+    held = [*keep, text] if keep_text else keep
+    schema = T.StructType([*df.select(*held).schema, *(T.StructField(m, T.LongType()) for m in MEASURES)])
     measured = df.select(*keep, F.col(text)).mapInArrow(run, schema)
     bits = F.lit(0).cast("long")
     for r in rules:
@@ -167,10 +167,11 @@ def ablations(entries: DataFrame, version: str = "v1", policies=POLICIES, rules:
 
 
 def quality_filter(df: DataFrame, version: str = "v1", text: str = "text") -> DataFrame:
-    """Rows of df that the policy keeps, with df's columns only.
+    """Rows of df that the policy keeps, with df's columns only; columns named like measures survive.
 
     The text rides along through the measuring tasks, so filtering needs no join.
     """
-    carried = "_text_of_" + "_".join(df.columns)
-    kept = apply_policy(ledger(df.withColumn(carried, F.col(text)), text), version).where("kept")
-    return kept.select(*(F.col(carried).alias(text) if c == text else F.col(c) for c in df.columns))
+    other = {c: f"_own_{k}" for k, c in enumerate(df.columns) if c != text}
+    renamed = df.select(*(F.col(c).alias(other.get(c, c)) for c in df.columns))
+    kept = apply_policy(ledger(renamed, text, keep_text=True), version).where("kept")
+    return kept.select(*(F.col(other.get(c, c)).alias(c) for c in df.columns))
