@@ -30,18 +30,15 @@ def changes_only_batch(df: DataFrame, keys: list[str], payload: list[str], order
     return some.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col("_h"))).drop("_h", "_b")
 
 
-def changes_only(stream: DataFrame, keys: list[str], payload: list[str], order: str, idle_ms: int = 86_400_000) -> DataFrame:
+def changes_only(stream: DataFrame, keys: list[str], payload: list[str], order: str) -> DataFrame:
     """The stream's rows that change their feed's payload, in the order of ``order`` inside each micro-batch.
 
-    State is one number for each key, dropped when the key is idle for idle_ms.
+    State is one number for each key; feeds are bounded by the symbols watched, so it is kept.
     """
     schema = stream.schema
     hashed = stream.withColumn("_h", payload_hash(payload)).where("_h is not null")
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(parts).sort_values(order, kind="stable")
         last = state.get[0] if state.exists else None
         keep = []
@@ -50,10 +47,9 @@ def changes_only(stream: DataFrame, keys: list[str], payload: list[str], order:
             last = h
         if last is not None:
             state.update((int(last),))
-            state.setTimeoutDuration(idle_ms)
         yield rows[keep].drop(columns="_h")
 
-    return hashed.groupBy(*keys).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hashed.groupBy(*keys).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def sample_latest(df: DataFrame, keys: list[str], every_ms: int, values: list[str], tie: str, ts: str = "ts") -> DataFrame:

@@ -11,9 +11,10 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def run(stream, name, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    done = q.awaitTermination(120)
     q.stop()
+    assert done
     return stream.sparkSession.table(name)
 
 
