@@ -191,3 +191,21 @@ def test_rules_and_logs(spark, tmp_path):
     for brief in ("b", "c"):
         files.save_session(new.withColumn("brief", F.lit(brief)), f"file://{tmp_path}/sessions")
     assert [r["brief"] for r in spark.read.parquet(f"file://{tmp_path}/sessions").collect()] == ["c"]
+
+
+def test_renko_bricks(spark):
+    out = B.renko(bars_of(spark, [10, 11, 13, 12, 9.5, 8.9, 12]), 1.0).orderBy("brick_no").collect()
+    assert [(r["open"], r["close"]) for r in out] == [(10, 11), (11, 12), (12, 13), (12, 11), (11, 10), (10, 9), (10, 11), (11, 12)]
+
+
+def test_position_fold_keeps_balances(spark):
+    rows = [("A", "1", at(k), s, p) for k, (s, p) in enumerate([("sell", 5.0), ("buy", 2.0), ("buy", 9.0), ("flat", 1.0), ("sell", 4.0)])]
+    out = G.position_fold(spark.createDataFrame(rows, "symbol string, resolution string, ts timestamp_ntz, signal string, close double")).orderBy("ts").collect()
+    assert [(r["side"], r["size"], r["filled"], r["quote_after"], r["base_after"]) for r in out] == [("buy", 90.0, 45.0, 10.0, 45.0), ("sell", 45.0, 45.0, 190.0, 0.0)]
+
+
+def test_practice_pnl_nets_at_average_cost(spark):
+    bars = bars_of(spark, [10, 12, 13, 9, 20, 8])
+    actions = spark.createDataFrame([("s", "A", at(k), k, a) for k, a in enumerate(["buy", "buy", "sell", "close", "sell", "close"])], "session string, symbol string, ts timestamp_ntz, id int, action string")
+    out = G.practice_pnl(actions, bars).orderBy("id").collect()
+    assert [(r["position"], r["realized_pnl"]) for r in out] == [(1, 0.0), (2, 0.0), (1, 2.0), (0, 0.0), (-1, 0.0), (0, 12.0)]
