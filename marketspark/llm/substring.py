@@ -28,6 +28,8 @@ from .common import stage
 
 GRAM = 12  # words of an anchor's run
 GROUP_ROWS = 50_000  # about 20 MB of words
+HOT_ROWS = 10_000  # rows of one key that a task of a join gets, at least
+HOT_KEYS = 1_000  # keys with more than this part of all rows are split, so there are fewer of them than this
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -190,7 +192,23 @@ def _tree(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[of[low]]), pa.array(b[of[low]]), pa.array(at[low]), pa.array(at[high] + size)], ["a", "b", "low", "high"])
 
 
-def repeated_spans(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text: str = "text", gram: int | None = None, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+def _joined(rows: DataFrame, found: DataFrame, keys: list[str], total: int, least: int, *spread: str) -> DataFrame:
+    """rows joined with found, whose c is each key's number of rows; total: that of all rows.
+
+    Keys of more than least rows are dealt over several tasks by a hash of spread. least is
+    raised with total, so fewer than HOT_KEYS keys are that common and get broadcast.
+    """
+    least = max(least, total // HOT_KEYS)
+    salts = F.ceil(F.col("c") / least).cast("int")  # 1 for keys that are not split
+    hot = found.where(F.col("c") > least).select(*keys, salts.alias("_salts"))
+    salt = F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    return dealt.join(found.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*keys, "_salt"]).drop("_salt", "c")
+
+
+def repeated_spans(
+    df: DataFrame, size: int = 35, doc_id: str = "doc_id", text: str = "text", gram: int | None = None, group_rows: int = GROUP_ROWS, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame]:
     """(rows, spans). Texts with equal hashes a and b are equal.
 
     rows: doc_id, a, b, n_words, all_sha256 of each row of df. spans: for each text that holds
@@ -208,11 +226,13 @@ def repeated_spans(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text:
     classes = stage(classes, "substring-classes")
 
     # Runs at two places or more; copies of a text have theirs at one place.
-    each = rows.select("a", "b", F.explode(F.arrays_zip("grams", "spots")).alias("z")).select("a", "b", F.col("z.grams").alias("gram"), F.col("z.spots").alias("spot"))
+    each = rows.select("doc_id", "a", "b", F.explode(F.arrays_zip("grams", "spots")).alias("z")).select("doc_id", "a", "b", F.col("z.grams").alias("gram"), F.col("z.spots").alias("spot"))
     place = F.xxhash64("a", "b", "spot")
     often = each.select("gram", place.alias("o")).groupBy("gram").agg(F.min("o").alias("o0"), F.max("o").alias("o1"), F.count(F.lit(1)).alias("c"))
-    often = often.where("o0 <> o1").select("gram", (F.col("c") > group_rows).alias("many"))
-    spots = each.select("gram", "a", "spot").join(often, "gram").groupBy("a").agg(F.collect_set(F.when(~F.col("many"), F.col("spot"))).alias("spots"), F.collect_set(F.when(F.col("many"), F.col("spot"))).alias("long_spots"))
+    often = stage(often.where("o0 <> o1").select("gram", "c", (F.col("c") > group_rows).alias("many")), "substring-runs")
+    places = rows.agg(F.sum(F.size("grams"))).first()[0] or 0
+    met = _joined(each.select("gram", "a", "spot", "doc_id"), often, ["gram"], places, hot_rows, "doc_id", "spot")
+    spots = met.groupBy("a").agg(F.collect_set(F.when(~F.col("many"), F.col("spot"))).alias("spots"), F.collect_set(F.when(F.col("many"), F.col("spot"))).alias("long_spots"))
     wanted = classes.join(spots, "a").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "low_id", "spots", "long_spots")
     texts = docs.join(wanted, (docs["a"] == F.col("_a")) & (docs["b"] == F.col("_b")) & docs["doc_id"].eqNullSafe(F.col("low_id")))
     texts = stage(texts.select("a", "b", "text", "spots", "long_spots"), "substring-texts")
@@ -220,8 +240,11 @@ def repeated_spans(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text:
     segments = stage(texts.mapInArrow(_segments_of(size, gram), SEGMENT), "substring-segments")
     inside = segments.where("gram is not null").repartition("gram").sortWithinPartitions("gram").mapInArrow(_trees_of(size), "a long, b long, low long, high long")
     windows = segments.where("gram is null").select("w1", "w2", "a", "b", "start")
-    nodes = windows.groupBy("w1", "w2").agg(F.min(F.xxhash64("a", "b", "start")).alias("o0"), F.max(F.xxhash64("a", "b", "start")).alias("o1")).where("o0 <> o1")
-    counted = windows.join(nodes.select("w1", "w2"), ["w1", "w2"]).select("a", "b", F.col("start").alias("low"), (F.col("start") + size).alias("high"))
+    leaf = F.xxhash64("a", "b", "start")
+    nodes = windows.groupBy("w1", "w2").agg(F.min(leaf).alias("o0"), F.max(leaf).alias("o1"), F.count(F.lit(1)).alias("c")).where("o0 <> o1")
+    nodes = stage(nodes.select("w1", "w2", "c"), "substring-nodes")
+    counted = _joined(windows, nodes, ["w1", "w2"], windows.count(), hot_rows, "a", "b", "start")
+    counted = counted.select("a", "b", F.col("start").alias("low"), (F.col("start") + size).alias("high"))
     found = inside.unionByName(counted).groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("found"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_words").alias("high")))
     spans = classes.join(found, ["a", "b"], "left").select("a", "b", "copies", F.when(F.col("copies") > 1, whole).otherwise(F.col("found")).alias("spans"))

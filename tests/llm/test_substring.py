@@ -53,6 +53,15 @@ def test_same_as_counting_all_windows(spark, size, gram, group_rows, seed):
     assert sorted(map(tuple, got.collect())) == sorted(brute(rows, size))
 
 
+@pytest.mark.parametrize("group_rows", [5000, 3])
+def test_common_runs_dealt_over_tasks(spark, group_rows):
+    shared = " ".join(f"s{k}" for k in range(50))
+    rows = made(60, 5) + [(1_000 + k, f"{shared} own{k % 30}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring.removal_digests(df, 35, group_rows=group_rows, hot_rows=4)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 35))
+
+
 def test_nulls_empty_long_and_repeated_rows(spark):
     long = " ".join(f"é{k}" for k in range(40_000))
     shared = " ".join(f"s{k}" for k in range(40))
