@@ -109,15 +109,24 @@ def zone_touch(bars: DataFrame, zones: DataFrame) -> DataFrame:
     return bars.join(zones, "symbol").where((F.col("low") <= F.col("zone_high")) & (F.col("high") >= F.col("zone_low")))
 
 
-def eval_alerts(bars: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Active alerts with fired_ts: the first bar, from created to expiration, that meets the condition; null if none does."""
-    seen = bars.withColumn("_before", F.lag("close").over(bar_window())).select("symbol", "ts", "close", "_before")
+def eval_alerts(bars: DataFrame, alerts: DataFrame, span_seconds: int = 86_400) -> DataFrame:
+    """Active alerts with fired_ts: the first bar, from created to expiration, that meets the condition; null if none does.
+
+    Time is cut into spans, so the join is an equality on symbol and span; an alert takes part
+    in those from its creation to its expiration, or to its symbol's last bar if that is earlier.
+    """
+    span = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / span_seconds)
+    seen = bars.withColumn("_before", F.lag("close").over(bar_window())).select("symbol", "ts", "close", "_before", span("ts").alias("_span"))
+    newest = bars.groupBy("symbol").agg(F.max("ts").alias("_newest"))
     p = F.col("price")
     crossed = ((F.col("_before") < p) & (F.col("close") >= p)) | ((F.col("_before") > p) & (F.col("close") <= p))
     meets = F.when(F.col("condition") == "crossing", crossed).when(F.col("condition") == "greater_than", F.col("close") > p).when(F.col("condition") == "less_than", F.col("close") < p)
     inside = (F.col("ts") >= F.col("created")) & (F.col("expiration").isNull() | (F.col("ts") <= F.col("expiration")))
     active = alerts.where("active")
-    fired = active.join(seen, "symbol").where(meets & inside).groupBy("alert_id").agg(F.min("ts").alias("fired_ts"))
+    # Alerts created after the last bar meet none; for them sequence would count down.
+    lasting = active.join(newest, "symbol").where(F.col("created") <= F.col("_newest")).withColumn("_until", F.least("_newest", "expiration"))
+    lasting = lasting.where(F.col("_until") >= F.col("created")).withColumn("_span", F.explode(F.sequence(span("created"), span("_until"))))
+    fired = lasting.join(seen, ["symbol", "_span"]).where(meets & inside).groupBy("alert_id").agg(F.min("ts").alias("fired_ts"))
     return active.join(fired, "alert_id", "left")
 
 

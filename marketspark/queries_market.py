@@ -214,6 +214,17 @@ def around_date(spark, d):
     return M.around_date(hourly(spark, d), anchors, 3600).select("symbol", "anchor_ts", "ts", "close")
 
 
+@query(
+    "flt8_around_date_all",
+    f"""{BARS} SELECT a.symbol, a.ts AS anchor_ts, b.ts, close FROM bars b JOIN ticks a ON a.symbol = b.symbol
+WHERE abs(floor(epoch(b.ts)) - floor(epoch(a.ts))) <= 90000""",
+)
+def around_date_all(spark, d):
+    """Every tick is an anchor."""
+    anchors = T.ticks(spark, d).select("symbol", F.col("ts").alias("anchor_ts"))
+    return M.around_date(hourly(spark, d), anchors, 3600).select("symbol", "anchor_ts", "ts", "close")
+
+
 @query(
     "jn1_watchlist_scan",
     f"""{BARS}, {SYMBOLS}, {LATEST} SELECT s.symbol, resolution, ts, open, high, low, close, volume, CASE WHEN close IS NULL THEN 'no bars' END AS error
@@ -340,12 +351,28 @@ f AS (SELECT alert_id, min(b.ts) AS fired_ts FROM a JOIN b ON a.symbol = b.symbo
 SELECT a.alert_id, a.symbol, condition, price, fired_ts FROM a LEFT JOIN f ON a.alert_id = f.alert_id""",
 )
 def eval_alerts(spark, d):
-    t = T.ticks(spark, d).where(F.col("id") % 100 == 5)
-    kind = F.when(F.col("id") % 3 == 0, "crossing").when(F.col("id") % 3 == 1, "greater_than").otherwise("less_than")
-    alerts = t.select(F.col("id").alias("alert_id"), "symbol", "price", F.col("ts").alias("created"), (F.col("ts") + F.expr("INTERVAL '3' DAY")).alias("expiration"), kind.alias("condition"), (F.col("id") % 7 != 0).alias("active"))
+    alerts = _alerts(T.ticks(spark, d).where(F.col("id") % 100 == 5)).withColumn("active", F.col("alert_id") % 7 != 0)
     return M.eval_alerts(hourly(spark, d), alerts).select("alert_id", "symbol", "condition", "price", "fired_ts")
 
 
+def _alerts(t: DataFrame) -> DataFrame:
+    kind = F.when(F.col("id") % 3 == 0, "crossing").when(F.col("id") % 3 == 1, "greater_than").otherwise("less_than")
+    return t.select(F.col("id").alias("alert_id"), "symbol", "price", F.col("ts").alias("created"), (F.col("ts") + F.expr("INTERVAL '3' DAY")).alias("expiration"), kind.alias("condition"), F.lit(True).alias("active"))
+
+
+@query(
+    "jn10_eval_alerts_all",
+    f"""{BARS}, a AS (SELECT id AS alert_id, symbol, price, ts AS created, ts + INTERVAL '3 days' AS expiration, CASE id % 3 WHEN 0 THEN 'crossing' WHEN 1 THEN 'greater_than' ELSE 'less_than' END AS condition FROM ticks),
+b AS (SELECT symbol, ts, close, lag(close) OVER ({W}) AS prev FROM bars),
+f AS (SELECT alert_id, min(b.ts) AS fired_ts FROM a JOIN b ON a.symbol = b.symbol WHERE b.ts >= created AND b.ts <= expiration AND CASE condition
+  WHEN 'crossing' THEN (prev < price AND close >= price) OR (prev > price AND close <= price) WHEN 'greater_than' THEN close > price ELSE close < price END GROUP BY 1)
+SELECT a.alert_id, a.symbol, condition, price, fired_ts FROM a LEFT JOIN f ON a.alert_id = f.alert_id""",
+)
+def eval_alerts_all(spark, d):
+    """Every tick is an active alert."""
+    return M.eval_alerts(hourly(spark, d), _alerts(T.ticks(spark, d))).select("alert_id", "symbol", "condition", "price", "fired_ts")
+
+
 @query(
     "jn11_pair_correlation",
     f"""{BARS}, r AS (SELECT symbol, resolution, ts, (close - p) / nullif(p, 0) AS ret FROM (SELECT *, lag(close) OVER ({W}) AS p FROM bars)), s AS (SELECT * FROM r WHERE ret IS NOT NULL)
