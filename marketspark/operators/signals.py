@@ -5,11 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bars import KEY, bar_window
 from .indicators import ema, pct_change, rolling_vwap, rsi_simple, rsi_wilder
 from .matching import asof_join
+from .recurrence import linrec
 
 NO_SIGNAL = "no signal — conditions not met"
 
@@ -122,32 +122,41 @@ def time_exit(trades: DataFrame, key: str = "symbol", order: tuple[str, ...] = (
     return trades.withColumns({"exit_ts": F.lead("ts").over(w), "exit_price": F.lead("price").over(w)})
 
 
-def practice_pnl(actions: DataFrame, bars: DataFrame) -> DataFrame:
+def practice_pnl(actions: DataFrame, bars: DataFrame, chunk_rows: int = 50_000) -> DataFrame:
     """actions (session, symbol, ts, id, action) priced as of their time, with position and realized_pnl so far.
 
     Buys and sells are of one unit, close goes to none; the average cost decides what a
-    reduction realizes, and crossing zero realizes first and then opens anew.
+    reduction realizes. Positions and sums are windows, costs are folded in chunks of
+    chunk_rows, so no session is held in memory as a whole.
     """
     priced = asof_join(actions, bars.select("symbol", F.col("ts").alias("bar_ts"), F.col("close").alias("price")), "symbol", "ts", "bar_ts", ["price"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"], kind="stable")
-        position, cost, realized, out = 0, 0.0, 0.0, []
-        for action, price in zip(pdf["action"], pdf["price"], strict=True):
-            step = {"buy": 1, "sell": -1}.get(action, -position)
-            if price is not None and price == price:
-                if position * step >= 0:
-                    cost = (cost * abs(position) + price * abs(step)) / max(1, abs(position) + abs(step))
-                else:
-                    sign = 1 if position > 0 else -1
-                    realized += sign * min(abs(step), abs(position)) * (price - cost)
-                    if abs(step) > abs(position):
-                        cost = price
-                position += step
-            out.append((position, realized))
-        return pdf.assign(position=[p for p, _ in out], realized_pnl=[r for _, r in out])
-
-    return priced.groupBy("session", "symbol").applyInPandas(run, T.StructType([*priced.schema, T.StructField("position", T.LongType()), T.StructField("realized_pnl", T.DoubleType())]))
+    columns = priced.columns
+
+    # Text keys, as joins on them must also find rows without a session or symbol.
+    for name in ("session", "symbol"):
+        priced = priced.withColumn(f"_{name}", F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")))
+    keys = ("_session", "_symbol")
+    unit = F.coalesce(F.when(F.col("action") == "buy", 1).when(F.col("action") == "sell", -1), F.lit(0))
+    valid = F.col("price").isNotNull() & ~F.isnan("price")
+    steps = priced.withColumns({"_step": F.when(valid, unit).otherwise(0).cast("long"), "_closes": valid & (unit == 0)})
+    steps = steps.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "id")).cast("long"))
+
+    # A priced close leaves no position, so positions are sums within a segment from one close to the next.
+    ordered = Window.partitionBy(*keys).orderBy("_n")
+    segment = F.coalesce(F.sum(F.col("_closes").cast("long")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = Window.partitionBy(*keys, "_segment").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    held = steps.withColumn("_segment", segment).withColumn("_sum", F.sum("_step").over(within))
+    held = held.withColumns({"_before": F.col("_sum") - F.col("_step"), "position": F.when(F.col("_closes"), 0).otherwise(F.col("_sum")).cast("long")})
+
+    # With steps of one unit a position passes through zero, where the average cost starts anew: a linear recurrence.
+    before = F.col("_before")
+    opens = (F.col("_step") != 0) & (before * F.col("_step") >= 0)
+    factor = F.when(opens, F.abs(before) / (F.abs(before) + 1)).otherwise(1.0)
+    costs = linrec(held, [(factor, F.when(opens, F.col("price") / (F.abs(before) + 1)).otherwise(0.0), "_cost")], chunk=F.floor(F.col("_n") / chunk_rows), keys=keys, order="_n")
+    reduces = (before != 0) & (F.col("_closes") | ((F.col("_step") != 0) & ~opens))
+    gain = F.when(reduces, F.signum(before) * F.when(F.col("_closes"), F.abs(before)).otherwise(1) * (F.col("price") - F.col("_cost"))).otherwise(0.0)
+    realized = costs.withColumn("realized_pnl", F.sum(gain).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    return realized.select(*columns, "position", "realized_pnl")
 
 
 def order_outcome(log: DataFrame, coin: str = "XRP") -> DataFrame:

@@ -600,7 +600,7 @@ def time_exit(spark, d):
 
 @query("sig9_practice_pnl")
 def practice_pnl(spark, d):
-    t = T.ticks(spark, d, "user_id").where(F.col("id") % 3 == 0)
+    t = T.ticks(spark, d, "user_id")
     action = F.when(F.col("id") % 5 < 2, "buy").when(F.col("id") % 5 < 4, "sell").otherwise("close")
     actions = t.select(F.col("symbol").alias("session"), "symbol", "ts", "id", action.alias("action"))
     return G.practice_pnl(actions, B.build_bars(T.ticks(spark, d, "user_id"), "240"))

@@ -3,8 +3,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
-
 from marketspark import queries
 from marketspark.operators import matching as M
 from marketspark.operators import signals as G
@@ -65,3 +63,47 @@ def test_alerts_meet_bars_by_span_and_may_never_expire(spark):
     )
     assert {r["alert_id"]: r["fired_ts"] for r in out.collect()} == {a[0]: fired(a[5], a[2], a[3], a[4], series) for a in alerts if a[6]}
     assert "_span" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def practised(actions):
+    """(position, realized) after each (action, price), by a plain fold."""
+    position, cost, realized, out = 0, 0.0, 0.0, []
+    for action, price in actions:
+        step = {"buy": 1, "sell": -1}.get(action, -position)
+        if price is not None and price == price:
+            if position * step >= 0:
+                cost = (cost * abs(position) + price * abs(step)) / max(1, abs(position) + abs(step))
+            else:
+                realized += (1 if position > 0 else -1) * min(abs(step), abs(position)) * (price - cost)
+            position += step
+        out.append((position, realized))
+    return out
+
+
+def test_practice_takes_every_event_and_splits_long_sessions(spark, tmp_path):
+    rows = events(spark, tmp_path, 200)
+    got = queries.queries()["sig9_practice_pnl"](spark, str(tmp_path)).collect()
+    assert sorted(r["id"] for r in got) == sorted(r[0] for r in rows)
+
+    rng = random.Random(6)
+    bars, actions = [], []
+    for s in "AB":
+        bars += [(s, T0 + k * HOUR, rng.choice([None, float("nan"), 10 * rng.random(), 10 * rng.random(), 10 * rng.random()])) for k in range(100)]
+    for n, (session, symbol) in enumerate([("s", "A"), ("s", "B"), (None, "A"), ("long", "B")]):
+        # The long session never closes.
+        kinds = ["buy", "sell"] if session == "long" else ["buy", "buy", "sell", "close", None]
+        actions += [(session, symbol, T0 - HOUR + dt.timedelta(minutes=20 * k), 1000 * n + k, rng.choice(kinds)) for k in range(300)]
+    out = G.practice_pnl(
+        spark.createDataFrame(actions, "session string, symbol string, ts timestamp_ntz, id int, action string"),
+        spark.createDataFrame(bars, "symbol string, ts timestamp_ntz, close double"),
+        chunk_rows=37,
+    )
+    assert out.columns == ["session", "symbol", "ts", "id", "action", "price", "position", "realized_pnl"]
+    got = {}
+    for r in out.orderBy("id").collect():
+        got.setdefault((r["session"], r["symbol"]), []).append(r)
+    assert len(got) == 4
+    for found in got.values():
+        want = practised([(r["action"], r["price"]) for r in found])
+        assert [r["position"] for r in found] == [p for p, _ in want]
+        assert max(abs(r["realized_pnl"] - x) for r, (_, x) in zip(found, want, strict=True)) < 1e-6
