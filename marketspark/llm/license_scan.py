@@ -13,6 +13,7 @@ template's distinct shingles in one window.
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -41,6 +42,38 @@ TEMPLATES = {
     "BSD-2-Clause-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+def _gnu(program: str, name: str, version: str) -> str:
+    return f"This {program} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+
+
+_GPL, _LGPL, _AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_2 = " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_LEADS = ("licensed under the", "released under the", "distributed under the", "available under the", "under the terms of the")
+
+#: License to phrasings, each with the words that tell it from its siblings: all of them must be in the window.
+LICENSES: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
+    **{n: ((TEMPLATES[n], ()),) for n in ("Apache-2.0-notice", "MIT-notice", "MPL-2.0-notice")},
+    "Apache-2.0": tuple((f"{lead} Apache License, Version 2.0", ("version 2 0",)) for lead in _LEADS),
+    "MIT": tuple((f"{lead} MIT License", ("mit license",)) for lead in _LEADS),
+    "ISC": tuple((f"{lead} ISC License", ("isc license",)) for lead in _LEADS),
+    "ISC-notice": (("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ()),),
+    "CC-BY-NC-4.0": ((TEMPLATES["CC-BY-NC-4.0"], ("nc 4 0",)), ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("attribution noncommercial 4 0",))),
+    "CC-BY-4.0": ((TEMPLATES["CC-BY-4.0"], ("attribution 4 0",)), ("Licensed under CC BY 4.0", ("by 4 0",))),
+    # The opening is the same in both licenses of this family; the clauses tell which.
+    "BSD-notice": ((_BSD, ()),),
+    "BSD-2-Clause-notice": ((f"{_BSD}: {_BSD_2} THIS SOFTWARE IS PROVIDED", ("the distribution this software is",)),),
+    "BSD-3-Clause-notice": ((_BSD_3, ("nor the names of",)),),
+    **{
+        f"{short}-{version}": tuple((f"{lead} GNU {name}{comma} {version[0] if version.endswith('.0') else version}", (f"gnu {name}".lower(), f"{comma.strip(', ')} {version[0] if version.endswith('.0') else version}".replace(".", " "))) for lead in _LEADS for comma in (", version", " v"))
+        for short, name, version in (("GPL", _GPL, "2.0"), ("GPL", _GPL, "3.0"), ("LGPL", _LGPL, "2.1"), ("LGPL", _LGPL, "3.0"), ("AGPL", _AGPL, "3.0"))
+    },
+    **{
+        f"{short}-{version}-notice": tuple((_gnu(program, name, number), (f"{'gnu ' * (name == _GPL)}{name} as".lower(), f"version {number.replace('.', ' ')} of")) for program in ("program", "library"))
+        for short, name, version, number in (("GPL", _GPL, "2.0", "2"), ("GPL", _GPL, "3.0", "3"), ("LGPL", _LGPL, "2.1", "2.1"), ("LGPL", _LGPL, "3.0", "3"), ("AGPL", _AGPL, "3.0", "3"))
+    },
+}
 RESULT = "license string, shared long, template_size long, start long"
 
 
@@ -56,10 +89,11 @@ def shingles(text: str) -> np.ndarray:
 class Index:
     """Templates by class, with what each band holds of them."""
 
-    def __init__(self, templates: dict[str, str], percent: int):
+    def __init__(self, templates: dict[str, str], percent: int, telling: dict[str, tuple[str, ...]] | None = None):
         self.percent = percent
         self.names = sorted(templates)
         self.sets = [shingles(templates[n]) for n in self.names]
+        self.telling = [_telling(templates[n], (telling or {}).get(n, ())) for n in self.names]
         short = [n for n in self.names if len(_words(templates[n])) < SHINGLE]
         if short:
             raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
@@ -104,29 +138,54 @@ class Index:
         for half, w, k in candidates:
             window = np.unique(hashes[w * half : (w + 2) * half])
             shared = len(np.intersect1d(window, self.sets[k], assume_unique=True))
-            if 100 * shared >= self.percent * len(self.sets[k]):
+            if 100 * shared >= self.percent * len(self.sets[k]) and all(np.isin(t, window).any() for t in self.telling[k]):
                 best[k] = max(best.get(k, (0, 0)), (shared, -w * half))
         return {k: (n, -at) for k, (n, at) in best.items()}
 
 
+def _telling(text: str, phrases: tuple[str, ...]) -> list[np.ndarray]:
+    """For each phrase the shingles of the template that hold it: a window needs one of each."""
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    out = []
+    for phrase in phrases:
+        runs = [" ".join(words[k : k + SHINGLE]) for k in range(len(words) - SHINGLE + 1)]
+        held = [r for r in runs if f" {phrase} " in f" {r} "]
+        if not held:
+            raise ValueError(f"no shingle of {text!r} holds {phrase!r}")
+        out.append(np.concatenate([shingles(r) for r in held]))
+    return out
+
+
+def scan_licenses(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As scan, for LICENSES: a row for each license that a text holds, of its best phrasing.
+
+    A phrasing counts only in windows that hold its telling words whole.
+    """
+    named = {f"{name}\n{k:03d}": phrasing for name, phrasings in LICENSES.items() for k, (phrasing, _) in enumerate(phrasings)}
+    telling = {f"{name}\n{k:03d}": words for name, phrasings in LICENSES.items() for k, (_, words) in enumerate(phrasings)}
+    return scan(df, named, percent, doc_id, text, telling=telling)
+
+
 def _words(text: str) -> list:
     (block,) = W.blocks(pa.array([text], pa.string()), 1 << 40, BETWEEN)
     return block.starts.tolist()
 
 
-def scan(df: DataFrame, templates: dict[str, str] | None = None, percent: int = 80, doc_id: str = "doc_id", text: str = "text", most_templates: int = 10_000) -> DataFrame:
+def scan(df: DataFrame, templates: dict[str, str] | None = None, percent: int = 80, doc_id: str = "doc_id", text: str = "text", most_templates: int = 10_000, telling: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, license, shared, template_size, start: a row for each template that a text holds.
 
     shared: distinct shingles of the template in the best window; start: number of that
     window's first word. Null, empty and short texts hold nothing. Repeated rows each give
     their rows; further columns are ignored. Templates go to every task, so their number is
-    bounded; more raise a ValueError. No shuffle.
+    bounded; more raise a ValueError. telling: phrases that a template's window must hold.
+    Templates whose names differ only after a line feed are phrasings of one license, and
+    the one of the largest share is reported. No shuffle.
     """
     templates = TEMPLATES if templates is None else templates
     if len(templates) > most_templates:
         raise ValueError(f"more than {most_templates} templates")
-    shared = df.sparkSession.sparkContext.broadcast((dict(templates), percent))
-    Index(templates, percent)  # a bad template fails here, not in a task
+    shared = df.sparkSession.sparkContext.broadcast((dict(templates), percent, telling))
+    Index(templates, percent, telling)  # a bad template fails here, not in a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
@@ -137,9 +196,14 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, percent: int =
                 # All texts at once; a window that reaches into the next text is counted anew below.
                 for row, hits in _by_text(index, windows, b):
                     first, last = b.word_offsets[row], b.word_offsets[row + 1] - SHINGLE + 1
+                    best: dict[str, tuple[int, int, int]] = {}
                     for k, (n, at) in sorted(index.matches(windows[first:last], hits).items()):
+                        name, size = index.names[k].split("\n")[0], len(index.sets[k])
+                        if name not in best or n * best[name][1] > best[name][0] * size:
+                            best[name] = (n, size, at)
+                    for name, found in best.items():
                         rows.append(b.first + row)
-                        out.append((index.names[k], n, len(index.sets[k]), at))
+                        out.append((name, *found))
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([o[0] for o in out], pa.string()), *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "license", "shared", "template_size", "start"])
 

@@ -39,7 +39,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, license, shared, template_size, start of every license text that a document holds."""
-    return license_scan.scan(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
