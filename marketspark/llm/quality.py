@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from . import words as W
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Lines with a word, for later rules; not among MEASURES, which op6 gives out.
+MORE_MEASURES = (*MEASURES, "n_lines")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -49,14 +51,21 @@ RULES = (
     Rule(6, "many_words", lambda: F.col("n_words") > 100_000),
     Rule(7, "hardly_any_words", lambda: F.col("n_words") < 3),
     Rule(8, "repeated_windows_of_many", lambda: (F.col("n_words") >= 50) & _share("n_repeat_words", "n_words", 50)),
+    # A share alone would reject clean texts of a few lines of which two are equal.
+    Rule(9, "repeated_line_share", lambda: (F.col("n_dup_lines") > 3) & _share("n_dup_lines", "n_lines", 30)),
 )
+#: The rules whose bits op6 gives out; its SQL has these.
+FIRST_RULES = RULES[:9]
 #: Version to the rules that reject; a version is never edited, only added to.
 POLICIES = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "short_words", "long_words", "symbols", "repeated_lines", "many_words"),
     # Short texts may be clean: this one rejects junk of any length, and nothing for being short.
-    "corpus": ("hardly_any_words", "repeated_windows_of_many", "symbols", "repeated_lines"),
+    # Nor for being long: repeated lines count by their share.
+    "corpus": ("hardly_any_words", "repeated_windows_of_many", "symbols", "repeated_line_share"),
 }
+#: v1 without rejecting texts for their length alone; for apply_policy's policies.
+LATER_POLICIES = {"v2": ("few_words", "repeated_windows", "short_words", "long_words", "symbols", "repeated_line_share")}
 
 
 def mask_of(names, rules: tuple[Rule, ...] = RULES) -> int:
@@ -89,9 +98,9 @@ def _repeats(ids: np.ndarray) -> int:
 
 
 def measure(column: pa.Array) -> list[np.ndarray]:
-    """MEASURES of each text."""
+    """MORE_MEASURES of each text."""
     rows = len(column)
-    out = [np.zeros(rows, np.int64) for _ in MEASURES]
+    out = [np.zeros(rows, np.int64) for _ in MORE_MEASURES]
     for b in W.blocks(column):
         span = slice(b.first, b.last)
         counts = b.counts()
@@ -101,10 +110,12 @@ def measure(column: pa.Array) -> list[np.ndarray]:
         symbols = np.concatenate([[0], np.cumsum(SYMBOLS[b.data])])
         out[2][span] = symbols[b.offsets[1:]] - symbols[b.offsets[:-1]]
         raw = b.data.tobytes()
+        out[5][span] = counts > 0  # texts of one word
         for k in np.flatnonzero(counts > 1).tolist():
             text = raw[b.offsets[k] : b.offsets[k + 1]]
             lines = [x for x in text.split(b"\n") if x.strip()]
             out[3][b.first + k] = len(lines) - len(set(lines))
+            out[5][b.first + k] = len(lines)
             if counts[k] > 3:
                 ids: dict[bytes, int] = {}
                 found = [ids.setdefault(w, len(ids)) for w in text.split()]
@@ -113,22 +124,22 @@ def measure(column: pa.Array) -> list[np.ndarray]:
 
 
 def ledger(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, keep_text: bool = False) -> DataFrame:
-    """df without its text (but for keep_text), with MEASURES (long) and fail_bits (long).
+    """df without its text (but for keep_text), with MORE_MEASURES (long) and fail_bits (long).
 
     Null and empty texts have no words, so all measures are 0. Columns of df with these
     names are replaced. No shuffle; memory follows the longest text. Rows stay rows:
     repeated rows are each judged.
     """
-    names = [*MEASURES, "fail_bits"]
+    names = [*MORE_MEASURES, "fail_bits"]
     keep = [c for c in df.columns if c not in (text, *names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = measure(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], *map(pa.array, found)], [*held, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], *map(pa.array, found)], [*held, *MORE_MEASURES])
 
     held = [*keep, text] if keep_text else keep
-    schema = T.StructType([*df.select(*held).schema, *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    schema = T.StructType([*df.select(*held).schema, *(T.StructField(m, T.LongType()) for m in MORE_MEASURES)])
     measured = df.select(*keep, F.col(text)).mapInArrow(run, schema)
     bits = F.lit(0).cast("long")
     for r in rules:

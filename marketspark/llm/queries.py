@@ -49,7 +49,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, measures, base_failed, kept, fail_bits of every document."""
-    entries = quality.ledger(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    entries = quality.ledger(_read(spark, sf_dir, "documents", "doc_id", "text"), rules=quality.FIRST_RULES)
     base = F.lit(quality.mask_of(quality.POLICIES["base"])).cast("long")
     judged = quality.apply_policy(entries, "v1").withColumn("base_failed", F.col("fail_bits").bitwiseAND(base) != 0)
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", "fail_bits")
