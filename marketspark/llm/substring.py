@@ -2,14 +2,23 @@
 
 Every window of ``size`` words owns one anchor: its k-word run of least hash, the leftmost of
 several. Equal windows own equal runs at the same place, so a window whose anchor's run occurs
-once is itself unique, and only suffixes around anchors that occur more than once go on.
-
-These suffixes are dealt by the anchor's run, their common prefix. Groups that fit in memory
-are built into suffix trees level by level: the nodes of depth 2d are the pairs of nodes of
-depth d that follow one another, up to the depth of a window, where a node with two leaves
-is a repeat. For a group beyond ``group_rows`` the prefix is made longer, up to the window
-itself; what then shares a prefix is a node of that depth, and counting its leaves with
-partial sums is all that is left, so no group is held whole.
+once is itself unique, and only stretches of words around anchors that occur more than once go
+on: those of the windows of one anchor.
+
+The suffixes of these stretches are dealt by a prefix that they have in common, the anchor's
+run at first. A group of at most ``group_rows`` stretches is built into a suffix tree in
+memory. In a larger group equal stretches are first taken together: all their windows
+repeat, and one of them stands for them. If the group is still too large, its prefix is made
+longer: a window holds either the next words before its prefix or those behind it, so each
+stretch is split into the windows that begin further left and those that reach further
+right, half of what is missing to ``size`` words each time. These parts are shorter, so more
+of them are equal, and at the length of a window all of a group are. So groups get small
+within a logarithm of steps, nothing is a row for each window, and no group is held whole
+that doesn't fit.
+
+A tree is its leaves in the order of their suffixes and, between neighbours, the depth of
+their lowest common internal node. A leaf under an internal node of ``size`` words or more
+begins a repeat of that node's depth, as long as it can be.
 """
 
 from __future__ import annotations
@@ -24,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import stage
+from .common import Scratch, new_names, stage
 
 GRAM = 12  # words of an anchor's run
-GROUP_ROWS = 50_000  # about 20 MB of words
+GROUP_ROWS = 5_000  # about 2 MB of words
 HOT_ROWS = 10_000  # rows of one key that a task of a join gets, at least
 HOT_KEYS = 1_000  # keys with more than this part of all rows are split, so there are fewer of them than this
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -84,11 +93,15 @@ def _index_of(size: int, gram: int):
     return run
 
 
-def _segments_of(size: int, gram: int):
-    """(a, b, text, spots, long_spots) to the stretches of words around the anchors at these spots.
+STRETCH = "key long, a long, b long, start long, words int, at int, part string"
+NAMES = [c.split()[0] for c in STRETCH.split(", ")]
 
-    A row for each anchor in spots: gram, a, b, start (its first window), part (the words' bytes).
-    For those in long_spots, a row for each window: w1, w2 (hashes of its words), a, b, start.
+
+def _stretches_of(size: int, gram: int):
+    """(a, b, text, spots) to the stretches of words around the anchors at these spots.
+
+    A row for each anchor in spots: key (of its run), a, b, start (its first window), words,
+    at (its place in the stretch), part (the words, joined by one space).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,45 +110,57 @@ def _segments_of(size: int, gram: int):
                 runs, first, anchor = anchors(b, size, gram)
                 rows = np.arange(b.first, b.last)
                 text = np.searchsorted(b.word_offsets, anchor, "right") - 1
-                wanted = [np.zeros(len(b.starts) + 1, bool) for _ in range(2)]
-                for k, name in enumerate(("spots", "long_spots")):
-                    lists = batch.column(batch.schema.get_field_index(name)).slice(b.first, len(rows))
-                    flat = lists.flatten().to_numpy(zero_copy_only=False)
-                    of = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-                    # Texts that share a hash by chance may be shorter: such spots are beyond them.
-                    inside = flat < b.counts()[of]
-                    wanted[k][(b.word_offsets[:-1][of] + flat)[inside]] = True
+                wanted = np.zeros(len(b.starts) + 1, bool)
+                lists = batch.column(3).slice(b.first, len(rows))
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                of = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+                # Texts that share a hash by chance may be shorter: such spots are beyond them.
+                inside = flat < b.counts()[of]
+                wanted[(b.word_offsets[:-1][of] + flat)[inside]] = True
                 a, bb = (batch.column(k).to_numpy()[b.first : b.last] for k in (0, 1))
                 raw = b.data.tobytes()
-                hit = np.flatnonzero(wanted[0][anchor])
+                hit = np.flatnonzero(wanted[anchor])
+                if not len(hit):
+                    continue
                 # Windows of one anchor follow one another.
-                begin = hit[np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(anchor[hit]) != 0)])] if len(hit) else hit
-                last = hit[np.concatenate([(np.diff(hit) > 1) | (np.diff(anchor[hit]) != 0), [True]])] if len(hit) else hit
+                new = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(anchor[hit]) != 0)])
+                begin, last = hit[new], hit[np.append(new[1:], True)]
                 low, high = b.starts[first[begin]], b.ends[first[last] + size - 1]
-                parts = pa.array([raw[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
-                if len(begin):
-                    none = pa.nulls(len(begin), pa.int64())
-                    yield _rows(runs[anchor[begin]].view(np.int64), none, none, a[text[begin]], bb[text[begin]], first[begin] - b.word_offsets[text[begin]], parts)
-                hit = np.flatnonzero(wanted[1][anchor])
-                if len(hit):
-                    words = b.hashes()
-                    w1 = W.rolling_hashes(words, size)[first[hit]].view(np.int64)
-                    w2 = W.rolling_hashes(W.mix(words ^ W.MULTIPLIERS[4]), size)[first[hit]].view(np.int64)
-                    none = pa.nulls(len(hit), pa.int64())
-                    yield _rows(none, w1, w2, a[text[hit]], bb[text[hit]], first[hit] - b.word_offsets[text[hit]], pa.nulls(len(hit), pa.binary()))
+                parts = [b" ".join(raw[x:y].split()) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+                columns = [
+                    runs[anchor[begin]].view(np.int64), a[text[begin]], bb[text[begin]], first[begin] - b.word_offsets[text[begin]],
+                    (first[last] + size - first[begin]).astype(np.int32), (anchor[begin] - first[begin]).astype(np.int32),
+                ]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary()).cast(pa.string())], NAMES)
 
     return run
 
 
-SEGMENT = "gram long, w1 long, w2 long, a long, b long, start long, part binary"
+def _longer_prefixes(size: int, prefix: int, more: int):
+    """Stretches to those of their windows that hold ``more`` words behind the prefix, and of the others, which hold as many before it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in W.blocks(batch.column(NAMES.index("part"))):
+                a, bb, start, words, at = (batch.column(NAMES.index(c)).to_numpy()[b.first : b.last].astype(np.int64) for c in ("a", "b", "start", "words", "at"))
+                runs = W.rolling_hashes(b.hashes(), prefix + more)
+                base, raw = b.word_offsets[:-1], b.data.tobytes()
+                edge = at - (size - prefix - more)  # windows from here on reach far enough behind
+                for low, high, place, side in ((np.maximum(edge, 0), words - size, at, 0), (np.zeros_like(at), np.minimum(edge - 1, words - size), at - more, 1)):
+                    k = np.flatnonzero(low <= high)
+                    if not len(k):
+                        continue
+                    first, last = base[k] + low[k], base[k] + high[k] + size - 1
+                    parts = [raw[x:y] for x, y in zip(b.starts[first].tolist(), b.ends[last].tolist(), strict=True)]
+                    key = W.mix(runs[base[k] + place[k]] + W.MULTIPLIERS[side]).view(np.int64)
+                    columns = [key, a[k], bb[k], start[k] + low[k], (last + 1 - first).astype(np.int32), (place[k] - low[k]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary()).cast(pa.string())], NAMES)
 
-def _rows(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["gram", "w1", "w2", "a", "b", "start", "part"])
+    return run
 
 
 def _trees_of(size: int):
-    """Segments sorted by gram to (a, b, low, high): runs of words that repeated windows cover."""
+    """Stretches sorted by key to (a, b, low, high): runs of words that repeats cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -143,12 +168,12 @@ def _trees_of(size: int):
             if not batch.num_rows:
                 continue
             held.append(batch)
-            grams = batch.column(0).to_numpy()
-            if grams[0] == grams[-1] and len(held) < 200:
-                continue  # the group may go on
+            keys = batch.column(0)
+            if keys[0] == keys[-1]:
+                continue  # the group may go on; groups are bounded
             table = pa.Table.from_batches(held).combine_chunks()
-            all_grams = table.column(0).to_numpy()
-            cut = int(np.searchsorted(all_grams, all_grams[-1]))  # the last group may go on
+            all_keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(all_keys, all_keys[-1]))  # the last group may go on
             if cut:
                 yield from _tree(table.slice(0, cut), size)
             held = table.slice(cut).to_batches()
@@ -158,38 +183,54 @@ def _trees_of(size: int):
     return run
 
 
+def suffix_tree(ranks: np.ndarray, leaves: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leaves in the order of their suffixes, and the depth of the internal node between each two neighbours.
+
+    ranks: numbers of the words, one text after another. Suffixes are told apart by their
+    first ``most`` words at least, and depths counted up to there at least.
+    """
+    n = len(ranks)
+    levels, depth = [ranks], 1
+    while depth < most:
+        later = np.zeros(n, np.int64)
+        later[: n - depth] = levels[-1][depth:] + 1
+        levels.append(np.unique(levels[-1] * (n + 1) + later, return_inverse=True)[1].astype(np.int64))
+        depth *= 2
+    order = leaves[np.argsort(levels[-1][leaves], kind="stable")]
+    x, y = order[:-1].copy(), order[1:].copy()
+    common = np.zeros(len(x), np.int64)
+    for k in reversed(range(len(levels))):
+        same = np.flatnonzero((x < n) & (y < n))
+        same = same[levels[k][x[same]] == levels[k][y[same]]]
+        for z in (x, y, common):
+            z[same] += 1 << k
+    return order, common
+
+
 def _tree(table: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
-    a, b, start = (table.column(n).to_numpy() for n in ("a", "b", "start"))
-    parts = table.column("part").combine_chunks().cast(pa.string())
-    for block in W.blocks(parts, 1 << 40):
-        n = len(block.starts)
-        # Nodes of depth 1 are words; those of depth 2d are pairs of nodes of depth d.
-        node = pd.factorize(block.hashes())[0].astype(np.int64)
-        depth = 1
-        while depth < size:
-            step = min(depth, size - depth)
-            later = np.append(node[step:], np.full(min(step, n), -1))[:n]
-            node = pd.factorize(node * (n + 1) + later + 1)[0].astype(np.int64)
-            depth += step
-        counts = block.counts() - size + 1
+    a, b, start, words = (table.column(c).to_numpy() for c in ("a", "b", "start", "words"))
+    for block in W.blocks(table.column("part").combine_chunks(), 1 << 40):
+        counts = words.astype(np.int64) - size + 1
         of = np.repeat(np.arange(len(counts)), counts)
         begin = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-        leaf = node[block.word_offsets[:-1][of] + begin]
-        at = start[of] + begin
-        with np.errstate(over="ignore"):
-            place = W.mix(W.mix(a[of].view(np.uint64)) ^ W.mix(b[of].view(np.uint64) + W.MULTIPLIERS[0]) + at.astype(np.uint64))
-        order = np.lexsort((place, leaf))
-        # A node repeats if it has two leaves at different places.
-        same = (leaf[order][1:] == leaf[order][:-1]) & (place[order][1:] != place[order][:-1])
-        many = np.zeros(n + 1, bool)
-        many[leaf[order][1:][same]] = True
-        hit = np.flatnonzero(many[leaf])
+        leaves = block.word_offsets[:-1][of] + begin
+        ranks = np.unique(block.hashes(), return_inverse=True)[1].astype(np.int64)
+        order, common = suffix_tree(ranks, leaves, int(words.max()))
+        # Depths end with the shorter stretch; a leaf's parent is the deeper of the nodes beside it.
+        left = np.full(len(ranks), 0, np.int64)
+        left[leaves] = words[of] - begin
+        common = np.minimum(common, np.minimum(left[order[:-1]], left[order[1:]]))
+        parent = np.zeros(len(ranks), np.int64)
+        parent[order[:-1]] = common
+        parent[order[1:]] = np.maximum(parent[order[1:]], common)
+        depth = parent[leaves]
+        hit = np.flatnonzero(depth >= size)
         if not len(hit):
             return
         new = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(of[hit]) != 0)])
-        last = np.concatenate([new[1:], [True]])
-        low, high = hit[new], hit[last]
-        yield pa.RecordBatch.from_arrays([pa.array(a[of[low]]), pa.array(b[of[low]]), pa.array(at[low]), pa.array(at[high] + size)], ["a", "b", "low", "high"])
+        low = hit[new]
+        high = np.maximum.reduceat(begin[hit] + depth[hit], np.flatnonzero(new))
+        yield pa.RecordBatch.from_arrays([pa.array(a[of[low]]), pa.array(b[of[low]]), pa.array(start[of[low]] + begin[low]), pa.array(start[of[low]] + high)], ["a", "b", "low", "high"])
 
 
 def _joined(rows: DataFrame, found: DataFrame, keys: list[str], total: int, least: int, *spread: str) -> DataFrame:
@@ -206,6 +247,44 @@ def _joined(rows: DataFrame, found: DataFrame, keys: list[str], total: int, leas
     return dealt.join(found.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*keys, "_salt"]).drop("_salt", "c")
 
 
+def _covered(stretches: DataFrame, size: int, gram: int, group_rows: int, hot_rows: int, scratch: Scratch) -> DataFrame:
+    """(a, b, low, high): the words that repeated windows of the stretches cover."""
+    found, small, rows, prefix, level = [], [], stretches, gram, 0
+    while True:
+        crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_rows)
+        crowded = scratch.stage(crowded.select("key"), "substring-crowded")
+        if not crowded.limit(1).count():
+            small.append(rows)
+            break
+        small.append(rows.join(crowded, "key", "left_anti"))
+        large = rows.join(crowded, "key", "left_semi").withColumns({"content": F.xxhash64("part"), "place": F.xxhash64("a", "b", "start")})
+        large = scratch.stage(large, f"substring-large-{level}")
+        contents = large.groupBy("key", "content").agg(F.min("place").alias("o0"), F.max("place").alias("o1"), F.count(F.lit(1)).alias("c"))
+        contents = scratch.stage(contents, f"substring-contents-{level}")
+        # Stretches with an equal one repeat as a whole; one of them stands for all.
+        again = contents.where("o0 <> o1").select("key", "content", "c")
+        total = large.count()
+        equal = _joined(large.select("key", "content", "a", "b", "start", "words"), again, ["key", "content"], total, hot_rows, "a", "b", "start")
+        found.append(equal.select("a", "b", F.col("start").alias("low"), (F.col("start") + F.col("words")).alias("high")))
+        alone = large.join(contents.select("key", "content", F.col("o0").alias("place")), ["key", "content", "place"]).select(*NAMES)
+        alone = scratch.stage(alone.dropDuplicates(["key", "a", "b", "start"]), f"substring-alone-{level}")
+        crowded = alone.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_rows)
+        crowded = scratch.stage(crowded.select("key"), "substring-crowded")
+        small.append(alone.join(crowded, "key", "left_anti"))
+        if prefix == size:
+            break  # stretches of such a group are one window, so all equal
+        more = -(-(size - prefix) // 2)
+        rows = scratch.stage(alone.join(crowded, "key", "left_semi").mapInArrow(_longer_prefixes(size, prefix, more), STRETCH), f"substring-rows-{level}")
+        prefix, level = prefix + more, level + 1
+    trees = small[0]
+    for more_rows in small[1:]:
+        trees = trees.unionByName(more_rows)
+    out = trees.repartition("key").sortWithinPartitions("key").mapInArrow(_trees_of(size), "a long, b long, low long, high long")
+    for more_rows in found:
+        out = out.unionByName(more_rows)
+    return out
+
+
 def repeated_spans(
     df: DataFrame, size: int = 35, doc_id: str = "doc_id", text: str = "text", gram: int | None = None, group_rows: int = GROUP_ROWS, hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -214,41 +293,40 @@ def repeated_spans(
     rows: doc_id, a, b, n_words, all_sha256 of each row of df. spans: for each text that holds
     words covered by repeated windows: a, b, copies (rows with the text), spans (array of low,
     high: word numbers, high excluded, in order, overlaps possible; of copies, the whole text).
+    Null and empty texts have no words and no spans; an empty df gives no rows. Both results
+    are staged.
     """
     gram = gram or min(GRAM, size)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit(7), F.col(text)).alias("b"), F.col(text).alias("text"))
     id_type = df.schema[doc_id].dataType.simpleString()
-    rows = stage(
-        docs.mapInArrow(_index_of(size, gram), f"doc_id {id_type}, a long, b long, n_words long, all_sha256 string, grams array<long>, spots array<int>"),
-        "substring-rows",
-    )
-    classes = rows.where(F.col("n_words") >= size).groupBy("a", "b").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"))
-    classes = stage(classes, "substring-classes")
-
-    # Runs at two places or more; copies of a text have theirs at one place.
-    each = rows.select("doc_id", "a", "b", F.explode(F.arrays_zip("grams", "spots")).alias("z")).select("doc_id", "a", "b", F.col("z.grams").alias("gram"), F.col("z.spots").alias("spot"))
-    place = F.xxhash64("a", "b", "spot")
-    often = each.select("gram", place.alias("o")).groupBy("gram").agg(F.min("o").alias("o0"), F.max("o").alias("o1"), F.count(F.lit(1)).alias("c"))
-    often = stage(often.where("o0 <> o1").select("gram", "c", (F.col("c") > group_rows).alias("many")), "substring-runs")
-    places = rows.agg(F.sum(F.size("grams"))).first()[0] or 0
-    met = _joined(each.select("gram", "a", "spot", "doc_id"), often, ["gram"], places, hot_rows, "doc_id", "spot")
-    spots = met.groupBy("a").agg(F.collect_set(F.when(~F.col("many"), F.col("spot"))).alias("spots"), F.collect_set(F.when(F.col("many"), F.col("spot"))).alias("long_spots"))
-    wanted = classes.join(spots, "a").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "low_id", "spots", "long_spots")
-    texts = docs.join(wanted, (docs["a"] == F.col("_a")) & (docs["b"] == F.col("_b")) & docs["doc_id"].eqNullSafe(F.col("low_id")))
-    texts = stage(texts.select("a", "b", "text", "spots", "long_spots"), "substring-texts")
-
-    segments = stage(texts.mapInArrow(_segments_of(size, gram), SEGMENT), "substring-segments")
-    inside = segments.where("gram is not null").repartition("gram").sortWithinPartitions("gram").mapInArrow(_trees_of(size), "a long, b long, low long, high long")
-    windows = segments.where("gram is null").select("w1", "w2", "a", "b", "start")
-    leaf = F.xxhash64("a", "b", "start")
-    nodes = windows.groupBy("w1", "w2").agg(F.min(leaf).alias("o0"), F.max(leaf).alias("o1"), F.count(F.lit(1)).alias("c")).where("o0 <> o1")
-    nodes = stage(nodes.select("w1", "w2", "c"), "substring-nodes")
-    counted = _joined(windows, nodes, ["w1", "w2"], windows.count(), hot_rows, "a", "b", "start")
-    counted = counted.select("a", "b", F.col("start").alias("low"), (F.col("start") + size).alias("high"))
-    found = inside.unionByName(counted).groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("found"))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_words").alias("high")))
-    spans = classes.join(found, ["a", "b"], "left").select("a", "b", "copies", F.when(F.col("copies") > 1, whole).otherwise(F.col("found")).alias("spans"))
-    return rows.drop("grams", "spots"), stage(spans.where("spans is not null"), "substring-spans")
+    with Scratch(df.sparkSession) as scratch:
+        indexed = scratch.stage(
+            docs.mapInArrow(_index_of(size, gram), f"doc_id {id_type}, a long, b long, n_words long, all_sha256 string, grams array<long>, spots array<int>"),
+            "substring-index",
+        )
+        rows = stage(indexed.drop("grams", "spots"), "substring-rows")
+        classes = rows.where(F.col("n_words") >= size).groupBy("a", "b").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"))
+        classes = scratch.stage(classes, "substring-classes")
+
+        # Runs at two places or more; copies of a text have theirs at one place.
+        each = indexed.select("doc_id", "a", "b", F.explode(F.arrays_zip("grams", "spots")).alias("z")).select("doc_id", "a", "b", F.col("z.grams").alias("gram"), F.col("z.spots").alias("spot"))
+        place = F.xxhash64("a", "b", "spot")
+        often = each.select("gram", place.alias("o")).groupBy("gram").agg(F.min("o").alias("o0"), F.max("o").alias("o1"), F.count(F.lit(1)).alias("c"))
+        often = scratch.stage(often.where("o0 <> o1").select("gram", "c"), "substring-runs")
+        places = indexed.agg(F.sum(F.size("grams"))).first()[0] or 0
+        met = _joined(each.select("gram", "a", "spot", "doc_id"), often, ["gram"], places, hot_rows, "doc_id", "spot")
+        spots = met.groupBy("a").agg(F.collect_set("spot").alias("spots"))
+        wanted = classes.join(spots, "a").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "low_id", "spots")
+        texts = docs.join(wanted, (docs["a"] == F.col("_a")) & (docs["b"] == F.col("_b")) & docs["doc_id"].eqNullSafe(F.col("low_id")))
+        stretches = texts.select("a", "b", "text", "spots").mapInArrow(_stretches_of(size, gram), STRETCH)
+        stretches = scratch.stage(stretches, "substring-stretches")
+        scratch.drop("substring-index", "substring-runs")
+
+        covered = _covered(stretches, size, gram, group_rows, hot_rows, scratch)
+        found = covered.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("found"))
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_words").alias("high")))
+        spans = classes.join(found, ["a", "b"], "left").select("a", "b", "copies", F.when(F.col("copies") > 1, whole).otherwise(F.col("found")).alias("spans"))
+        return rows, stage(spans.where("spans is not null"), "substring-spans")
 
 
 def _kept(words: list, spans) -> list:
@@ -267,7 +345,7 @@ def removal_digests(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text:
     A word is removed if a window of ``size`` words covers it whose words also start anywhere
     else, in the same text or another row's. kept_sha256 is that of the kept words, joined by
     one space. Null and empty texts have no words. Repeated rows are copies of each other.
-    Further columns of df are ignored.
+    Further columns of df are ignored. An empty df gives no rows.
     """
     rows, spans = repeated_spans(df, size, doc_id, text, **options)
     docs = df.select(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit(7), F.col(text)).alias("b"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -296,13 +374,16 @@ def removal_digests(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text:
 
 
 def repeats_removed(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """df with the repeated words cut out of its texts; rows and columns stay.
+    """df with the repeated words cut out of its texts; rows and columns stay, whatever their names.
 
     What is kept of a cut text keeps its own white space; a column n_chars, if there is one,
-    is counted anew in cut texts.
+    is counted anew in cut texts. Null and empty texts stay as they are; repeated rows are
+    copies of each other, so all their words go if they have ``size`` or more. An empty df
+    gives no rows.
     """
     _, spans = repeated_spans(df, size, doc_id, text, **options)
-    spans = spans.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("spans").alias("_spans"))
+    a, b, ha, hb, cover, changed_text = new_names(df, "a", "b", "ha", "hb", "spans", "cut")
+    spans = spans.select(F.col("a").alias(a), F.col("b").alias(b), F.col("spans").alias(cover))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, covers: pd.Series) -> pd.Series:
@@ -320,10 +401,10 @@ def repeats_removed(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text:
 
         return pd.Series([one(t, c) for t, c in zip(texts, covers, strict=True)], dtype=object)
 
-    hashed = df.withColumns({"_ha": F.xxhash64(F.col(text)), "_hb": F.xxhash64(F.lit(7), F.col(text))})
-    joined = hashed.join(spans, (F.col("_ha") == F.col("_a")) & (F.col("_hb") == F.col("_b")), "left")
-    changed = F.col("_spans").isNotNull()
-    out = joined.withColumn("_cut", F.when(changed, cut(text, "_spans")).otherwise(F.col(text)))
+    hashed = df.withColumns({ha: F.xxhash64(F.col(text)), hb: F.xxhash64(F.lit(7), F.col(text))})
+    joined = hashed.join(spans, (F.col(ha) == F.col(a)) & (F.col(hb) == F.col(b)), "left")
+    changed = F.col(cover).isNotNull()
+    out = joined.withColumn(changed_text, F.when(changed, cut(text, cover)).otherwise(F.col(text)))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("_cut").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col("_cut").alias(text) if c == text else F.col(c) for c in df.columns))
+        out = out.withColumn("n_chars", F.when(changed, F.length(changed_text).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(changed_text).alias(text) if c == text else F.col(c) for c in df.columns))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from marketspark.llm import substring
@@ -45,7 +46,7 @@ def made(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("size, gram, group_rows, seed", [(35, None, 5000, 1), (35, None, 3, 2), (5, 2, 2, 3), (8, 8, 50, 4)])
+@pytest.mark.parametrize("size, gram, group_rows, seed", [(35, None, 5000, 1), (35, None, 2, 2), (35, None, 50, 6), (5, 2, 2, 3), (8, 8, 3, 4)])
 def test_same_as_counting_all_windows(spark, size, gram, group_rows, seed):
     rows = made(200, seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -66,7 +67,7 @@ def test_nulls_empty_long_and_repeated_rows(spark):
     long = " ".join(f"é{k}" for k in range(40_000))
     shared = " ".join(f"s{k}" for k in range(40))
     rows = [(1, None), (2, ""), (3, " \n "), (4, long), (5, "a " + shared + " b"), (None, "c " + shared), (7, "q " * 35), (7, "q " * 35), (8, "z " * 36), (9, "u")]
-    df = spark.createDataFrame([(d, t, 5, "x") for d, t in rows], "doc_id long, text string, a long, spans string")
+    df = spark.createDataFrame([(d, t, 5, "x") for d, t in rows], "doc_id long, text string, _a long, _spans string")
     got = sorted(map(str, map(tuple, substring.removal_digests(df, 35).collect())))
     assert got == sorted(map(str, brute(rows, 35)))
     cut = substring.repeats_removed(df, 35)
@@ -78,3 +79,28 @@ def test_nulls_empty_long_and_repeated_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.removal_digests(df).count() == 0
+
+
+def test_crowded_prefix_is_made_longer(spark):
+    """Stretches that share a run but differ around it, so that no two are equal."""
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(40)]
+    rows = []
+    for k in range(150):
+        cut = rng.randrange(0, 12)
+        words = [f"a{k}x{j}" for j in range(20)] + shared[cut : cut + rng.randrange(14, 40)] + [f"b{k}x{j}" for j in range(20)]
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for group_rows in (2, 50):
+        got = substring.removal_digests(df, 20, gram=6, group_rows=group_rows, hot_rows=10)
+        assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 20))
+
+
+def test_suffix_tree_of_a_text():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 3, 200)
+    order, common = substring.suffix_tree(words, np.arange(200), 64)
+    suffixes = [tuple(words[k:]) for k in order.tolist()]
+    assert suffixes == sorted(suffixes)
+    for x, y, n in zip(suffixes[:-1], suffixes[1:], common.tolist(), strict=True):
+        assert x[:n] == y[:n] and (x[n : n + 1] != y[n : n + 1])
