@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import shuffle_partitions, stage
+from .common import Scratch, new_names, shuffle_partitions, stage
+
+SHARD_QUOTAS = 4_000_000  # 32 MB
 
 
 @dataclass(frozen=True)
@@ -77,21 +79,37 @@ def split_quotas(quotas: list[int], shards: int, seed: int = 0) -> np.ndarray:
 
 
 def _draw(rng: np.random.Generator, have: np.ndarray, take: int) -> np.ndarray:
-    """take blocks out of have, without putting any back."""
-    if have.sum() < 1_000_000_000:
-        return rng.multivariate_hypergeometric(have, take, method="marginals")
-    # numpy's draws end at a billion: beyond, each source against those that follow in the
-    # normal limit, held within what both sides can give.
+    """take blocks out of have, without putting any back: each source against those that follow."""
     out, others = np.zeros_like(have), int(have.sum())
     for k, n in enumerate(have.tolist()):
-        all_here, others = others, others - n
-        share = n / max(1, all_here)
-        sd = np.sqrt(take * share * (1 - share) * (all_here - take) / max(1, all_here - 1))
-        out[k] = min(max(round(rng.normal(take * share, sd)), take - others, 0), n, take)
+        others -= n
+        out[k] = hypergeometric(rng, n, others, take)
         take -= int(out[k])
     return out
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of take draws out of good + bad are good, for any size.
+
+    numpy's draws end at a billion. Beyond, the distribution is inverted: ratios of neighbouring
+    probabilities, multiplied up from the mode as far as they are above 1e-30 of it.
+    """
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, take))
+    mode = min(max((take + 1) * (good + 1) // (good + bad + 2), low), high)
+    share = good / (good + bad)
+    reach = int(12 * np.sqrt(min(take, good + bad - take) * share * (1 - share))) + 100
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    more = np.cumprod((good - up) * (take - up) / ((up + 1) * (bad - take + up + 1)))
+    less = np.cumprod(down * (bad - take + down) / ((good - down + 1) * (take - down + 1)))
+    total = np.cumsum(np.concatenate([less[::-1], [1.0], more]))
+    return mode - len(less) + int(np.searchsorted(total, rng.random() * total[-1], side="right"))
+
+
 def word_sizes(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep and size: number of words in the text; null and empty: 0."""
 
@@ -143,6 +161,8 @@ def mix(
     interchangeable. Only per-source sums come to the driver (max_sources bounds them). Ranks
     are taken inside hash buckets, so many tasks rank a source with a third of all rows.
     Further columns of df are ignored. row_id: a column with distinct numbers, if df has one.
+    shards: as many as shuffle partitions if None, but so few that shards times sources is
+    at most SHARD_QUOTAS, since the tasks get that table; more raise. Results are staged.
     """
     spark = df.sparkSession
     named = [F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source")]
@@ -153,6 +173,10 @@ def mix(
     sizes = stage(sizes, "mix-sizes")
     plan = source_plan(sizes, weights or cyclic_weights, most, block_words)
     parts = shuffle_partitions(spark)
+    most_shards = max(1, SHARD_QUOTAS // max(1, len(plan)))
+    if shards is not None and shards > most_shards:
+        raise ValueError(f"at most {most_shards} shards for {len(plan)} sources: their quotas go to every task")
+    shards = shards or min(parts, most_shards)
     total_blocks = max(1, sum(s.blocks for s in plan))
     rows = []
     for s in plan:
@@ -165,20 +189,24 @@ def mix(
     index = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / block_words) - 1).cast("int")))
     blocks = joined.where("size > 0").select(*(c for c in joined.columns if c not in ("source_size", "target")), index.alias("block"))
     blocks = blocks.withColumn("words", F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words).cast("long"))
-    ranked = _ranked(blocks, seed)
-    # Passes over the whole source, then the front of its permutation, the last block in part.
-    epochs = F.sequence(F.lit(1), (F.col("passes") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0)).cast("int"))
-    drawn = ranked.where("passes > 0 or before < rest").select("*", F.explode(epochs).alias("epoch"))
-    last = F.col("epoch") > F.col("passes")
-    # Every whole pass goes round the permutation from another point.
-    turn = F.pmod(F.xxhash64(F.lit(seed), "source", "epoch"), F.col("n_blocks"))
-    place = F.when(last, F.col("rank")).otherwise(F.pmod(F.col("rank") + turn, F.col("n_blocks")))
-    drawn = drawn.select(
-        "row_id", "doc_id", "source", "size", "block", "epoch",
-        F.when(last, F.least("words", F.col("rest") - F.col("before"))).otherwise(F.col("words")).alias("words"),
-        ((F.col("epoch") - 1) * F.col("n_blocks") + place).alias("position"),
-    )
-    draws = stage(_dealt(stage(drawn, "mix-drawn"), plan, shards or parts, seed), "mix-draws")
+
+    def drawn(scratch: Scratch) -> DataFrame:
+        ranked = _ranked(blocks, seed, scratch)
+        # Passes over the whole source, then the front of its permutation, the last block in part.
+        epochs = F.sequence(F.lit(1), (F.col("passes") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0)).cast("int"))
+        each = ranked.where("passes > 0 or before < rest").select("*", F.explode(epochs).alias("epoch"))
+        last = F.col("epoch") > F.col("passes")
+        # Every whole pass goes round the permutation from another point.
+        turn = F.pmod(F.xxhash64(F.lit(seed), "source", "epoch"), F.col("n_blocks"))
+        place = F.when(last, F.col("rank")).otherwise(F.pmod(F.col("rank") + turn, F.col("n_blocks")))
+        return each.select(
+            "row_id", "doc_id", "source", "size", "block", "epoch",
+            F.when(last, F.least("words", F.col("rest") - F.col("before"))).otherwise(F.col("words")).alias("words"),
+            ((F.col("epoch") - 1) * F.col("n_blocks") + place).alias("position"),
+        )
+
+    with Scratch(spark) as scratch:
+        draws = stage(_dealt(scratch.stage(drawn(scratch), "mix-drawn"), plan, shards, seed), "mix-draws")
     taken = draws.groupBy("row_id").agg(F.sum("words").alias("taken"))
     documents = joined.join(taken, "row_id", "left").select(
         "row_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
@@ -186,11 +214,11 @@ def mix(
     return documents, draws.drop("size")
 
 
-def _ranked(blocks: DataFrame, seed: int) -> DataFrame:
+def _ranked(blocks: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """blocks with rank (place in the source's permutation) and before (words ahead of it)."""
     key = F.xxhash64(F.lit(seed), "doc_id", "size", "block")
     keyed = blocks.withColumn("key", key).withColumn("bucket", F.floor(F.shiftrightunsigned("key", 33) * F.col("buckets") / F.lit(1 << 31)))
-    keyed = stage(keyed, "mix-blocks")
+    keyed = scratch.stage(keyed, "mix-blocks")
     zero = F.lit(0).cast("long")
     ahead = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = keyed.groupBy(F.col("source").alias("_s"), F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
@@ -209,7 +237,7 @@ def _dealt(drawn: DataFrame, plan: list[Source], shards: int, seed: int) -> Data
     table = split_quotas([counts.get(s.name, 0) for s in plan], shards, seed)
     spark = drawn.sparkSession
     numbers = spark.createDataFrame([(s.name, k) for k, s in enumerate(plan)], "_s string, _k int")
-    shared = spark.sparkContext.broadcast(np.cumsum(table, axis=0))  # shards x sources, both parameters
+    shared = spark.sparkContext.broadcast(np.cumsum(table, axis=0))  # SHARD_QUOTAS numbers at most
 
     @F.pandas_udf("int")
     def shard_of(k, position):
@@ -232,17 +260,19 @@ def cyclic_weights(names: list) -> list[float]:
 
 
 def mixed_documents(df: DataFrame, weights=None, text: str = "text", **options) -> DataFrame:
-    """The documents that the mix takes, with df's columns.
+    """The documents that the mix takes, with df's columns, whatever their names.
 
     A document is a row for each pass that takes it. Where a pass takes all its words, the
     text is unchanged; otherwise it is the words of the drawn blocks, joined by one space,
-    and a column n_chars, if there is one, is counted anew.
+    and a column n_chars, if there is one, is counted anew. Null and empty texts, and those
+    without words, are never taken; a null source is a source; repeated rows are rows of
+    their own. An empty df gives no rows.
     """
-    rid = "_row_id_" + "_".join(df.columns)
+    rid, at, epoch, parts = new_names(df, "row", "at", "epoch", "parts")
     held = stage(df.withColumn(rid, F.monotonically_increasing_id()), "mix-input")
     _, draws = mix(held, weights, text=text, row_id=rid, **options)
     block_words = options.get("block_words", 1024)
-    spans = draws.groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("block", "words"))).alias("_spans"))
+    spans = draws.groupBy(F.col("row_id").alias(at), F.col("epoch").alias(epoch)).agg(F.sort_array(F.collect_list(F.struct("block", "words"))).alias(parts))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -256,7 +286,7 @@ def mixed_documents(df: DataFrame, weights=None, text: str = "text", **options)
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    out = held.join(spans, held[rid] == spans["row_id"]).withColumn(text, cut(text, "_spans"))
+    out = held.join(spans, F.col(rid) == F.col(at)).withColumn(text, cut(text, parts))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns)

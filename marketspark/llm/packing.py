@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, stage
+from .common import bucket_of, new_names, stage
 from .encode import encoder, id_lists, tokenizer_path, with_end
 
 GROUP_PIECES = 20_000
@@ -54,11 +54,11 @@ def tokenized_pieces(df: DataFrame, capacity: int = 4096, end_id: int | None = 1
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that pieces of these lengths need at least: the best of three kinds of dual feasible functions."""
-    if not len(lengths):
+def lower_bound(count: np.ndarray, capacity: int) -> int:
+    """Bins that pieces need at least, count[n] of them of length n: the best of three kinds of dual feasible functions."""
+    count = np.asarray(count, np.int64)
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     # With a threshold t: pieces over capacity - t count as whole bins, those under t not at all.
@@ -109,7 +109,7 @@ def _pack_group(capacity: int, release: float):
         lengths = pdf["length"].to_numpy()
         bins = best_fit_decreasing(lengths, capacity)
         used = np.bincount(bins, lengths).astype(np.int64)
-        gap = len(used) - lower_bound(lengths, capacity)
+        gap = len(used) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         free = np.zeros(len(used), bool)
         if gap:
             # Bins with most space left, so many that one bin's worth is sure to be among them.
@@ -127,56 +127,61 @@ def _pack_group(capacity: int, release: float):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, rounds: int = 4, group_pieces: int = GROUP_PIECES, release: float = 0.02) -> DataFrame:
-    """pieces with sequence_id (long) and offset (long, gapless from 0 in its sequence).
+def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIECES, release: float = 0.02) -> DataFrame:
+    """pieces with sequence_id (long), offset (long, gapless from 0 in its sequence) and gap (long).
 
     pieces needs a column length, from 1 to capacity; others are kept, apart from those named
-    sequence_id or offset, which are replaced. Groups have about group_pieces pieces at most,
-    whatever keys repeat, since they are dealt by row. No pieces: no rows.
+    sequence_id, offset or gap, which are replaced. gap: sequences beyond the lower bound of the
+    group that the piece was last packed in; 0 certifies that group. Groups have about
+    group_pieces pieces at most, whatever keys repeat, since they are dealt by row. Rounds go
+    on until no group has a gap, one group holds all that is left, or a round gains nothing.
+    No pieces: no rows.
     """
-    spark = pieces.sparkSession
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    held = stage(pieces.select(*kept).withColumn("_uid", F.monotonically_increasing_id()), "pieces")
-    return _packed(held, held.select(F.col("_uid").alias("uid"), F.col("length").cast("long").alias("length")), kept, spark, capacity, rounds, group_pieces, release)
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset", "gap")]
+    uid, at = new_names(pieces, "uid", "at")
+    held = stage(pieces.select(*kept).withColumn(uid, F.monotonically_increasing_id()), "pieces")
+    todo = held.select(F.col(uid).alias("uid"), F.col("length").cast("long").alias("length"))
+    placed = _placed(todo, capacity, group_pieces, release).withColumnRenamed("uid", at)
+    return held.join(placed, F.col(uid) == F.col(at)).select(*kept, "sequence_id", "offset", "gap")
 
 
-def _packed(held, todo, kept, spark, capacity, rounds, group_pieces, release):
+def _placed(todo: DataFrame, capacity: int, group_pieces: int, release: float) -> DataFrame:
+    """uid, sequence_id, offset, gap of each of todo's uid and length."""
     schema = "uid long, length long, grp long, bin long, offset long, open boolean, gap long"
-    done: list[DataFrame] = []
-    before = None
-    for number in range(rounds):
-        n = todo.count()
-        if not n:
-            break
+    columns = ["uid", "sequence_id", "offset", "gap"]
+    placed = todo.sparkSession.createDataFrame([], "uid long, sequence_id long, offset long, gap long")
+    number, before, fewest = 0, None, 0
+    while n := todo.count():
         groups = max(1, -(-n // group_pieces))
         grouped = todo.withColumn("grp", bucket_of(groups, F.lit(number), "uid").cast("long"))
         packed = stage(grouped.groupBy("grp").applyInPandas(_pack_group(capacity, release), schema), "packed")
-        numbered = packed.withColumn("sequence_id", F.lit(number) * (1 << 56) + F.col("grp") * (1 << 28) + F.col("bin")).select("uid", "length", "sequence_id", "offset", "open")
-        bins = numbered.where("open").agg(F.countDistinct("sequence_id")).first()[0]
-        if before is not None and packed.agg(F.countDistinct("grp", "bin")).first()[0] >= before[0]:
-            done.append(before[1])  # the round brought nothing: what it started from stays
-            break
-        done.append(numbered.where("not open").drop("open"))
-        todo = numbered.where("open").select("uid", "length")
-        before = (bins, numbered.where("open").drop("open"))
-        if number == rounds - 1 or groups == 1:
-            done.append(before[1])
+        sequence = F.lit(number << 52) + F.col("grp") * (1 << 24) + F.col("bin")
+        numbered = packed.withColumn("sequence_id", sequence.cast("long"))
+        if before is not None and packed.select("grp", "bin").distinct().count() >= fewest:
+            break  # nothing gained: what the round started from stays
+        placed = placed.unionByName(numbered.where("not open").select(*columns))
+        released = numbered.where("open")
+        before, fewest = released.select(*columns), released.select("sequence_id").distinct().count()
+        if groups == 1 or number == 2047:
             break
-    placed = spark.createDataFrame([], "uid long, length long, sequence_id long, offset long")
-    for d in done:
-        placed = placed.unionByName(d)
-    placed = placed.select(F.col("uid").alias("_p"), "sequence_id", "offset")
-    return held.join(placed, held["_uid"] == placed["_p"]).select(*kept, "sequence_id", "offset")
+        todo, number = released.select("uid", "length"), number + 1
+    return placed if before is None else placed.unionByName(before)
 
 
 def pack_documents(df: DataFrame, capacity: int = 4096, keep_ids: bool = True, **options) -> DataFrame:
-    """tokenized_pieces of df, packed: a row for each piece with its sequence_id and offset."""
+    """tokenized_pieces of df, packed: a row for each piece with its sequence_id, offset and gap.
+
+    Null and empty texts have the end id alone; only texts of more than capacity ids are cut.
+    Repeated rows are documents of their own. An empty df gives no rows. Further columns of df
+    are ignored, whatever their names.
+    """
     tokens = {k: options.pop(k) for k in ("end_id", "tokenizer", "doc_id", "text") if k in options}
     return pack(tokenized_pieces(df, capacity, keep_ids=keep_ids, **tokens), capacity, **options)
 
 
 def certificate(packed: DataFrame, capacity: int = 4096) -> tuple[int, int]:
-    """(sequences, lower bound of all pieces): the counts of each length are all that is gathered."""
-    rows = packed.groupBy("length").count().collect()
-    lengths = np.repeat([r["length"] for r in rows], [r["count"] for r in rows]).astype(np.int64)
-    return packed.select("sequence_id").distinct().count(), lower_bound(lengths, capacity)
+    """(sequences, lower bound of all pieces): the counts of each length, capacity numbers at most, are all that is gathered."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    return packed.select("sequence_id").distinct().count(), lower_bound(count, capacity)

@@ -32,9 +32,9 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap of every piece."""
     packed = packing.pack_documents(_read(spark, sf_dir, "documents", "doc_id", "text"), 4096, keep_ids=False, end_id=1)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

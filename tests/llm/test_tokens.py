@@ -88,10 +88,52 @@ def test_bounds_and_best_fit():
         lengths = rng.integers(1, 101, rng.integers(1, 60))
         bins = packing.best_fit_decreasing(lengths, 100)
         assert np.bincount(bins, lengths).max() <= 100
-        assert packing.lower_bound(lengths, 100) <= bins.max() + 1
-    assert packing.lower_bound(np.array([51] * 7), 100) == 7
-    assert packing.lower_bound(np.array([34] * 6), 100) == 3
-    assert packing.lower_bound(np.zeros(0, np.int64), 100) == 0
+        assert packing.lower_bound(np.bincount(lengths, minlength=101), 100) <= bins.max() + 1
+    for lengths, least in (([51] * 7, 7), ([34] * 6, 3), ([], 0)):
+        assert packing.lower_bound(np.bincount(np.array(lengths, np.int64), minlength=101), 100) == least
+
+
+def fewest_bins(lengths, capacity):
+    """By trying every way."""
+    best = [len(lengths)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + lengths[k] <= capacity:
+                place(k + 1, [*bins[:j], bins[j] + lengths[k], *bins[j + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_all_ways(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(3):
+        lengths = sorted(rng.integers(1, 11, 8).tolist(), reverse=True)
+        least = fewest_bins(lengths, 10)
+        assert packing.lower_bound(np.bincount(lengths, minlength=11), 10) <= least
+        packed = packing.pack(spark.createDataFrame([(n,) for n in lengths], "length long"), 10)
+        assert packed.select("sequence_id").distinct().count() <= least + 1
+
+
+def test_groups_with_a_gap_exchange_pieces(spark):
+    """Many groups, each left with bins that only others' pieces can fill."""
+    rng = np.random.default_rng(7)
+    lengths = rng.integers(20, 60, 2000).tolist()
+    df = spark.createDataFrame([(n, 0, 0) for n in lengths], "length long, gap long, _uid int")
+    alone = packing.pack(df, 100, group_pieces=100, release=0.0)
+    packed = packing.pack(df, 100, group_pieces=100, release=0.2)
+    assert packed.columns == ["length", "_uid", "sequence_id", "offset", "gap"] and packed.count() == 2000
+    used = packed.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert max(r["sum(length)"] for r in used) <= 100
+    assert packing.certificate(packed, 100)[0] <= packing.certificate(alone, 100)[0]
+    assert packed.where("sequence_id >= %d" % (1 << 52)).count() > 0
 
 
 def test_packing_an_empty_table(spark):
