@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 _results: list[str] = []  # paths that returned DataFrames still read
+MASKS = 1 << 18  # words of 64 bits
 #: Spark's setting by which a finished query's shuffle files go at once, not when the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -115,6 +116,26 @@ def new_names(df: DataFrame, *names: str) -> list[str]:
     return [f"{name}_{'x' * longest}" for name in names]
 
 
+def parted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two parts, without a shuffle: rows whose key may be in keys' one column, and rows whose key is not.
+
+    A bit map of the keys' hashes, MASKS words at most, is broadcast. With more keys than it
+    can tell apart more rows may come into the first part, none into the wrong one, so an exact
+    join of that part alone gives what a join of df would. For joins that meet few of df's rows.
+    """
+    word, bit, mask, hit = new_names(df, "word", "bit", "mask", "hit")
+
+    def places(c: Column) -> list[Column]:
+        h = F.xxhash64(F.lit(3), c)
+        return [F.pmod(h, F.lit(MASKS)).alias(word), F.pmod(F.shiftrightunsigned(h, 40), F.lit(64)).cast("int").alias(bit)]
+
+    masks = keys.select(*places(F.col(keys.columns[0]))).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias(mask))
+    masks = stage(masks, "masks")
+    marked = df.select("*", *places(key)).join(F.broadcast(masks), word, "left")
+    marked = marked.withColumn(hit, F.coalesce(F.expr(f"(shiftrightunsigned({mask}, {bit}) & 1L) = 1L"), F.lit(False)))
+    return tuple(marked.where(c).drop(word, bit, mask, hit) for c in (F.col(hit), ~F.col(hit)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, new_names, stage
+from .common import Scratch, new_names, parted, stage
 
 GRAM = 12  # words of an anchor's run
 GROUP_ROWS = 5_000  # about 2 MB of words
@@ -317,7 +317,9 @@ def repeated_spans(
         met = _joined(each.select("gram", "a", "spot", "doc_id"), often, ["gram"], places, hot_rows, "doc_id", "spot")
         spots = met.groupBy("a").agg(F.collect_set("spot").alias("spots"))
         wanted = classes.join(spots, "a").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "low_id", "spots")
-        texts = docs.join(wanted, (docs["a"] == F.col("_a")) & (docs["b"] == F.col("_b")) & docs["doc_id"].eqNullSafe(F.col("low_id")))
+        wanted = scratch.stage(wanted, "substring-wanted")
+        near, _ = parted(docs, F.col("a"), wanted.select("_a"))
+        texts = near.join(wanted, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("low_id")))
         stretches = texts.select("a", "b", "text", "spots").mapInArrow(_stretches_of(size, gram), STRETCH)
         stretches = scratch.stage(stretches, "substring-stretches")
         scratch.drop("substring-index", "substring-runs")
@@ -361,7 +363,8 @@ def removal_digests(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text:
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["a", "b", "n_removed", "sha"])
 
-    held = docs.select("a", "b", "text").join(part, (docs["a"] == F.col("_a")) & (docs["b"] == F.col("_b"))).select("a", "b", "text", "spans")
+    near, _ = parted(docs.select("a", "b", "text"), F.col("a"), part.select("_a"))
+    held = near.join(part, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("a", "b", "text", "spans")
     cut = held.mapInArrow(run, "a long, b long, n_removed long, sha string")
     gone = spans.where("copies > 1").select("a", "b", F.lit(-1).cast("long").alias("n_removed"), F.lit(NOTHING).alias("sha"))
     joined = rows.join(cut.unionByName(gone), ["a", "b"], "left")
@@ -402,9 +405,11 @@ def repeats_removed(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text:
         return pd.Series([one(t, c) for t, c in zip(texts, covers, strict=True)], dtype=object)
 
     hashed = df.withColumns({ha: F.xxhash64(F.col(text)), hb: F.xxhash64(F.lit(7), F.col(text))})
-    joined = hashed.join(spans, (F.col(ha) == F.col(a)) & (F.col(hb) == F.col(b)), "left")
+    near, alone = parted(hashed, F.col(ha), spans.select(a))
+    joined = near.join(spans, (F.col(ha) == F.col(a)) & (F.col(hb) == F.col(b)), "left")
     changed = F.col(cover).isNotNull()
     out = joined.withColumn(changed_text, F.when(changed, cut(text, cover)).otherwise(F.col(text)))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length(changed_text).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(changed_text).alias(text) if c == text else F.col(c) for c in df.columns))
+    out = out.select(*(F.col(changed_text).alias(text) if c == text else F.col(c) for c in df.columns))
+    return alone.select(*df.columns).unionByName(out)
