@@ -120,7 +120,7 @@ def word_sizes(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 size[b.first : b.last] = b.counts()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size)], [*keep, "size"])
 
-    return df.select(*keep, F.col(text)).mapInArrow(run, df.select(*keep).schema.add("size", "long"))
+    return df.select(*keep, F.col(text)).mapInArrow(W.lean(run), df.select(*keep).schema.add("size", "long"))
 
 
 def source_plan(sizes: DataFrame, weights, most: float, block_words: int, max_sources: int = 100_000) -> list[Source]:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from .common import bucket_of, new_names, stage
 from .encode import encoder, id_lists, tokenizer_path, with_end
 
@@ -51,7 +52,7 @@ def tokenized_pieces(df: DataFrame, capacity: int = 4096, end_id: int | None = 1
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = f"doc_id {df.schema[doc_id].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(W.lean(run), schema)
 
 
 def lower_bound(count: np.ndarray, capacity: int) -> int:

@@ -140,7 +140,7 @@ def ledger(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, k
 
     held = [*keep, text] if keep_text else keep
     schema = T.StructType([*df.select(*held).schema, *(T.StructField(m, T.LongType()) for m in MORE_MEASURES)])
-    measured = df.select(*keep, F.col(text)).mapInArrow(run, schema)
+    measured = df.select(*keep, F.col(text)).mapInArrow(W.lean(run), schema)
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(r.fails(), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))

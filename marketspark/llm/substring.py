@@ -90,7 +90,7 @@ def _index_of(size: int, gram: int):
                 ["doc_id", "a", "b", "n_words", "all_sha256", "grams", "spots"],
             )
 
-    return run
+    return W.lean(run)
 
 
 STRETCH = "key long, a long, b long, start long, words int, at int, part string"
@@ -133,7 +133,7 @@ def _stretches_of(size: int, gram: int):
                 ]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary()).cast(pa.string())], NAMES)
 
-    return run
+    return W.lean(run)
 
 
 def _longer_prefixes(size: int, prefix: int, more: int):
@@ -156,7 +156,7 @@ def _longer_prefixes(size: int, prefix: int, more: int):
                     columns = [key, a[k], bb[k], start[k] + low[k], (last + 1 - first).astype(np.int32), (place[k] - low[k]).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary()).cast(pa.string())], NAMES)
 
-    return run
+    return W.lean(run)
 
 
 def _trees_of(size: int):
@@ -180,7 +180,7 @@ def _trees_of(size: int):
         if held:
             yield from _tree(pa.Table.from_batches(held), size)
 
-    return run
+    return W.lean(run, 10_000)
 
 
 def suffix_tree(ranks: np.ndarray, leaves: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -365,7 +365,7 @@ def removal_digests(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text:
 
     near, _ = parted(docs.select("a", "b", "text"), F.col("a"), part.select("_a"))
     held = near.join(part, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("a", "b", "text", "spans")
-    cut = held.mapInArrow(run, "a long, b long, n_removed long, sha string")
+    cut = held.mapInArrow(W.lean(run), "a long, b long, n_removed long, sha string")
     gone = spans.where("copies > 1").select("a", "b", F.lit(-1).cast("long").alias("n_removed"), F.lit(NOTHING).alias("sha"))
     joined = rows.join(cut.unionByName(gone), ["a", "b"], "left")
     return joined.select(

@@ -8,8 +8,10 @@ megabyte (one longer text makes its own block), so memory doesn't follow the bat
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,30 @@ MULTIPLIERS = np.array(
 LONG_WORD = 64  # bytes; the hash of longer words is taken one by one
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches], rows: int = 1000) -> Callable[[Batches], Batches]:
+    """run, for mapInArrow, on batches of at most so many rows; what a task has freed goes back to the system at its end.
+
+    Workers outlive their tasks, and several are alive in an executor: what their allocators
+    keep would add up.
+    """
+
+    def slices(batches: Batches) -> Batches:
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                yield batch.slice(first, rows)
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(slices(batches))
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit values in which every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
