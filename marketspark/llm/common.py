@@ -122,6 +122,8 @@ def parted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Data
     A bit map of the keys' hashes, MASKS words at most, is broadcast. With more keys than it
     can tell apart more rows may come into the first part, none into the wrong one, so an exact
     join of that part alone gives what a join of df would. For joins that meet few of df's rows.
+    Such a join is asked for as a merge join, as all are whose other side grows with the
+    documents: the same plan at every size, and no broadcast of a table without a bound.
     """
     word, bit, mask, hit = new_names(df, "word", "bit", "mask", "hit")
 

@@ -286,7 +286,7 @@ def mixed_documents(df: DataFrame, weights=None, text: str = "text", **options)
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    out = held.join(spans, F.col(rid) == F.col(at)).withColumn(text, cut(text, parts))
+    out = held.join(spans.hint("merge"), F.col(rid) == F.col(at)).withColumn(text, cut(text, parts))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns)

@@ -319,7 +319,7 @@ def repeated_spans(
         wanted = classes.join(spots, "a").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "low_id", "spots")
         wanted = scratch.stage(wanted, "substring-wanted")
         near, _ = parted(docs, F.col("a"), wanted.select("_a"))
-        texts = near.join(wanted, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("low_id")))
+        texts = near.join(wanted.hint("merge"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("low_id")))
         stretches = texts.select("a", "b", "text", "spots").mapInArrow(_stretches_of(size, gram), STRETCH)
         stretches = scratch.stage(stretches, "substring-stretches")
         scratch.drop("substring-index", "substring-runs")
@@ -364,7 +364,7 @@ def removal_digests(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["a", "b", "n_removed", "sha"])
 
     near, _ = parted(docs.select("a", "b", "text"), F.col("a"), part.select("_a"))
-    held = near.join(part, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("a", "b", "text", "spans")
+    held = near.join(part.hint("merge"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("a", "b", "text", "spans")
     cut = held.mapInArrow(W.lean(run), "a long, b long, n_removed long, sha string")
     gone = spans.where("copies > 1").select("a", "b", F.lit(-1).cast("long").alias("n_removed"), F.lit(NOTHING).alias("sha"))
     joined = rows.join(cut.unionByName(gone), ["a", "b"], "left")
@@ -406,7 +406,7 @@ def repeats_removed(df: DataFrame, size: int = 35, doc_id: str = "doc_id", text:
 
     hashed = df.withColumns({ha: F.xxhash64(F.col(text)), hb: F.xxhash64(F.lit(7), F.col(text))})
     near, alone = parted(hashed, F.col(ha), spans.select(a))
-    joined = near.join(spans, (F.col(ha) == F.col(a)) & (F.col(hb) == F.col(b)), "left")
+    joined = near.join(spans.hint("merge"), (F.col(ha) == F.col(a)) & (F.col(hb) == F.col(b)), "left")
     changed = F.col(cover).isNotNull()
     out = joined.withColumn(changed_text, F.when(changed, cut(text, cover)).otherwise(F.col(text)))
     if "n_chars" in df.columns:
