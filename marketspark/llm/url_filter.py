@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import new_names
+
 ACTIONS = ("allow", "block")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERDICT = "rule string, action string"
@@ -92,16 +94,19 @@ def filter_urls(
 
     rule is the deciding rule's host and path, null if none fits; verdict is allow or
     block. Null urls and urls without :// have empty host and path and get the default.
-    Columns of df with one of these names are replaced. The trie is broadcast up to
-    most_rules rules; a larger list is joined instead, which gives the same rows.
+    Columns of df with one of these names are replaced; all others stay, whatever their names.
+    Urls of any length are judged whole, repeated rows each, and an empty df gives no rows. The
+    trie is broadcast up to most_rules rules; a larger list is joined instead, which gives the
+    same rows.
     """
     rules = rule_rows(rules)
     base = df.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(df[url]), "path": url_path(df[url])})
-    found = _with_trie(base, rules) if len(rules) <= most_rules else _with_join(base, rules)
-    return found.withColumn("verdict", F.coalesce("_action", F.lit(default))).drop("_action")
+    action, found = new_names(base, "action", "found")
+    judged = _with_trie(base, rules, action, found) if len(rules) <= most_rules else _with_join(base, rules, action, found)
+    return judged.withColumn("verdict", F.coalesce(action, F.lit(default))).drop(action)
 
 
-def _with_trie(base: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+def _with_trie(base: DataFrame, rules: list[tuple[str, str, str]], action: str, found: str) -> DataFrame:
     spark = base.sparkSession
     shared = spark.sparkContext.broadcast(rules)
     built: list[Trie] = []
@@ -114,10 +119,10 @@ def _with_trie(base: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
             built.append(Trie(shared.value))
         return pd.DataFrame([built[0].match(h, p) for h, p in zip(host, path, strict=True)], columns=["rule", "action"])
 
-    return base.withColumn("_v", judge("host", "path")).withColumns({"rule": F.col("_v.rule"), "_action": F.col("_v.action")}).drop("_v")
+    return base.withColumn(found, judge("host", "path")).withColumns({"rule": F.col(f"{found}.rule"), action: F.col(f"{found}.action")}).drop(found)
 
 
-def _with_join(base: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+def _with_join(base: DataFrame, rules: list[tuple[str, str, str]], action: str, found: str) -> DataFrame:
     """Each distinct host and path meets the rules of its host's suffixes; the longest that fits is kept."""
     spark = base.sparkSession
     table = spark.createDataFrame(rules, "action string, rule_host string, rule_path string")
@@ -127,9 +132,9 @@ def _with_join(base: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     fits = keys.join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
     length = F.length("rule_host") + F.length("rule_path")
     best = fits.groupBy("host", "path").agg(
-        F.max(F.struct(length.alias("n"), F.length("rule_host").alias("h"), "action", F.concat("rule_host", "rule_path").alias("rule"))).alias("_b")
+        F.max(F.struct(length.alias("n"), F.length("rule_host").alias("h"), "action", F.concat("rule_host", "rule_path").alias("rule"))).alias(found)
     )
     return base.join(best, ["host", "path"], "left").select(
-        *(base[c] for c in base.columns), F.col("_b.rule").alias("rule"), F.col("_b.action").alias("_action")
+        *(base[c] for c in base.columns), F.col(f"{found}.rule").alias("rule"), F.col(f"{found}.action").alias(action)
     )
 

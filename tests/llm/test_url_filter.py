@@ -32,3 +32,13 @@ def test_empty_table_and_bad_rules(spark):
     assert U.filter_urls(df, RULES).count() == 0
     with pytest.raises(ValueError):
         U.filter_urls(df, [("maybe", "x", "/")])
+
+
+def test_odd_names_long_urls_repeated_rows_and_empty_table(spark):
+    long = "http://a.net/" + "x/" * 50_000
+    rows = [(long, 1, 2, 3)] * 3 + [(None, 1, 2, 3), ("", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "url string, _action int, _v int, _b int")
+    for most in (10, 0):
+        got = U.filter_urls(df, [("block", "net", "/")], most_rules=most).collect()
+        assert sorted(r["verdict"] for r in got) == ["allow"] * 2 + ["block"] * 3 and {(r["_action"], r["_v"], r["_b"]) for r in got} == {(1, 2, 3)}
+        assert U.filter_urls(df.limit(0), [("block", "net", "/")], most_rules=most).count() == 0
