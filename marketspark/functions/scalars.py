@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def js_round(x: Column, digits: int = 0) -> Column:
-    """x rounded half up, towards plus infinity, in binary floating point."""
+    """x rounded half up, towards plus infinity, in binary floating point. NaN and infinities stay, as do doubles without a fraction."""
     scale = float(10**digits)
-    return F.floor(x * scale + 0.5) / F.lit(scale)
+    scaled = x * scale
+    return F.when(F.abs(scaled) < 2.0**52, F.floor(scaled + 0.5) / F.lit(scale)).otherwise(scaled / F.lit(scale))
 
 
 def or_zero(x: Column) -> Column:

@@ -61,14 +61,15 @@ def script_lint(scripts: DataFrame) -> DataFrame:
     arrays = declared_arrays(lines)
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
-    index = _matches(lines, ACCESS, 3).withColumnRenamed("g2", "name").join(arrays, ["script_id", "name"]).withColumn("i", F.col("g3").cast("long"))
-    out_of_bounds = index.where(F.col("size").isNotNull() & ((F.col("i") < 0) | (F.col("i") >= F.col("size"))))
-    bounds = _diagnostic(out_of_bounds, text("array.", F.col("g1"), "(", F.col("name"), ", ", F.col("i"), ") — index ", F.col("i"), " out of bounds (array size is ", F.col("size"), ")"), "error")
+    index = _matches(lines, ACCESS, 3).withColumnRenamed("g2", "name").join(arrays, ["script_id", "name"]).withColumn("i", F.col("g3").try_cast("decimal(38,0)"))
+    out_of_bounds = index.where(F.col("size").isNotNull() & (F.col("i").isNull() | (F.col("i") < 0) | (F.col("i") >= F.col("size"))))
+    shown = F.coalesce(F.col("i").cast("string"), F.col("g3"))  # longer literals than decimals hold are beyond any size
+    bounds = _diagnostic(out_of_bounds, text("array.", F.col("g1"), "(", F.col("name"), ", ", shown, ") — index ", shown, " out of bounds (array size is ", F.col("size"), ")"), "error")
 
     ends = _matches(lines, ENDS, 2).withColumnRenamed("g1", "name").where("name <> 'array'").join(arrays.where("size = 0"), ["script_id", "name"])
     empty = _diagnostic(ends, text(F.col("name"), ".", F.col("g2"), "() called on possibly empty array (declared with size 0)"), "warning")
 
-    trimmed = F.trim("text")
+    trimmed = F.regexp_replace("text", r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")
     uses = lines.where(trimmed.contains("strategy.entry") | trimmed.contains("strategy.close")).groupBy("script_id").agg(F.min("line").alias("line"))
     declared = lines.where(trimmed.startswith("strategy(")).select("script_id").distinct()
     orders = _diagnostic(uses.join(declared, "script_id", "left_anti"), F.lit("strategy.entry/close used but no strategy() declaration found — did you mean to use indicator()?"), "error", column=F.lit(1))

@@ -209,3 +209,17 @@ def test_practice_pnl_nets_at_average_cost(spark):
     actions = spark.createDataFrame([("s", "A", at(k), k, a) for k, a in enumerate(["buy", "buy", "sell", "close", "sell", "close"])], "session string, symbol string, ts timestamp_ntz, id int, action string")
     out = G.practice_pnl(actions, bars).orderBy("id").collect()
     assert [(r["position"], r["realized_pnl"]) for r in out] == [(1, 0.0), (2, 0.0), (1, 2.0), (0, 0.0), (-1, 0.0), (0, 12.0)]
+
+
+def test_lint_of_tabs_and_long_literals(spark):
+    rows = [(1, '//@version=6\n\tstrategy("x")\r\nstrategy.entry("a")'), (2, "//@version=6\na = array.new_float(2)\nb = array.get(a, 99999999999999999999)\nc = array.get(a, " + "9" * 50 + ")")]
+    found = [(r["script_id"], r["line"], r["severity"]) for r in L.script_lint(spark.createDataFrame(rows, "script_id long, source string")).collect()]
+    assert sorted(found) == [(2, 3, "error"), (2, 4, "error")]
+
+
+def test_rounding_of_odd_numbers(spark):
+    from marketspark.functions.scalars import js_round
+
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e300,), (-2.5,), (1.005,), (None,)], "x double")
+    got = [r[0] for r in df.select(js_round(F.col("x"), 0)).collect()]
+    assert got[0] != got[0] and got[1:] == [float("inf"), 1e300, -2.0, 1.0, None]
