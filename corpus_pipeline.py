@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. run() writes each stage's rows as Parquet and hands them, read again,
-to the next.
+to the next. Further columns of docs stay, whatever their names, up to the last stage.
+
+Null, empty and wordless texts go in the first stage; later ones, if given them, leave them as
+they are, but for the mix, which takes no words from them, and the packing, where they are the
+end token alone. Of repeated rows near_duplicates keeps one. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -73,7 +77,7 @@ STAGES = [
     ("packed_sequences", packed_sequences),
 ]
 
-#: Hashing, suffix trees and tokenizers are beyond SQL; tests hold run() against a brute-force version.
+#: Hashing, suffix trees and tokenizers are beyond SQL; tests hold the filtering stages and each operator against brute force.
 ORACLE_SQL = None
 
 
