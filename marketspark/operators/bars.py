@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +32,19 @@ def bucket(ts: Column | str, resolution: str) -> Column:
     return F.window(ts, f"{int(resolution)} minutes")["start"].cast("timestamp_ntz")
 
 
+def in_order(ts: Column | str = "ts", tie: Column | str = "id") -> Column:
+    """One number that sorts like ts and, among equal ones, like the whole number tie.
+
+    min_by and max_by of it are hashed; of a struct they would be sorted.
+    """
+    ts, tie = (F.col(c) if isinstance(c, str) else c for c in (ts, tie))
+    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)")
+    return (micros * F.expr("10000000000000000000BD") + F.coalesce(tie, F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def build_bars(ticks: DataFrame, resolution: str) -> DataFrame:
     """Bars of ticks (symbol, ts, price, size, id). Ties of ts go by id. Partial sums are combined before the shuffle."""
-    at = F.struct("ts", "id")
+    at = in_order()
     return (
         ticks.withColumn("bar", bucket("ts", resolution))
         .groupBy("symbol", "bar")
@@ -115,6 +127,30 @@ def pane_snapshot(panes: DataFrame, bars: DataFrame) -> DataFrame:
     return joined.withColumns({"error": F.when(F.col("ts").isNull(), F.lit("no bars")), "pane_count": F.count(F.lit(1)).over(Window.partitionBy("layout"))})
 
 
+def fold_rows(df: DataFrame, order: str, columns: tuple[str, ...], start: Callable[[], object], step: Callable, schema: str) -> DataFrame:
+    """Rows that an ordered fold of each symbol and resolution gives: step(state, *columns) to (state, rows).
+
+    A key's rows come in order through one task, which holds its state and a batch of them only.
+    schema: of the rows, which follow the key and the order column.
+    """
+    names = ["symbol", "resolution", order, *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for symbol, resolution, at, *values in batch.itertuples(index=False):
+                if key != (symbol, resolution):
+                    key, state = (symbol, resolution), start()
+                state, rows = step(state, *values)
+                out += [(symbol, resolution, at, *r) for r in rows]
+            yield pd.DataFrame(out, columns=names)
+
+    rows = df.select(*KEY, order, *columns).repartition(*KEY).sortWithinPartitions(*KEY, order)
+    kept = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*KEY, order))
+    return rows.mapInPandas(run, f"{kept}, {schema}")
+
+
 def renko(bars: DataFrame, brick: float) -> DataFrame:
     """symbol, resolution, ts, brick_no, open, close of the bricks that each symbol's closes fill.
 
@@ -122,24 +158,18 @@ def renko(bars: DataFrame, brick: float) -> DataFrame:
     bricks towards it, and two bricks are needed to turn.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        out, low, high, n = [], None, None, 0
-        for ts, close in zip(pdf["ts"], pdf["close"], strict=True):
-            if low is None:
-                low = high = close
-            while close >= high + brick:
-                out.append((ts, n, high, high + brick))
-                low, high, n = high, high + brick, n + 1
-            while close <= low - brick:
-                out.append((ts, n, low, low - brick))
-                high, low, n = low, low - brick, n + 1
-        found = pd.DataFrame(out, columns=["ts", "brick_no", "open", "close"])
-        found.insert(0, "resolution", pdf["resolution"].iloc[0])
-        found.insert(0, "symbol", pdf["symbol"].iloc[0])
-        return found
-
-    return bars.select(*KEY, "ts", "close").groupBy(*KEY).applyInPandas(run, "symbol string, resolution string, ts timestamp_ntz, brick_no long, open double, close double")
+    def step(state, close):
+        low, high, n = state or (close, close, 0)
+        out = []
+        while close >= high + brick:
+            out.append((n, high, high + brick))
+            low, high, n = high, high + brick, n + 1
+        while close <= low - brick:
+            out.append((n, low, low - brick))
+            high, low, n = low, low - brick, n + 1
+        return (low, high, n), out
+
+    return fold_rows(bars.where("close is not null and not isnan(close)"), "ts", ("close",), lambda: None, step, "brick_no long, open double, close double")
 
 
 def candles(df: DataFrame, payload: str = "payload") -> DataFrame:

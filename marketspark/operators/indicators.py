@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import or_zero
 from .bars import KEY, bar_window
-from .recurrence import linrec
+from .recurrence import linrec, places
 
 LOOKBACK = 30
 
@@ -88,10 +88,6 @@ def pct_change(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"pct_change": change, "momentum": step})
 
 
-def _numbered(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("_n", F.row_number().over(bar_window()))
-
-
 def _ema_step(value: Column, n: int, out: str) -> tuple[Column, Column, str]:
     """The first value, then k = 2 / (n + 1)."""
     k, first = 2.0 / (n + 1), F.col("_n") == 1
@@ -99,33 +95,35 @@ def _ema_step(value: Column, n: int, out: str) -> tuple[Column, Column, str]:
 
 
 def _wilder_step(value: str, n: int, out: str, skip: int) -> tuple[Column, Column, str]:
-    """The mean of the first n values, then (y (n - 1) + x) / n; the first skip rows have no value."""
-    seed = F.avg(value).over(bar_window().rowsBetween(-(n - 1), 0))
+    """A sum of n values' n-th parts, which is their mean, then (y (n - 1) + x) / n; the first skip rows take no part."""
     at = F.col("_n") - skip
-    return F.when(at > n, (n - 1) / n).when(at == n, 0.0), F.when(at > n, F.col(value) / n).when(at == n, seed), out
+    return F.when(at > n, (n - 1) / n).when(at > 0, 1.0), F.col(value) / n, out
 
 
-def history(bars: DataFrame, emas: dict[str, int] | None = None, rsi: dict[str, int] | None = None, atr: dict[str, int] | None = None) -> DataFrame:
-    """bars with full-history indicators, by name and length, all in one pass of linrec.
+def history(bars: DataFrame, emas: dict[str, int] | None = None, rsi: dict[str, int] | None = None, atr: dict[str, int] | None = None, leave_places: bool = False) -> DataFrame:
+    """bars with full-history indicators, by name and length, all in one go of linrec.
 
     emas: from the first close. rsi: Wilder's; null for the first n bars, 100 where the average
-    loss is 0. atr: Wilder's average of the true range; null before n bars.
+    loss is 0. atr: Wilder's average of the true range; null before n bars. leave_places: _n
+    and _chunk stay, for macd_of.
     """
-    w = bar_window()
-    before = F.lag("close").over(w)
+    before = F.col("_before")
     diff = F.col("close") - before
     true = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    work = bars.withColumns({"_n": F.row_number().over(w), "_up": F.greatest(diff, F.lit(0.0)), "_down": F.greatest(-diff, F.lit(0.0)), "_tr": true})
-    work = work.withColumns({"_up": F.when(F.col("_n") > 1, F.col("_up")), "_down": F.when(F.col("_n") > 1, F.col("_down"))})
+    work = places(bars, "close").withColumns({"_up": F.greatest(diff, F.lit(0.0)), "_down": F.greatest(-diff, F.lit(0.0)), "_tr": true})
     steps = [_ema_step(F.col("close"), n, out) for out, n in (emas or {}).items()]
     for out, n in (rsi or {}).items():
         steps += [_wilder_step("_up", n, f"_gain_{out}", 1), _wilder_step("_down", n, f"_loss_{out}", 1)]
     steps += [_wilder_step("_tr", n, out, 0) for out, n in (atr or {}).items()]
-    found = linrec(work, steps)
-    for out in rsi or {}:
+    found = linrec(work, steps, F.col("_chunk"))
+    for out, n in (rsi or {}).items():
         gain, loss = F.col(f"_gain_{out}"), F.col(f"_loss_{out}")
-        found = found.withColumn(out, F.when(loss == 0, 100.0).when(loss.isNotNull(), 100 - 100 / (1 + F.try_divide(gain, loss))))
-    return found.drop("_n", "_up", "_down", "_tr", *(f"_{x}_{out}" for x in ("gain", "loss") for out in rsi or {}))
+        strength = F.when(loss == 0, 100.0).when(loss.isNotNull(), 100 - 100 / (1 + F.try_divide(gain, loss)))
+        found = found.withColumn(out, F.when(F.col("_n") > n, strength))
+    for out, n in (atr or {}).items():
+        found = found.withColumn(out, F.when(F.col("_n") >= n, F.col(out)))
+    gone = ["_before", "_up", "_down", "_tr", *(f"_{x}_{out}" for x in ("gain", "loss") for out in rsi or {})]
+    return found.drop(*gone, *(() if leave_places else ("_n", "_chunk")))
 
 
 def ema_full(bars: DataFrame, n: int, out: str | None = None) -> DataFrame:
@@ -141,14 +139,14 @@ def atr(bars: DataFrame, n: int = 14, out: str | None = None) -> DataFrame:
 
 
 def macd_of(df: DataFrame, fast: str = "_fast", slow: str = "_slow", signal: int = 9) -> DataFrame:
-    """df with macd_line, signal_line, macd_histogram from two averages that it has, which go."""
-    line = _numbered(df.withColumn("macd_line", F.col(fast) - F.col(slow)))
-    out = linrec(line, [_ema_step(F.col("macd_line"), signal, "signal_line")])
-    return out.withColumn("macd_histogram", F.col("macd_line") - F.col("signal_line")).drop("_n", fast, slow)
+    """df with macd_line, signal_line, macd_histogram from two averages of history(leave_places=True), which go."""
+    line = df.withColumn("macd_line", F.col(fast) - F.col(slow))
+    out = linrec(line, [_ema_step(F.col("macd_line"), signal, "signal_line")], F.col("_chunk"))
+    return out.withColumn("macd_histogram", F.col("macd_line") - F.col("signal_line")).drop("_n", "_chunk", fast, slow)
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    return macd_of(history(bars, emas={"_fast": fast, "_slow": slow}), signal=signal)
+    return macd_of(history(bars, emas={"_fast": fast, "_slow": slow}, leave_places=True), signal=signal)
 
 
 def ribbon_of(names: list[str]) -> Column:
@@ -168,8 +166,8 @@ def ema_ribbon(bars: DataFrame, lengths: tuple[int, ...] = (21, 50, 200)) -> Dat
 def heikin_ashi(bars: DataFrame) -> DataFrame:
     """ha_open, ha_high, ha_low, ha_close: each open is the mean of the open and close before it."""
     close = (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
-    numbered = _numbered(bars).withColumn("ha_close", close)
-    numbered = numbered.withColumn("_before", F.lag("ha_close").over(bar_window()))
+    numbered = places(bars.withColumn("ha_close", close), "ha_close")
     first = F.col("_n") == 1
-    out = linrec(numbered, [(F.when(first, 0.0).otherwise(0.5), F.when(first, (F.col("open") + F.col("close")) / 2).otherwise(F.col("_before") / 2), "ha_open")])
-    return out.withColumns({"ha_high": F.greatest("high", "ha_open", "ha_close"), "ha_low": F.least("low", "ha_open", "ha_close")}).drop("_n", "_before")
+    step = (F.when(first, 0.0).otherwise(0.5), F.when(first, (F.col("open") + F.col("close")) / 2).otherwise(F.col("_before") / 2), "ha_open")
+    out = linrec(numbered, [step], F.col("_chunk"))
+    return out.withColumns({"ha_high": F.greatest("high", "ha_open", "ha_close"), "ha_low": F.least("low", "ha_open", "ha_close")}).drop("_n", "_before", "_chunk")

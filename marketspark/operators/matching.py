@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from .bars import KEY, bar_window, latest_bars
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, values: list[str], tie: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, values: list[str], tie: str | None = None, chunk: str = "day") -> DataFrame:
     """left with values of the last right row at or before it, null if there is none.
 
-    Both sides are sorted once by key and time: right rows are put before left rows of the
-    same time, and the last one seen is carried on. No range join.
+    Time is cut into chunks (a unit of date_trunc). Inside a key's chunk both sides are sorted
+    once, right rows before left rows of the same time, and the last one seen is carried on;
+    before the chunk's first right row that is the last of its earlier chunks, for which only
+    one row for each chunk goes over the key's whole time. No range join.
     """
     held = F.struct(*(F.col(v) for v in values))
     r = right.select(F.col(key).alias("_k"), F.col(right_at).alias("_t"), F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(0)).cast("string").alias("_tie"), held.alias("_v"))
     columns = left.columns
     row = left.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*columns).alias("_row"))
-    both = r.unionByName(row, allowMissingColumns=True)
-    w = Window.partitionBy("_k").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    both = r.unionByName(row, allowMissingColumns=True).withColumn("_chunk", F.date_trunc(chunk, "_t"))
+    last = F.max_by("_v", F.when(F.col("_side") == 0, F.struct("_t", "_tie")))
+    earlier = Window.partitionBy("_k").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = both.groupBy("_k", "_chunk").agg(last.alias("_last")).select(F.col("_k").alias("_k2"), F.col("_chunk").alias("_c2"), F.last("_last", ignorenulls=True).over(earlier).alias("_held"))
+    w = Window.partitionBy("_k", "_chunk").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return out.select("_row.*", *(F.col("_v")[v].alias(v) for v in values))
+    joined = out.join(starts, F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_chunk").eqNullSafe(F.col("_c2")))
+    found = F.coalesce("_v", "_held")
+    return joined.select("_row.*", *(found[v].alias(v) for v in values))
 
 
 def htf_align(low: DataFrame, high: DataFrame, seconds: int, values: list[str]) -> DataFrame:
@@ -104,9 +111,18 @@ def nearest_level(quotes: DataFrame, levels: DataFrame) -> DataFrame:
     return quotes.join(found, "symbol", "left")
 
 
-def zone_touch(bars: DataFrame, zones: DataFrame) -> DataFrame:
-    """Bars and zones (symbol, zone_high, zone_low) that overlap."""
-    return bars.join(zones, "symbol").where((F.col("low") <= F.col("zone_high")) & (F.col("high") >= F.col("zone_low")))
+def zone_touch(bars: DataFrame, zones: DataFrame, step: float = 10.0) -> DataFrame:
+    """Bars and zones (symbol, zone_high, zone_low) that overlap.
+
+    Prices are cut into steps, so the join is an equality on symbol and step; of the steps
+    that a bar and a zone share the lowest counts. step should be about a usual bar's range.
+    """
+    cut = lambda c: F.floor(F.col(c) / step)
+    steps = lambda low, high: F.explode(F.when(F.col(low) <= F.col(high), F.sequence(cut(low), cut(high))))
+    each = bars.withColumn("_step", steps("low", "high"))
+    near = zones.withColumn("_step", steps("zone_low", "zone_high"))
+    overlap = (F.col("low") <= F.col("zone_high")) & (F.col("high") >= F.col("zone_low"))
+    return each.join(near, ["symbol", "_step"]).where(overlap & (F.col("_step") == F.greatest(cut("low"), cut("zone_low")))).drop("_step")
 
 
 def eval_alerts(bars: DataFrame, alerts: DataFrame, span_seconds: int = 86_400) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bars import KEY, bar_window
+from .bars import bar_window, fold_rows
 from .indicators import ema, pct_change, rolling_vwap, rsi_simple, rsi_wilder
 from .matching import asof_join
 from .recurrence import linrec
@@ -61,26 +60,20 @@ def position_fold(signals: DataFrame, quote: float = 100.0, price: str = "close"
     more. Flat rows are dropped before the ordered fold.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        have, base, out = quote, 0.0, []
-        for ts, signal, p in pdf.sort_values("ts")[["ts", "signal", price]].itertuples(index=False):
-            if signal == "buy" and base == 0 and have >= 1 and p > 0:
-                size = round(have * share, 4)
-                base = size / p
-                have -= size
-                out.append((ts, "buy", size, base, have, base))
-            elif signal == "sell" and base >= 1:
-                size = int(base * 10_000) / 10_000
-                have += size * p
-                base = 0.0
-                out.append((ts, "sell", size, size, have, base))
-        found = pd.DataFrame(out, columns=["ts", "side", "size", "filled", "quote_after", "base_after"])
-        found.insert(0, "resolution", pdf["resolution"].iloc[0])
-        found.insert(0, "symbol", pdf["symbol"].iloc[0])
-        return found
-
-    some = signals.where(F.col("signal") != "flat").select(*KEY, "ts", "signal", price)
-    return some.groupBy(*KEY).applyInPandas(run, "symbol string, resolution string, ts timestamp_ntz, side string, size double, filled double, quote_after double, base_after double")
+    def step(state, signal, p):
+        have, base = state
+        if signal == "buy" and base == 0 and have >= 1 and p > 0:
+            size = round(have * share, 4)
+            have, base = have - size, size / p
+            return (have, base), [("buy", size, base, have, base)]
+        if signal == "sell" and base >= 1:
+            size = int(base * 10_000) / 10_000
+            have += size * p
+            return (have, 0.0), [("sell", size, size, have, 0.0)]
+        return state, []
+
+    some = signals.where(F.col("signal") != "flat")
+    return fold_rows(some, "ts", ("signal", price), lambda: (quote, 0.0), step, "side string, size double, filled double, quote_after double, base_after double")
 
 
 def order_size(df: DataFrame, side: str = "side", quote: str = "quote", base: str = "base") -> DataFrame:

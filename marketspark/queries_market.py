@@ -206,11 +206,11 @@ def visible_range(spark, d):
 
 @query(
     "flt8_around_date",
-    f"""{BARS}, anchors AS (SELECT symbol, ts AS anchor_ts FROM ticks WHERE id % 500 = 7)
+    f"""{BARS}, anchors AS (SELECT symbol, ts AS anchor_ts FROM ticks)
 SELECT a.symbol, anchor_ts, ts, close FROM bars b JOIN anchors a ON a.symbol = b.symbol WHERE abs(floor(epoch(ts)) - floor(epoch(anchor_ts))) <= 90000""",
 )
 def around_date(spark, d):
-    anchors = T.ticks(spark, d).where(F.col("id") % 500 == 7).select("symbol", F.col("ts").alias("anchor_ts"))
+    anchors = T.ticks(spark, d).select("symbol", F.col("ts").alias("anchor_ts"))
     return M.around_date(hourly(spark, d), anchors, 3600).select("symbol", "anchor_ts", "ts", "close")
 
 
@@ -344,14 +344,14 @@ def zone_touch(spark, d):
 @query(
     "jn10_eval_alerts",
     f"""{BARS}, a AS (SELECT id AS alert_id, symbol, price, ts AS created, ts + INTERVAL '3 days' AS expiration, CASE id % 3 WHEN 0 THEN 'crossing' WHEN 1 THEN 'greater_than' ELSE 'less_than' END AS condition
-  FROM ticks WHERE id % 100 = 5 AND id % 7 <> 0),
+  FROM ticks WHERE id % 7 <> 0),
 b AS (SELECT symbol, ts, close, lag(close) OVER ({W}) AS prev FROM bars),
 f AS (SELECT alert_id, min(b.ts) AS fired_ts FROM a JOIN b ON a.symbol = b.symbol WHERE b.ts >= created AND b.ts <= expiration AND CASE condition
   WHEN 'crossing' THEN (prev < price AND close >= price) OR (prev > price AND close <= price) WHEN 'greater_than' THEN close > price ELSE close < price END GROUP BY 1)
 SELECT a.alert_id, a.symbol, condition, price, fired_ts FROM a LEFT JOIN f ON a.alert_id = f.alert_id""",
 )
 def eval_alerts(spark, d):
-    alerts = _alerts(T.ticks(spark, d).where(F.col("id") % 100 == 5)).withColumn("active", F.col("alert_id") % 7 != 0)
+    alerts = _alerts(T.ticks(spark, d)).withColumn("active", F.col("alert_id") % 7 != 0)
     return M.eval_alerts(hourly(spark, d), alerts).select("alert_id", "symbol", "condition", "price", "fired_ts")
 
 
@@ -588,7 +588,7 @@ t AS (SELECT s.symbol, s.ts, coalesce(s.close > ema200, false) AS a, coalesce(em
 SELECT symbol, ts, CASE WHEN a AND b AND c AND d AND e THEN 'ALLOWED' ELSE 'BLOCKED' END AS verdict, (5 - a::INT - b::INT - c::INT - d::INT - e::INT)::INTEGER AS failed FROM t""",
 )
 def safety_check(spark, d):
-    bars = I.history(hourly(spark, d), emas={"ema21": 21, "ema50": 50, "ema200": 200, "_fast": 12, "_slow": 26}, rsi={"rsi14": 14})
+    bars = I.history(hourly(spark, d), emas={"ema21": 21, "ema50": 50, "ema200": 200, "_fast": 12, "_slow": 26}, rsi={"rsi14": 14}, leave_places=True)
     bars = I.macd_of(bars).withColumn("price", F.col("close"))
     return G.safety_check(bars).select("symbol", "ts", "verdict", F.size("blocked_reasons").alias("failed"))
 

@@ -169,7 +169,7 @@ def price_zones(spark, d):
     return z.select("study", "total_boxes", F.size("zones").alias("n_zones"), F.get("zones", 0)["high"].alias("top_high"), F.get("zones", 0)["low"].alias("top_low"))
 
 
-LABELS = """WITH labels AS (SELECT 'Study ' || conv_id AS study, turn AS seq, CASE WHEN role = 'user' THEN substr(text, 1, 20) ELSE '' END AS text, CASE WHEN turn % 3 <> 1 THEN length(text) / 7 END AS price FROM conversations)"""
+LABELS = """WITH labels AS (SELECT 'Study ' || conv_id AS study, turn AS seq, CASE WHEN role = 'user' THEN text ELSE '' END AS text, CASE WHEN turn % 3 <> 1 THEN length(text) / 7 END AS price FROM conversations)"""
 
 
 @query("agg8_latest_labels", f"""{LABELS}, s AS (SELECT *, row_number() OVER (PARTITION BY study ORDER BY seq DESC) AS r, count(*) OVER (PARTITION BY study) AS total_labels FROM labels WHERE text <> '' OR price IS NOT NULL)

@@ -59,7 +59,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         F.concat(F.lit("Study "), F.col("conv_id").cast("string")).alias("study"),
         F.col("turn").alias("seq"),
-        F.when(F.col("role") == "user", F.substring("text", 1, 20)).otherwise("").alias("text"),
+        F.when(F.col("role") == "user", F.col("text")).otherwise("").alias("text"),
         F.when(F.col("turn") % 3 != 1, F.length("text") / 7).alias("price"),
     )
 

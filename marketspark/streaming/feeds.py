@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.bars import KEY, PRICES, bar_window
+from ..operators.bars import KEY, PRICES, bar_window, in_order
 from ..operators.drawings import stream_labels, stream_levels, stream_table_rows, study_filter
 from ..operators.signals import scalper_signal
 from ..operators.studies import numeric_values, visible_only
@@ -53,14 +53,14 @@ def changes_only(stream: DataFrame, keys: list[str], payload: list[str], order:
 
 
 def sample_latest(df: DataFrame, keys: list[str], every_ms: int, values: list[str], tie: str, ts: str = "ts") -> DataFrame:
-    """The latest row of each key in each interval; works on streams with a watermark and on tables."""
-    latest = F.max_by(F.struct(*values), F.struct(ts, tie))
-    return df.groupBy(F.window(ts, f"{every_ms} milliseconds").alias("_w"), *keys).agg(latest.alias("_v")).select(*keys, F.col("_w.start").alias("sampled_at"), "_v.*")
+    """The latest row of each key in each interval, equal times by the whole number tie; works on streams with a watermark and on tables."""
+    latest = [F.max_by(v, in_order(ts, tie)).alias(v) for v in values]
+    return df.groupBy(F.window(ts, f"{every_ms} milliseconds").alias("_w"), *keys).agg(*latest).select(*keys, F.col("_w.start").alias("sampled_at"), *values)
 
 
 def streaming_bars(ticks: DataFrame, resolution_minutes: int, watermark: str = "10 minutes") -> DataFrame:
     """Bars of a stream of ticks (ts a timestamp), each appended when the watermark has passed its end."""
-    at = F.struct("ts", "id")
+    at = in_order()
     timed = ticks.withWatermark("ts", watermark).groupBy(F.window("ts", f"{resolution_minutes} minutes").alias("_w"), "symbol")
     bars = timed.agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").alias("volume"))
     return bars.select("symbol", F.lit(str(resolution_minutes)).alias("resolution"), F.col("_w.start").alias("ts"), *PRICES)
@@ -76,7 +76,7 @@ def sliding_stats(ticks: DataFrame, size: str = "30 minutes", slide: str = "5 mi
 def session_bars(ticks: DataFrame, gap: str = "30 minutes", watermark: str | None = None) -> DataFrame:
     """A bar for each run of ticks without a gap: symbol, ts, end, prices and volume."""
     source = ticks if watermark is None else ticks.withWatermark("ts", watermark)
-    at = F.struct("ts", "id")
+    at = in_order()
     return (
         source.groupBy("symbol", F.session_window("ts", gap).alias("_w"))
         .agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").alias("volume"))

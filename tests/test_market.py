@@ -16,7 +16,7 @@ from marketspark.operators import matching as M
 from marketspark.operators import signals as G
 from marketspark.operators import strategy as Y
 from marketspark.operators import studies as V
-from marketspark.operators.recurrence import linrec
+from marketspark.operators.recurrence import linrec, places
 from marketspark.plans import workflows as P
 from marketspark.sources import files
 
@@ -81,7 +81,8 @@ def test_recurrence_in_chunks_is_the_recurrence(spark):
         value = value if not want else c * 2 / 11 + value * (1 - 2 / 11)
         want.append(value)
     assert whole == pytest.approx(want, rel=1e-9)
-    numbered = I._numbered(bars)
+    numbered = places(bars, "close")
+    assert [r[:] for r in numbered.orderBy("ts").select("_n", "_before").collect()] == [(k + 1, closes[k - 1] if k else None) for k in range(400)]
     one = linrec(numbered, [(F.when(F.col("_n") == 1, 0.0).otherwise(0.5), F.col("close"), "y")], chunk=F.lit(0))
     many = linrec(numbered, [(F.when(F.col("_n") == 1, 0.0).otherwise(0.5), F.col("close"), "y")], chunk=F.floor(F.col("_n") / 7))
     assert column(one, "y") == pytest.approx(column(many, "y"), rel=1e-9)
