@@ -65,9 +65,10 @@ def alert_symbol(text: Column) -> Column:
     return F.coalesce(F.nullif(F.get_json_object(F.regexp_replace(text, "^=", ""), "$.symbol"), F.lit("")), text)
 
 
-def to_epoch(text: Column) -> Column:
-    """Seconds since 1970 of a text of digits or an ISO date or time; null if it is neither."""
-    return F.when(text.rlike(r"^[0-9]+$"), text.try_cast("long")).otherwise(F.unix_seconds(text.try_cast("timestamp")))
+def to_epoch(text: Column, strict: bool = False) -> Column:
+    """Seconds since 1970 of a text of digits or an ISO date or time; what is neither is null, or an error if strict."""
+    found = F.when(text.rlike(r"^[0-9]+$"), text.try_cast("long")).otherwise(F.unix_seconds(text.try_cast("timestamp")))
+    return F.when(text.isNotNull() & found.isNull(), F.raise_error(F.concat(F.lit("not a date: "), text)).cast("long")).otherwise(found) if strict else found
 
 
 def date_key(ts: Column) -> Column:

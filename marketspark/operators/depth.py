@@ -44,3 +44,10 @@ def raw_values(cells: DataFrame) -> DataFrame:
     some = cells.withColumn("price", parse_price(F.col("price_text"))).where(F.col("price") > 0)
     ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy("row_index")))
     return ranked.where(F.col("_r") <= MOST_RAW).select("symbol", "row_index", "price")
+
+
+def levels_or_raw(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """The levels of classify_depth; of books that have none, raw_values of their cells, without side and size."""
+    levels = classify_depth(rows)
+    raw = raw_values(cells).join(levels.select("symbol").distinct(), "symbol", "left_anti")
+    return levels.unionByName(raw, allowMissingColumns=True)

@@ -22,10 +22,10 @@ def horizontal_levels(lines: DataFrame) -> DataFrame:
     return lines.groupBy("study").agg(F.sort_array(F.collect_set(level), asc=False).alias("levels"), F.count(F.lit(1)).alias("total_lines"))
 
 
-def stream_levels(lines: DataFrame) -> DataFrame:
-    """study, levels (distinct, as they are, falling): the first end's price, the second's where that is 0 or null."""
+def stream_levels(lines: DataFrame, keys: tuple[str, ...] = ("study",)) -> DataFrame:
+    """study (or other keys), levels (distinct, as they are, falling): the first end's price, the second's where that is 0 or null."""
     level = F.when(F.col("y1") == F.col("y2"), F.col("y1")).otherwise(F.coalesce(F.nullif("y1", F.lit(0.0)), F.col("y2")))
-    found = lines.groupBy("study").agg(F.sort_array(F.collect_set(level), asc=False).alias("levels"))
+    found = lines.groupBy(*keys).agg(F.sort_array(F.collect_set(level), asc=False).alias("levels"))
     return found.where(F.size("levels") > 0)
 
 

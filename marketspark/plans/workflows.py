@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import brief_line, number_text
-from ..operators.bars import KEY, ohlcv_summary
-from ..operators.indicators import history, ribbon_of
-from ..operators.matching import batch_totals, nearest_level, scan_grid, watchlist_scan
-from ..operators.signals import bias_of, position_machine, scalper_signal
+from ..operators.bars import KEY, latest_bars, ohlcv_summary
+from ..operators.indicators import ema_full, history, ribbon_of
+from ..operators.matching import account_value, htf_align, nearest_level, scan_grid, watchlist_scan
+from ..operators.signals import bias_of, position_fold, position_machine, scalper_signal
 from ..operators.strategy import strategy_metrics
 
 
-def trend_bias(bars: DataFrame) -> DataFrame:
-    """bars with ema20, ribbon of 21, 50 and 200, rsi14 and bias."""
-    out = history(bars, emas={"ema20": 20, "ema21": 21, "ema50": 50, "ema200": 200}, rsi={"rsi14": 14})
+def trend_bias(bars: DataFrame, higher: DataFrame | None = None, higher_seconds: int = 4 * 3600) -> DataFrame:
+    """bars with ema20, ribbon of 21, 50 and 200, rsi14 and bias.
+
+    ema20 is that of the last closed bar of higher, bars of a longer time frame, if these are given.
+    """
+    emas = {"ema21": 21, "ema50": 50, "ema200": 200}
+    out = history(bars, emas=emas if higher is not None else emas | {"ema20": 20}, rsi={"rsi14": 14})
+    if higher is not None:
+        out = htf_align(out, ema_full(higher, 20).select("symbol", "ts", "ema20"), higher_seconds, ["ema20"])
     out = out.withColumn("ribbon", ribbon_of(["ema21", "ema50", "ema200"]))
     return out.withColumn("bias", bias_of(F.col("ribbon"), F.col("close"), F.col("ema20"), F.col("rsi14")))
 
@@ -61,10 +67,6 @@ def batch_scan(symbols: DataFrame, timeframes: list[str], bars: DataFrame, actio
     return grid.withColumn("error", F.lit(f"Unknown action: {action}"))
 
 
-def scan_totals(results: DataFrame) -> DataFrame:
-    return batch_totals(results)
-
-
 def scalper_backtest(bars: DataFrame) -> DataFrame:
     """The scalper's log: signal, action and skip reason of every bar."""
     return position_machine(scalper_signal(bars))
@@ -75,6 +77,18 @@ def backtest_totals(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEY).agg(F.count(F.lit(1)).alias("ticks"), F.count_if(F.col("action") != "skip").alias("placed"), F.max_by("close", "ts").alias("last_price"))
 
 
+def backtest_accounts(bars: DataFrame, quote: float = 100.0) -> DataFrame:
+    """A row for each symbol that the scalper traded from this balance: orders, quote_after, base_after, last_price, total_value."""
+    orders = position_fold(scalper_signal(bars), quote)
+    ends = orders.groupBy("symbol").agg(F.count(F.lit(1)).alias("orders"), F.max_by("quote_after", "ts").alias("quote_after"), F.max_by("base_after", "ts").alias("base_after"))
+    prices = latest_bars(bars).select(F.col("symbol").alias("coin"), F.col("close").alias("price"))
+    cash = F.struct(F.lit("cash").alias("coin"), F.col("quote_after").alias("qty"))
+    held = ends.select(F.col("symbol").alias("account"), F.explode(F.array(cash, F.struct(F.col("symbol").alias("coin"), F.col("base_after").alias("qty")))).alias("h")).select("account", "h.*")
+    worth = account_value(held, prices.unionByName(bars.sparkSession.createDataFrame([("cash", 1.0)], "coin string, price double"))).withColumnRenamed("account", "symbol")
+    last = prices.select(F.col("coin").alias("symbol"), F.col("price").alias("last_price"))
+    return ends.join(worth, "symbol").join(last, "symbol")
+
+
 def replay_step(bars: DataFrame, start: str | None, steps: int = 0) -> DataFrame:
     """For each symbol the bar that a replay from start is at after steps; error where there is none.
 

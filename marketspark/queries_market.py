@@ -152,11 +152,6 @@ def _heikin(bars: DataFrame) -> DataFrame:
     return I.heikin_ashi(bars).select("symbol", "resolution", "ts", "ha_open", "ha_high", "ha_low", "ha_close")
 
 
-@query("bar9_renko")
-def renko(spark, d):
-    return B.renko(hourly(spark, d), 5.0)
-
-
 @query("bar11_bar_index", f"{BARS} SELECT {COLUMNS}, (row_number() OVER ({W}) - 1)::INTEGER AS bar_index FROM bars")
 def bar_index(spark, d):
     return B.bar_index(hourly(spark, d))
@@ -546,6 +541,22 @@ def trend_bias(spark, d):
     return P.trend_bias(hourly(spark, d)).select("symbol", "ts", "ribbon", "bias")
 
 
+@query(
+    "sig3_trend_bias_4h",
+    f"""{BARS}, {RSI14}, rib AS (SELECT *, {full_ema('close', 21)} AS ema21, {full_ema('close', 50)} AS ema50, {full_ema('close', 200)} AS ema200 FROM bars),
+h AS (SELECT symbol, '240' AS resolution, time_bucket(INTERVAL '240 minutes', ts) AS ts, last(close ORDER BY ts) AS close FROM bars GROUP BY 1, 2, 3),
+he AS (SELECT symbol, ts + INTERVAL '240 minutes' AS usable, {full_ema('close', 20)} AS ema20 FROM h),
+r AS (SELECT rib.*, ema20, CASE WHEN ema21 > ema50 AND ema50 > ema200 THEN 'up' WHEN ema21 < ema50 AND ema50 < ema200 THEN 'down' ELSE 'mixed' END AS ribbon
+  FROM rib ASOF LEFT JOIN he ON rib.symbol = he.symbol AND rib.ts >= he.usable)
+SELECT r.symbol, r.ts, ribbon, CASE WHEN ribbon = 'mixed' OR rsi14 BETWEEN 45 AND 55 OR abs((r.close - ema20) / nullif(ema20, 0)) < 0.0005 OR rsi14 IS NULL OR ema20 IS NULL THEN 'neutral'
+  WHEN ribbon = 'up' AND r.close > ema20 AND rsi14 < 60 THEN 'bullish' WHEN ribbon = 'down' AND r.close < ema20 AND rsi14 > 40 THEN 'bearish' ELSE 'neutral' END AS bias
+FROM r JOIN rsi s ON r.symbol = s.symbol AND r.ts = s.ts""",
+)
+def trend_bias_4h(spark, d):
+    bars = hourly(spark, d)
+    return P.trend_bias(bars, B.resample(bars, "240")).select("symbol", "ts", "ribbon", "bias")
+
+
 MACHINE = f"""p AS (SELECT *, coalesce(last_value(CASE WHEN signal <> 'flat' THEN signal END IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'sell') AS b FROM sig),
 machine AS (SELECT *, CASE WHEN (signal = 'buy' AND b = 'sell') OR (signal = 'sell' AND b = 'buy') THEN signal ELSE 'skip' END AS action FROM p)"""
 REASON = """CASE WHEN action <> 'skip' THEN NULL WHEN signal = 'flat' THEN 'no signal — conditions not met'
@@ -557,11 +568,6 @@ def position_machine(spark, d):
     return P.scalper_backtest(hourly(spark, d)).select("symbol", "ts", "signal", "action", "skip_reason")
 
 
-@query("sig4_position_fold")
-def position_fold(spark, d):
-    return G.position_fold(G.scalper_signal(hourly(spark, d)))
-
-
 @query(
     "sig5_order_size",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_totalprice % 3 >= 1 THEN printf('%.4f', (o_totalprice % 3) * 0.9)
@@ -598,14 +604,6 @@ def time_exit(spark, d):
     return G.time_exit(T.ticks(spark, d), "symbol", ("ts", "id")).select("symbol", "id", "price", "exit_ts", "exit_price")
 
 
-@query("sig9_practice_pnl")
-def practice_pnl(spark, d):
-    t = T.ticks(spark, d, "user_id")
-    action = F.when(F.col("id") % 5 < 2, "buy").when(F.col("id") % 5 < 4, "sell").otherwise("close")
-    actions = t.select(F.col("symbol").alias("session"), "symbol", "ts", "id", action.alias("action"))
-    return G.practice_pnl(actions, B.build_bars(T.ticks(spark, d, "user_id"), "240"))
-
-
 @query(
     "sig10_order_outcome",
     """SELECT o_orderkey, o_orderstatus = 'F' AS order_placed, CASE WHEN o_orderstatus = 'F' THEN 'id' || o_orderkey ELSE o_custkey || '.5XRP can be used AT most' END AS order_ref,
@@ -718,20 +716,50 @@ def stream_values(spark, d):
 
 @query(
     "st6_stream_panes",
-    f"""{BARS}, e AS (SELECT 'grid' AS layout, ts, count(*) AS n_panes, string_agg(CAST(CAST(close AS DECIMAL(18,4)) AS VARCHAR), ' ' ORDER BY symbol) AS closes FROM bars GROUP BY 2),
-l AS (SELECT *, lag(closes) OVER (ORDER BY ts) AS b FROM e) SELECT layout, ts, n_panes, closes FROM l WHERE b IS NULL OR b <> closes""",
+    f"""WITH {bars_sql('240', key='user_id::VARCHAR')}, e AS (SELECT substr(symbol, 1, 2) AS layout, ts, count(*) AS n_panes,
+  list((symbol, open, high, low, close, volume) ORDER BY symbol) AS panes FROM bars GROUP BY 1, 2),
+l AS (SELECT *, lag(panes) OVER (PARTITION BY layout ORDER BY ts) AS b FROM e)
+SELECT layout, ts, n_panes, list_sum(list_transform(panes, lambda p: p[6])) AS volume FROM l WHERE b IS NULL OR b <> panes""",
 )
 def stream_panes(spark, d):
-    bars = hourly(spark, d)
-    panes = bars.select("symbol", "resolution").distinct().select(F.lit("grid").alias("layout"), F.col("symbol").alias("pane_index"), "symbol", "resolution")
-    return X.stream_panes_batch(panes, bars)
+    """A layout for each two first digits of a user's number."""
+    bars = B.build_bars(T.ticks(spark, d, "user_id"), "240")
+    panes = bars.select("symbol", "resolution").distinct().select(F.substring("symbol", 1, 2).alias("layout"), F.col("symbol").alias("pane_index"), "symbol", "resolution")
+    volume = F.aggregate("panes", F.lit(0.0), lambda total, p: total + p["volume"])
+    return X.stream_panes_batch(panes, bars).select("layout", "ts", "n_panes", volume.alias("volume"))
+
+
+HOLDING = f"""CASE WHEN coalesce(last_value(CASE WHEN signal <> 'flat' THEN signal END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), 'sell') = 'buy' THEN 'base' ELSE 'quote' END"""
 
 
-@query("st8_stream_signals", f"{BARS}, {SCALPER} SELECT symbol, ts, close, signal FROM sig")
+@query("st8_stream_signals", f"{BARS}, {SCALPER} SELECT symbol, ts, close, signal, {HOLDING} AS holding FROM sig")
 def stream_signals(spark, d):
     return X.stream_signals_batch(hourly(spark, d))
 
 
+@query("st7_streaming_bars", f"WITH {bars_sql('30')} SELECT {COLUMNS} FROM bars")
+def streaming_bars(spark, d):
+    """The stream's plan on a table, where nothing is late."""
+    t = T.ticks(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return X.streaming_bars(t, 30).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+FORMING = "(PARTITION BY symbol, time_bucket(INTERVAL '60 minutes', ts) ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    "st3_stream_bars_forming",
+    f"""WITH {bars_sql('15')}, f AS (SELECT symbol, '60' AS resolution, ts AS part_ts, time_bucket(INTERVAL '60 minutes', ts) AS ts, first_value(open) OVER {FORMING} AS open, max(high) OVER {FORMING} AS high,
+  min(low) OVER {FORMING} AS low, close, sum(volume) OVER {FORMING} AS volume FROM bars),
+l AS (SELECT *, lag((ts, open, high, low, close, volume)) OVER (PARTITION BY symbol ORDER BY part_ts) AS b, lag(ts) OVER (PARTITION BY symbol ORDER BY part_ts) AS bt FROM f),
+k AS (SELECT * FROM l WHERE b IS NULL OR b IS DISTINCT FROM (ts, open, high, low, close, volume))
+SELECT {COLUMNS}, part_ts, bt IS NULL OR bt <> ts AS new_bar FROM k""",
+)
+def stream_bars_forming(spark, d):
+    """The hour's bar as each of its quarters leaves it."""
+    return X.stream_bars_batch(X.forming_bars(B.build_bars(T.ticks(spark, d), "15"), "60"), "part_ts")
+
+
 @query(
     "st9_sliding_stats",
     f"""WITH {TICKS.format(key='event_type')}, w AS (SELECT symbol, time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '5 minutes' * k AS ts, price, size FROM ticks, (SELECT unnest(range(6)) AS k)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,9 +93,14 @@ def save_session(new: DataFrame, path: str, stored_schema: str = "saved_at strin
             raise
         stored = spark.createDataFrame([], stored_schema)
     merged = merge_sessions(stored, new)
-    # Read and write meet in one folder: only the few rows of these dates are held meanwhile.
-    held = spark.createDataFrame(merged.collect(), merged.schema)
-    held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    # Read and write meet in one folder, so the dates' rows are written beside it first.
+    beside = f"{path.rstrip('/')}.merge-{uuid.uuid4().hex}"
+    merged.write.parquet(beside)
+    try:
+        spark.read.schema(merged.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(beside)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def write_jsonl_stream(stream: DataFrame, label: str, path: str, checkpoint: str) -> DataStreamWriter:

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.bars import KEY, PRICES, bar_window, in_order
+from ..operators.bars import KEY, PRICES, bucket, in_order
 from ..operators.drawings import stream_labels, stream_levels, stream_table_rows, study_filter
-from ..operators.signals import scalper_signal
+from ..operators.signals import position_machine, scalper_signal
 from ..operators.studies import numeric_values, visible_only
 
 #: Milliseconds between samples of each feed: fixed values.
@@ -89,13 +89,20 @@ def stream_quotes_batch(bars: DataFrame) -> DataFrame:
     return changes_only_batch(bars, list(KEY), list(PRICES), ["ts"])
 
 
-def stream_bars_batch(bars: DataFrame) -> DataFrame:
-    """Changed bars with new_bar: whether the bar's time is a new one."""
-    changed = changes_only_batch(bars, list(KEY), ["ts", *PRICES], ["ts"])
-    before = F.lag("ts").over(bar_window())
+def stream_bars_batch(bars: DataFrame, at: str = "ts") -> DataFrame:
+    """Changed bars with new_bar: whether the bar's time is another than in the feed's row before. at: orders the feed."""
+    changed = changes_only_batch(bars, list(KEY), ["ts", *PRICES], [at])
+    before = F.lag("ts").over(Window.partitionBy(*KEY).orderBy(at))
     return changed.withColumn("new_bar", before.isNull() | (before != F.col("ts")))
 
 
+def forming_bars(parts: DataFrame, resolution: str) -> DataFrame:
+    """parts (finer bars) as states of the bar of the resolution that they are in: part_ts (the part's time), ts (the bar's), prices so far."""
+    w = Window.partitionBy("symbol", "_bar").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = [F.first("open").over(w).alias("open"), F.max("high").over(w).alias("high"), F.min("low").over(w).alias("low"), F.col("close"), F.sum("volume").over(w).alias("volume")]
+    return parts.withColumn("_bar", bucket("ts", resolution)).select("symbol", F.lit(resolution).alias("resolution"), F.col("ts").alias("part_ts"), F.col("_bar").alias("ts"), *so_far)
+
+
 def stream_values_batch(values: DataFrame) -> DataFrame:
     """Numeric values of visible studies, on change: symbol, study, title, value in the order of seq."""
     return changes_only_batch(numeric_values(visible_only(values)), ["symbol", "study", "title"], ["value"], ["seq"])
@@ -107,11 +114,20 @@ def drawing_feed(df: DataFrame, kind: str, study: str = "") -> DataFrame:
     return {"lines": stream_levels, "labels": stream_labels, "tables": stream_table_rows}[kind](some)
 
 
+def drawing_changes_batch(df: DataFrame, snapshot: str) -> DataFrame:
+    """Levels of each study's lines at each snapshot, where they differ from those of the study's snapshot before."""
+    each = stream_levels(df, (snapshot, "study"))
+    return changes_only_batch(each, ["study"], ["levels"], [snapshot])
+
+
 def stream_panes_batch(panes: DataFrame, bars: DataFrame) -> DataFrame:
-    """All panes of each layout at each bar time, on change: layout, ts, n_panes, closes."""
+    """All panes of each layout at each bar time, on change of any price or volume: layout, ts, n_panes, panes.
+
+    panes: array of struct(pane_index, symbol, prices), by pane_index.
+    """
     joined = panes.join(bars, list(KEY))
-    each = joined.groupBy("layout", "ts").agg(F.count(F.lit(1)).alias("n_panes"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pane_index", F.col("close").cast("decimal(18,4)").cast("string").alias("c")))), lambda s: s["c"]), " ").alias("closes"))
-    return changes_only_batch(each, ["layout"], ["closes"], ["ts"])
+    each = joined.groupBy("layout", "ts").agg(F.count(F.lit(1)).alias("n_panes"), F.sort_array(F.collect_list(F.struct("pane_index", "symbol", *PRICES))).alias("panes"))
+    return changes_only_batch(each, ["layout"], ["panes"], ["ts"])
 
 
 def stream_signals(bars: DataFrame, lookback: int = 30) -> DataFrame:
@@ -152,5 +168,7 @@ def scalper_rule(closes: list[float], bars: list[tuple[float, float, float, floa
 
 
 def stream_signals_batch(bars: DataFrame) -> DataFrame:
-    """The batch twin of stream_signals, without the position."""
-    return scalper_signal(bars).select("symbol", "ts", "close", "signal")
+    """The batch twin of stream_signals: symbol, ts, close, signal, holding (after the bar)."""
+    held = position_machine(scalper_signal(bars))
+    holding = F.when(F.col("action") == "buy", "base").when(F.col("action") == "sell", "quote").otherwise(F.col("holding_before"))
+    return held.select("symbol", "ts", "close", "signal", holding.alias("holding"))

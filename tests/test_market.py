@@ -224,3 +224,32 @@ def test_rounding_of_odd_numbers(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e300,), (-2.5,), (1.005,), (None,)], "x double")
     got = [r[0] for r in df.select(js_round(F.col("x"), 0)).collect()]
     assert got[0] != got[0] and got[1:] == [float("inf"), 1e300, -2.0, 1.0, None]
+
+
+def test_one_number_orders_times_and_ties(spark):
+    rows = [(at(k % 3), t) for k in range(3) for t in (-5, 0, 9_000_000_000_000_000_000)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, id long")
+    assert [r[:] for r in df.orderBy(B.in_order()).collect()] == sorted(rows)
+
+
+def test_asof_over_chunks(spark):
+    right = [("A", at(0), 1.0), ("A", at(60 * 24 * 9), 2.0), ("B", at(5), None)]
+    left = [("A", at(60 * 24 * d), d) for d in (-1, 0, 3, 8, 9, 40)] + [("B", at(9), 0), ("C", at(9), 0)]
+    r = spark.createDataFrame(right, "symbol string, at timestamp_ntz, v double")
+    got = M.asof_join(spark.createDataFrame(left, "symbol string, ts timestamp_ntz, d int"), r, "symbol", "ts", "at", ["v"])
+    assert sorted((x["symbol"], x["d"], x["v"]) for x in got.collect()) == [("A", -1, None), ("A", 0, 1.0), ("A", 3, 1.0), ("A", 8, 1.0), ("A", 9, 2.0), ("A", 40, 2.0), ("B", 0, None), ("C", 0, None)]
+
+
+def test_zones_over_steps(spark):
+    rows = [("A", low, low + wide) for low in range(-30, 30, 3) for wide in (0, 4, 25)]
+    zones = spark.createDataFrame([(s, float(a), float(b)) for s, a, b in rows], "symbol string, zone_low double, zone_high double")
+    bars = spark.createDataFrame([(s, float(a), float(b)) for s, a, b in rows[::2]], "symbol string, low double, high double")
+    want = sorted((x, y, a, b) for _, x, y in rows[::2] for _, a, b in rows if x <= b and y >= a)
+    assert sorted((r["low"], r["high"], r["zone_low"], r["zone_high"]) for r in M.zone_touch(bars, zones).collect()) == want
+
+
+def test_bad_dates_raise_if_strict(spark):
+    df = spark.createDataFrame([("1700000000",), (None,), ("2024-01-02",)], "t string")
+    assert {r["e"] for r in df.select(S.to_epoch(F.col("t"), strict=True).alias("e")).collect()} == {1700000000, None, 1704153600}
+    with pytest.raises(Exception, match="not a date: soon"):
+        spark.createDataFrame([("soon",)], "t string").select(S.to_epoch(F.col("t"), strict=True)).collect()

@@ -52,9 +52,34 @@ def test_streaming_bars(spark, tmp_path):
 def test_stream_signals(spark, tmp_path):
     df, _ = ticks(spark, tmp_path)
     bars = build_bars(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "5")
-    want = {(r["symbol"], str(r["ts"])): r["signal"] for r in X.stream_signals_batch(bars).collect()}
+    want = {(r["symbol"], str(r["ts"])): (r["signal"], r["holding"]) for r in X.stream_signals_batch(bars).collect()}
     path = f"file://{tmp_path}/bars"
     timed = bars.withColumn("ts", F.col("ts").cast("timestamp"))
     timed.coalesce(1).write.parquet(path)
     got = run(X.stream_signals(spark.readStream.schema(timed.schema).parquet(path)), "signals")
-    assert {(r["symbol"], str(r["ts"])): r["signal"] for r in got.collect()} == want
+    assert {(r["symbol"], str(r["ts"])): (r["signal"], r["holding"]) for r in got.collect()} == want
+
+
+def test_late_ticks_are_left_out(spark, tmp_path):
+    path = f"{tmp_path}/late"
+    schema = "symbol string, ts timestamp, price double, size double, id long"
+    first = [("S", T0 + dt.timedelta(minutes=m), float(m), 1.0, m) for m in (0, 3, 40)]
+    late = [("S", T0 + dt.timedelta(minutes=m), 99.0, 1.0, m) for m in (4, 41, 75)]
+    for rows in (first, late):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        run_once(X.streaming_bars(spark.readStream.schema(schema).parquet(path), 30, "5 minutes"), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {r["ts"]: (r["high"], r["volume"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {T0: (3.0, 2.0), T0 + dt.timedelta(minutes=30): (99.0, 2.0)}
+
+
+def run_once(stream, path, checkpoint):
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+
+
+def test_panes_and_forming_bars_emit_any_change(spark):
+    bars = spark.createDataFrame([("A", "60", T0, 1.0, 2.0, 1.0, 1.5, 3.0), ("A", "60", T0 + dt.timedelta(hours=1), 1.0, 2.0, 1.0, 1.5, 3.00001), ("A", "60", T0 + dt.timedelta(hours=2), 1.0, 2.0, 1.0, 1.5, 3.00001)], "symbol string, resolution string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    panes = spark.createDataFrame([("L", 0, "A", "60")], "layout string, pane_index int, symbol string, resolution string")
+    assert [r["ts"] for r in X.stream_panes_batch(panes, bars).orderBy("ts").collect()] == [T0, T0 + dt.timedelta(hours=1)]
+    day = X.stream_bars_batch(X.forming_bars(bars, "D"), "part_ts").orderBy("part_ts").collect()
+    assert [r["new_bar"] for r in day] == [True, False, False] and day[-1]["volume"] == 9.00002
