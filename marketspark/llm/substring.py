@@ -6,15 +6,14 @@ once is itself unique, and only stretches of words around anchors that occur mor
 on: those of the windows of one anchor.
 
 The suffixes of these stretches are dealt by a prefix that they have in common, the anchor's
-run at first. A group of at most ``group_rows`` stretches is built into a suffix tree in
-memory. In a larger group equal stretches are first taken together: all their windows
-repeat, and one of them stands for them. If the group is still too large, its prefix is made
-longer: a window holds either the next words before its prefix or those behind it, so each
-stretch is split into the windows that begin further left and those that reach further
-right, half of what is missing to ``size`` words each time. These parts are shorter, so more
-of them are equal, and at the length of a window all of a group are. So groups get small
-within a logarithm of steps, nothing is a row for each window, and no group is held whole
-that doesn't fit.
+run at first. Equal stretches are taken together: all their windows repeat, and one of them
+stands for them. A group of at most ``group_rows`` of these is built into a suffix tree in
+memory. If a group is larger, its prefix is made longer: a window holds either the next words
+before its prefix or those behind it, so each stretch is split into the windows that begin
+further left and those that reach further right, half of what is missing to ``size`` words
+each time. These parts are shorter, so more of them are equal, and at the length of a window
+all of a group are. So groups get small within a logarithm of steps, nothing is a row for
+each window, and no group is held whole that doesn't fit.
 
 A tree is its leaves in the order of their suffixes and, between neighbours, the depth of
 their lowest common internal node. A leaf under an internal node of ``size`` words or more
@@ -29,7 +28,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -247,34 +247,94 @@ def _joined(rows: DataFrame, found: DataFrame, keys: list[str], total: int, leas
     return dealt.join(found.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*keys, "_salt"]).drop("_salt", "c")
 
 
-def _covered(stretches: DataFrame, size: int, gram: int, group_rows: int, hot_rows: int, scratch: Scratch) -> DataFrame:
+TAKEN = f"{STRETCH}, content long, kind int, n int, task int"
+MEMBER, INNER, BORDER = 0, 1, 2  # one of several equal stretches; a stretch for all equal to it; the same of a task's first or last run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches sorted by key, content and place to TAKEN: each run of equal ones once, and all its members if there are several.
+
+    One row and one batch are held at a time, however long a run is. n: 2 for several. Whether
+    a run goes on in another task isn't known here; first and last runs are marked for that.
+    """
+    task = TaskContext.get().partitionId()
+    before, first, open_row, open_n, open_kind = None, True, None, 0, INNER
+
+    def out(rows: pa.Table, kind: int, n: np.ndarray | int) -> pa.RecordBatch:
+        more = [np.full(rows.num_rows, kind, np.int32), np.broadcast_to(np.minimum(n, 2), rows.num_rows).astype(np.int32), np.full(rows.num_rows, task, np.int32)]
+        part = rows.column("part") if kind != MEMBER else pa.nulls(rows.num_rows, pa.string())
+        columns = [*(part if c == "part" else rows.column(c) for c in [*NAMES, "content"]), *map(pa.array, more)]
+        return pa.Table.from_arrays(columns, [c.split()[0] for c in TAKEN.split(", ")]).combine_chunks()
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        place = np.stack([table.column(c).to_numpy() for c in ("key", "content", "a", "b", "start")])
+        if not place.shape[1]:
+            continue
+        last = place[:, -1]
+        prior = place[:, :1] - 1 if before is None else before[:, None]
+        differs = place != np.concatenate([prior, place[:, :-1]], axis=1)
+        once = differs.any(axis=0)  # the same place twice is one
+        new = differs[:2].any(axis=0)[once]
+        table, before = table.filter(pa.array(once)), last
+        if not len(new):
+            continue
+        begin = np.flatnonzero(new)
+        goes_on = int(begin[0]) if len(begin) else len(new)
+        if goes_on:
+            if open_n == 1:
+                yield from out(open_row, MEMBER, 2).to_batches()
+            yield from out(table.slice(0, goes_on), MEMBER, 2).to_batches()
+            open_n += goes_on
+        if not len(begin):
+            continue
+        if open_row is not None:
+            yield from out(open_row, open_kind, open_n).to_batches()
+        sizes = np.diff(np.append(begin, len(new)))
+        inner = np.arange(int(first), len(begin) - 1)
+        if first and len(begin) > 1:
+            yield from out(table.slice(0, 1), BORDER, int(sizes[0])).to_batches()
+        if len(inner):
+            yield from out(table.take(pa.array(begin[inner])), INNER, sizes[inner]).to_batches()
+        several = np.repeat(sizes > 1, sizes)
+        if several.any():
+            yield from out(table.slice(int(begin[0])).filter(pa.array(several)), MEMBER, 2).to_batches()
+        open_row, open_n, open_kind = table.slice(int(begin[-1]), 1), int(sizes[-1]), BORDER if first and len(begin) == 1 else INNER
+        first = False
+    if open_row is not None:
+        yield from out(open_row, BORDER, open_n).to_batches()
+
+
+def _taken_together(rows: DataFrame, name: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(one stretch for all that are equal to it, (a, b, low, high) of all stretches that have an equal one).
+
+    Rows are dealt by ranges of key, content and place, so stretches equal to very many others
+    are dealt over many tasks. Of each task two runs at most may go on in another one.
+    """
+    placed = rows.withColumn("content", F.xxhash64("part")).repartitionByRange("key", "content", "a", "b", "start")
+    taken = scratch.stage(placed.sortWithinPartitions("key", "content", "a", "b", "start").mapInArrow(W.lean(_runs), TAKEN), name)
+    w = Window.partitionBy("key", "content")
+    border = taken.where(F.col("kind") == BORDER).withColumns({"_nth": F.row_number().over(w.orderBy("task", "a", "b", "start")), "_of": F.count(F.lit(1)).over(w)})
+    one = taken.where(F.col("kind") == INNER).select(*NAMES).unionByName(border.where("_nth = 1").select(*NAMES))
+    again = taken.where(F.col("kind") == MEMBER).select("a", "b", "start", "words").unionByName(border.where("n = 1 and _of > 1").select("a", "b", "start", "words"))
+    return one, again.select("a", "b", F.col("start").alias("low"), (F.col("start") + F.col("words")).alias("high"))
+
+
+def _covered(stretches: DataFrame, size: int, gram: int, group_rows: int, scratch: Scratch) -> DataFrame:
     """(a, b, low, high): the words that repeated windows of the stretches cover."""
     found, small, rows, prefix, level = [], [], stretches, gram, 0
     while True:
-        crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_rows)
-        crowded = scratch.stage(crowded.select("key"), "substring-crowded")
-        if not crowded.limit(1).count():
-            small.append(rows)
-            break
-        small.append(rows.join(crowded, "key", "left_anti"))
-        large = rows.join(crowded, "key", "left_semi").withColumns({"content": F.xxhash64("part"), "place": F.xxhash64("a", "b", "start")})
-        large = scratch.stage(large, f"substring-large-{level}")
-        contents = large.groupBy("key", "content").agg(F.min("place").alias("o0"), F.max("place").alias("o1"), F.count(F.lit(1)).alias("c"))
-        contents = scratch.stage(contents, f"substring-contents-{level}")
         # Stretches with an equal one repeat as a whole; one of them stands for all.
-        again = contents.where("o0 <> o1").select("key", "content", "c")
-        total = large.count()
-        equal = _joined(large.select("key", "content", "a", "b", "start", "words"), again, ["key", "content"], total, hot_rows, "a", "b", "start")
-        found.append(equal.select("a", "b", F.col("start").alias("low"), (F.col("start") + F.col("words")).alias("high")))
-        alone = large.join(contents.select("key", "content", F.col("o0").alias("place")), ["key", "content", "place"]).select(*NAMES)
-        alone = scratch.stage(alone.dropDuplicates(["key", "a", "b", "start"]), f"substring-alone-{level}")
-        crowded = alone.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_rows)
+        one, again = _taken_together(rows, f"substring-level-{level}", scratch)
+        found.append(again)
+        crowded = one.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_rows)
         crowded = scratch.stage(crowded.select("key"), "substring-crowded")
-        small.append(alone.join(crowded, "key", "left_anti"))
-        if prefix == size:
-            break  # stretches of such a group are one window, so all equal
+        if prefix == size or not crowded.limit(1).count():
+            small.append(one)  # at the length of a window a key's stretches are all equal
+            break
+        small.append(one.join(crowded, "key", "left_anti"))
         more = -(-(size - prefix) // 2)
-        rows = scratch.stage(alone.join(crowded, "key", "left_semi").mapInArrow(_longer_prefixes(size, prefix, more), STRETCH), f"substring-rows-{level}")
+        rows = scratch.stage(one.join(crowded, "key", "left_semi").mapInArrow(_longer_prefixes(size, prefix, more), STRETCH), f"substring-rows-{level}")
         prefix, level = prefix + more, level + 1
     trees = small[0]
     for more_rows in small[1:]:
@@ -324,7 +384,7 @@ def repeated_spans(
         stretches = scratch.stage(stretches, "substring-stretches")
         scratch.drop("substring-index", "substring-runs")
 
-        covered = _covered(stretches, size, gram, group_rows, hot_rows, scratch)
+        covered = _covered(stretches, size, gram, group_rows, scratch)
         found = covered.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("found"))
         whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_words").alias("high")))
         spans = classes.join(found, ["a", "b"], "left").select("a", "b", "copies", F.when(F.col("copies") > 1, whole).otherwise(F.col("found")).alias("spans"))
