@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import strip_em
-from .bounds import small
+
+GRAM = 3  # characters of a query that find what may hold it
 
 
 def dedupe_keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -14,11 +15,28 @@ def dedupe_keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
 
 
+def _grams(text: Column) -> Column:
+    """The empty run and every run of 1 to GRAM characters of a text; none for null."""
+    none = F.array().cast("array<string>")
+
+    def of_length(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda at: F.substring(text, at, F.lit(n)))
+        return F.when(F.length(text) >= n, runs).otherwise(none)
+
+    return F.when(text.isNotNull(), F.concat(F.array(F.lit("")), *(of_length(n) for n in range(1, GRAM + 1)))).otherwise(none)
+
+
+def _holding(rows: DataFrame, texts: tuple[Column, Column], asked: DataFrame, what: Column) -> DataFrame:
+    """rows joined with those of asked that are found in either text, by an equality on what's first GRAM characters."""
+    each = rows.withColumn("_gram", F.explode(F.array_distinct(F.concat(*(_grams(t) for t in texts)))))
+    near = asked.withColumn("_gram", F.substring(what, 1, GRAM))
+    return each.join(near, "_gram").where(texts[0].contains(what) | texts[1].contains(what)).drop("_gram")
+
+
 def search_symbols(catalog: DataFrame, queries: DataFrame, kind: str | None = None, limit: int = 15) -> DataFrame:
     """For each query the first limit symbols whose symbol or description holds it, exact ones first, then beginnings.
 
-    queries: one column, query, a table of bounded size (asked by people); it is compared with
-    every symbol, and only hits go on.
+    queries: one column, query. The empty one finds every symbol.
     """
     c = catalog if kind is None else catalog.where(F.col("type") == kind)
     named = c.select(
@@ -30,7 +48,7 @@ def search_symbols(catalog: DataFrame, queries: DataFrame, kind: str | None = No
         "seq",
     )
     q, s, d = F.lower("query"), F.lower("symbol"), F.lower("description")
-    hits = named.join(small(queries), s.contains(q) | d.contains(q))
+    hits = _holding(named, (s, d), queries, q)
     order = F.when(s == q, 0).when(s.startswith(q), 1).when(s.contains(q), 2).otherwise(3)
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "seq")))
     return ranked.where(F.col("rank") <= limit).drop("seq")
@@ -41,7 +59,7 @@ def resolve_name(names: DataFrame, targets: DataFrame, order: str = "seq") -> Da
     t = F.lower("target")
     n, title = F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))
     exact = (n == t) | (title == t)
-    hits = names.join(small(targets), n.contains(t) | title.contains(t))
+    hits = _holding(names, (n, title), targets, t)
     best = hits.groupBy("target").agg(F.min_by(F.struct("id", "name"), F.struct(F.when(exact, 0).otherwise(1).alias("p"), order)).alias("b"))
     return targets.join(best, "target", "left").select("target", F.col("b.id").alias("id"), F.col("b.name").alias("name"))
 

@@ -59,29 +59,45 @@ def equity_curve(trades: DataFrame, keys=STRATEGY, capital: float = CAPITAL) ->
 
 def drawdown_summary(curve: DataFrame, keys=STRATEGY) -> DataFrame:
     """max_drawdown, max_drawdown_pct (both at most 0) and longest_drawdown, in points under the peak."""
-    w = trade_window(keys)
-    runs = curve.withColumn("_run", F.row_number().over(w) - F.sum(F.when(F.col("drawdown") < 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    under = runs.groupBy(*keys, "_run").agg(F.count_if(F.col("drawdown") < 0).alias("_n"), F.min("drawdown").alias("_d"), F.min("drawdown_pct").alias("_p"))
-    return under.groupBy(*keys).agg(F.min("_d").alias("max_drawdown"), F.min("_p").alias("max_drawdown_pct"), F.max("_n").alias("longest_drawdown"))
+    return _with_runs(curve, {"_under": F.col("drawdown") < 0}, keys).groupBy(*keys).agg(*_drawdowns())
 
 
 def max_consecutive_losses(trades: DataFrame, keys=STRATEGY) -> DataFrame:
     """The longest run of losses in trade order; trades at 0 break it."""
-    w = trade_window(keys)
-    lost = F.when(F.col("pnl") < 0, 1).otherwise(0)
-    runs = trades.withColumns({"_l": lost, "_run": F.row_number().over(w) - F.sum(lost).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return runs.groupBy(*keys, "_run").agg(F.sum("_l").alias("_n")).groupBy(*keys).agg(F.max("_n").alias("max_consecutive_losses"))
+    return _with_runs(trades, {"_losing": F.col("pnl") < 0}, keys).groupBy(*keys).agg(_losses())
 
 
 def time_in_market(trades: DataFrame, keys=STRATEGY) -> DataFrame:
     """Share of the time from first entry to last exit that any trade covers; null for no time."""
+    return _with_cover(trades.select(*keys, "entry_ts", "exit_ts", "trade_id"), keys).groupBy(*keys).agg(_covered())
+
+
+def _with_runs(trades: DataFrame, runs: dict[str, Column], keys) -> DataFrame:
+    """trades with, for each condition, the number of trades in a row up to this one that meet it."""
+    w = trade_window(keys)
+    numbered = trades.withColumn("_n", F.row_number().over(w))
+    broken = lambda c: F.max(F.when(c, None).otherwise(F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.withColumns({name: (F.col("_n") - F.coalesce(broken(c), F.lit(0))).cast("long") for name, c in runs.items()})
+
+
+def _drawdowns() -> list[Column]:
+    return [F.min("drawdown").alias("max_drawdown"), F.min("drawdown_pct").alias("max_drawdown_pct"), F.max("_under").alias("longest_drawdown")]
+
+
+def _losses() -> Column:
+    return F.max("_losing").alias("max_consecutive_losses")
+
+
+def _covered() -> Column:
+    return F.try_divide(F.sum("_new"), F.max("_b") - F.min("_a")).alias("time_in_market")
+
+
+def _with_cover(trades: DataFrame, keys) -> DataFrame:
+    """trades with _a and _b, entry and exit in seconds, and _new, what a trade adds to the time covered by those before it."""
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    spans = trades.select(*keys, seconds("entry_ts").alias("_a"), seconds("exit_ts").alias("_b"), "trade_id")
     w = Window.partitionBy(*keys).orderBy("_a", "_b", "trade_id").rowsBetween(Window.unboundedPreceding, -1)
-    # What a span adds to those that begin before it.
-    reached = F.max("_b").over(w)
-    added = spans.withColumn("_new", F.greatest(F.lit(0), F.col("_b") - F.greatest("_a", F.coalesce(reached, F.col("_a")))))
-    return added.groupBy(*keys).agg(F.try_divide(F.sum("_new"), F.max("_b") - F.min("_a")).alias("time_in_market"))
+    reached = F.coalesce(F.max("_b").over(w), F.col("_a"))
+    return trades.withColumns({"_a": seconds("entry_ts"), "_b": seconds("exit_ts")}).withColumn("_new", F.greatest(F.lit(0), F.col("_b") - F.greatest("_a", reached)))
 
 
 def report_flags(metrics: DataFrame, few: int = 30) -> DataFrame:
@@ -150,9 +166,9 @@ def rank_scan(results: DataFrame, metric: str, by=("resolution",), top: int | No
 
 
 def strategy_report(trades: DataFrame, keys=STRATEGY, capital: float = CAPITAL) -> DataFrame:
-    """Metrics, drawdowns, longest losing run, time in market and flags in one row for each strategy."""
-    parts = [drawdown_summary(equity_curve(trades, keys, capital), keys), max_consecutive_losses(trades, keys), time_in_market(trades, keys)]
-    out = strategy_metrics(trades, keys, capital)
-    for p in parts:
-        out = out.join(p, list(keys))
-    return report_flags(out)
+    """Metrics, drawdowns, longest losing run, time in market and flags in one row for each strategy.
+
+    Trades are read and shuffled once: all windows and the grouping are by the same keys.
+    """
+    runs = _with_runs(equity_curve(trades, keys, capital), {"_under": F.col("drawdown") < 0, "_losing": F.col("pnl") < 0}, keys)
+    return report_flags(_with_cover(runs, keys).groupBy(*keys).agg(*_metrics(capital), *_drawdowns(), _losses(), _covered()))
