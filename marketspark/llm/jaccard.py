@@ -365,7 +365,9 @@ def link_groups(
         pairs = a.join(b, "tok").where((F.col("a.uid") < F.col("b.uid")) & _may_link(percent, "a", "b")).select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v")).distinct()
         for end, name in (("u", "bu"), ("v", "bv")):
             pairs = pairs.join(blocks.select(F.col("uid").alias(end), F.col("block").alias(name)), end, "left")
-        pairs = pairs.withColumns({"low": F.least("bu", "bv"), "high": F.greatest("bu", "bv")}).join(block_pairs, ["low", "high"], "left_anti")
+        # Blocks compare a pair only if both of its sets are in one; least() and greatest() alone would skip a null.
+        both = F.col("bu").isNotNull() & F.col("bv").isNotNull()
+        pairs = pairs.withColumns({"low": F.when(both, F.least("bu", "bv")), "high": F.when(both, F.greatest("bu", "bv"))}).join(block_pairs, ["low", "high"], "left_anti")
         pairs = scratch.stage(pairs.select("u", "v"), "jaccard-pairs")
         active = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).unionByName(blocks.select("uid")).distinct()
 

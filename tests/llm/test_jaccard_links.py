@@ -1,5 +1,7 @@
 """Links of the n-gram Jaccard join against all pairs."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -52,3 +54,20 @@ def test_similar_sets_by_matrices():
     np.fill_diagonal(want, False)
     assert want.any() and (jaccard.similar(sets, [sets], 0, 60) == want).all()
     assert (jaccard.similar(sets, [sets], 30, 60) == want[:30, 30:]).all()
+
+
+@pytest.mark.parametrize("size, percent, n, words, ending", [(5, 80, 100, (40, 60), 10), (3, 90, 150, (90, 130), 11)])
+def test_texts_with_and_without_a_common_ending(spark, size, percent, n, words, ending):
+    """One text of each pair is in a crowded bucket, that of the ending, and the other in none."""
+    rng = random.Random(ending)
+    common = [f"end{k}" for k in range(ending)]
+    rows = []
+    for k in range(n):
+        own = [f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(*words))]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own + common))]
+    want = links_of(rows, size, percent)
+    assert sum(links for _, links in want) > n
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.link_groups(df, size, percent)
+    assert sorted(map(tuple, got.select("doc_id", "links").collect())) == want
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == sorted(groups_of(rows, size, percent))
