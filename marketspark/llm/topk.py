@@ -24,12 +24,15 @@ RINGS = 16  # the last one is open
 LONG = np.iinfo(np.int64)
 
 
-def integer_vectors(df: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
-    """vec_id, dim, v (little-endian doubles floor(scale * x), whole numbers) of the rows that take part."""
+def integer_vectors(df: DataFrame, vec_id: str, vector: str, scale: float, *more: str) -> DataFrame:
+    """vec_id, further columns, dim, v (little-endian doubles floor(scale * x), whole numbers) of the rows that take part.
+
+    Where scale * x is beyond doubles, that is from about 1e305 on, v holds floor(x) instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(batch.num_columns - 1)
             flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become nan
             offsets = lists.offsets.to_numpy()
             keep, out = [], []
@@ -39,18 +42,21 @@ def integer_vectors(df: DataFrame, vec_id: str, vector: str, scale: float) -> Da
                 scaled = np.where(np.isinf(scaled) & fine, np.floor(flat), scaled)  # beyond what doubles can scale
             bad = np.concatenate([[0], np.cumsum(~fine)])
             valid = lists.is_valid().to_numpy(zero_copy_only=False) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for k in np.flatnonzero(valid & (bad[offsets[1:]] == bad[offsets[:-1]]) & (np.diff(offsets) > 0)).tolist():
+            for k in np.flatnonzero(valid & (bad[offsets[1:]] == bad[offsets[:-1]])).tolist():
                 keep.append(k)
                 out.append(scaled[offsets[k] : offsets[k + 1]].astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(o) // 8 for o in out], pa.int32()), pa.array(out, pa.binary())], ["vec_id", "dim", "v"])
+            kept = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(o) // 8 for o in out], pa.int32()), pa.array(out, pa.binary())], [*names, "dim", "v"])
 
-    kind = df.schema[vec_id].dataType.simpleString()
-    return df.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("x")).mapInArrow(run, f"vec_id {kind}, dim int, v binary")
+    names = ["vec_id", *more]
+    kinds = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, [vec_id, *more], strict=True))
+    columns = [F.col(c).alias(n) for n, c in zip(names, [vec_id, *more], strict=True)]
+    return df.select(*columns, F.col(vector).cast("array<double>").alias("x")).mapInArrow(run, f"{kinds}, dim int, v binary")
 
 
 def _matrix(column) -> np.ndarray:
     rows = list(column)
-    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), len(rows[0]) // 8 if rows else 0)
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -181,8 +187,8 @@ def top_k(
 
     queries: a condition on vec_id. Scores are integer inner products of floor(scale * x); ties
     go to the smaller id. A score beyond long's range is long's nearest end, and so ties with
-    others there. Rows with a null id, a null or empty vector, null or non-finite components
-    take no part. Vectors are compared with those of their own length. A query whose id repeats
+    others there. Rows with a null id, a null vector, null or non-finite components take no
+    part. Vectors are compared with those of their own length; empty ones score 0. A query whose id repeats
     is asked once for each length, with the least of its vectors; repeated rows are candidates
     each. No vectors: no rows. Further columns are ignored, whatever their names.
 

@@ -7,7 +7,7 @@ from marketspark.llm import topk
 
 
 def brute(rows, step, k, scale=1024.0):
-    ok = [(i, [int(np.floor(scale * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [int(np.floor(scale * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for d in {len(v) for _, v in ok}:
         same = [(i, v) for i, v in ok if len(v) == d]
@@ -32,7 +32,7 @@ def test_same_as_brute_force(spark):
 
 
 def test_odd_vectors_and_few_rows(spark):
-    rows = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (6, [-1.0, 0.001]), (7, [1.0]), (None, [1.0, 1.0]), (8, [0.0, 0.0]), (9, [200_000.0, -100_000.0]), (10, [3.0]), (11, [300_000.0, 1.0]), (12, [1e12, -2.0]), (13, [-1e12, 3e5]), (14, [1e30, 1.0])]
+    rows = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (6, [-1.0, 0.001]), (7, [1.0]), (None, [1.0, 1.0]), (8, [0.0, 0.0]), (9, [200_000.0, -100_000.0]), (10, [3.0]), (11, [300_000.0, 1.0]), (12, [1e12, -2.0]), (13, [-1e12, 3e5]), (14, [1e30, 1.0]), (15, []), (16, [])]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, pivot int")
     got = topk.top_k(df, asked(2), 10, pivots=3)
     assert sorted(map(tuple, got.collect())) == brute(rows, 2, 10)
