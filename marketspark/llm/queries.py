@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, license_scan, mining, mixing, packing, quality, substring, token_store, topk, url_filter, warc
+from . import chat, jaccard, license_scan, mining, mixing, packing, quality, substring, token_store, topk, url_filter, warc
 
 #: The rules of the url query: fixed values.
 URL_RULES = (
@@ -85,6 +87,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation, read back."""
+    rows = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    records = rows.select("conv_id", F.to_variant_object(F.struct("turn", "role", "text")).alias("record"))
+    said = json.dumps({"messages": [{"role": role, "content": "</s>[INST] ok [/INST]"} for role in ("user", "assistant")]})
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.parse_json(F.lit(said)).alias("record"))
+    turns = chat.canonical_turns(records.unionByName(more))
+    return chat.conversation_digests(chat.read_turns(chat.format_turns(turns)))
+
+
 OP1_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -162,10 +174,26 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """
 
+OP12_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, role = 'assistant' AS learned,
+        CASE role WHEN 'user' THEN length('[INST][/INST]') WHEN 'system' THEN length('[SYS][/SYS]') WHEN 'assistant' THEN length('</s>')
+          ELSE length('[ROLE][/ROLE][/TURN]') + length(role) + len(regexp_extract_all(role, '[\[<]\\*(/?INST\]|/?SYS\]|/?ROLE\]|/TURN\]|/s>)')) END AS marks,
+        len(regexp_extract_all(text, '[\[<]\\*(/?INST\]|/?SYS\]|/?ROLE\]|/TURN\]|/s>)')) AS escapes FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE learned), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE learned), '')) AS loss_sha256,
+  sum(marks + length(text) + escapes)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
 
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op6_quality_rules": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op1_url_filter": OP1_SQL, "op6_quality_rules": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_chat_format": OP12_SQL}
