@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, license_scan, mining, mixing, packing, quality, substring, token_store, topk, url_filter, warc
+from . import chat, jaccard, license_scan, mining, mixing, packing, quality, spelling, substring, token_store, topk, url_filter, warc
 
 #: The rules of the url query: fixed values.
 URL_RULES = (
@@ -97,6 +97,11 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.read_turns(chat.format_turns(turns)))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of the words of at least 5 code points and 3 occurrences."""
+    return spelling.variant_groups(spelling.vocabulary(_read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 OP1_SQL = r"""
 WITH p AS (
   SELECT page_id,
