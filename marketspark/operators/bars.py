@@ -35,11 +35,12 @@ def bucket(ts: Column | str, resolution: str) -> Column:
 def in_order(ts: Column | str = "ts", tie: Column | str = "id") -> Column:
     """One number that sorts like ts and, among equal ones, like the whole number tie.
 
-    min_by and max_by of it are hashed; of a struct they would be sorted.
+    min_by and max_by of it are hashed; of a struct they would be sorted. Any 64-bit tie fits: two
+    of them are less than the factor apart.
     """
     ts, tie = (F.col(c) if isinstance(c, str) else c for c in (ts, tie))
     micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)")
-    return (micros * F.expr("10000000000000000000BD") + F.coalesce(tie, F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return (micros * F.expr("20000000000000000000BD") + F.coalesce(tie, F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def build_bars(ticks: DataFrame, resolution: str) -> DataFrame:
@@ -155,7 +156,8 @@ def renko(bars: DataFrame, brick: float) -> DataFrame:
     """symbol, resolution, ts, brick_no, open, close of the bricks that each symbol's closes fill.
 
     The first close is the first edge; a close at least one brick beyond the last edge makes
-    bricks towards it, and two bricks are needed to turn.
+    bricks towards it, and two bricks are needed to turn. Edges are sums of bricks, one after the
+    other, so rows go in order through one task; renko_on_grid needs no such task.
     """
 
     def step(state, close):

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import KEY, bar_window, latest_bars
+from .dyadic import piece_of, pieces, pieces_of
+from .recurrence import places
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, values: list[str], tie: str | None = None, chunk: str = "day") -> DataFrame:
@@ -38,12 +40,18 @@ def htf_align(low: DataFrame, high: DataFrame, seconds: int, values: list[str])
 
 
 def visible_range(bars: DataFrame, start, end) -> DataFrame:
-    """Bars from start to end, both included; without a bar from start on, from the first; without one up to end, to the last."""
-    w = Window.partitionBy(*KEY)
+    """Bars from start to end, both included; without a bar from start on, from the first; without one up to end, to the last.
+
+    The range reaches the scan; only symbols that lie wholly outside of it are read again.
+    """
     first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    low = F.when(F.max("ts").over(w) < first, F.min("ts").over(w)).otherwise(first)
-    high = F.when(F.min("ts").over(w) > last, F.max("ts").over(w)).otherwise(last)
-    return bars.withColumns({"_low": low, "_high": high}).where(F.col("ts").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    inside = bars.where((F.col("ts") >= first) & (F.col("ts") <= last))
+    extremes = bars.groupBy(*KEY).agg(F.min("ts").alias("_min"), F.max("ts").alias("_max"))
+    outside = extremes.where((F.col("_max") < first) | (F.col("_min") > last))
+    low = F.when(F.col("_max") < first, F.col("_min")).otherwise(first)
+    high = F.when(F.col("_min") > last, F.col("_max")).otherwise(last)
+    more = bars.join(outside, list(KEY)).where(F.col("ts").between(low, high)).select(*bars.columns)
+    return inside.unionByName(more)
 
 
 def around_date(bars: DataFrame, anchors: DataFrame, seconds_per_bar: int, half_bars: int = 25) -> DataFrame:
@@ -111,38 +119,97 @@ def nearest_level(quotes: DataFrame, levels: DataFrame) -> DataFrame:
     return quotes.join(found, "symbol", "left")
 
 
-def zone_touch(bars: DataFrame, zones: DataFrame, step: float = 10.0) -> DataFrame:
-    """Bars and zones (symbol, zone_high, zone_low) that overlap.
+def zone_touch(bars: DataFrame, zones: DataFrame, step: float = 1.0) -> DataFrame:
+    """Bars and zones (symbol, zone_high, zone_low) that overlap, each pair once.
 
-    Prices are cut into steps, so the join is an equality on symbol and step; of the steps
-    that a bar and a zone share the lowest counts. step should be about a usual bar's range.
+    Two ranges overlap if one holds the other's low end. In steps of price, a range is cut into
+    aligned pieces, 2 for each doubling of its width at most, and an end looks at the pieces of
+    those levels that occur: equalities on symbol and piece, whatever the widths. The levels, 62
+    at most, come to the driver. Ranges with a null, nan or infinite end, or a high end under the
+    low one, overlap with nothing.
     """
     cut = lambda c: F.floor(F.col(c) / step)
-    steps = lambda low, high: F.explode(F.when(F.col(low) <= F.col(high), F.sequence(cut(low), cut(high))))
-    each = bars.withColumn("_step", steps("low", "high"))
-    near = zones.withColumn("_step", steps("zone_low", "zone_high"))
-    overlap = (F.col("low") <= F.col("zone_high")) & (F.col("high") >= F.col("zone_low"))
-    return each.join(near, ["symbol", "_step"]).where(overlap & (F.col("_step") == F.greatest(cut("low"), cut("zone_low")))).drop("_step")
+    fine = lambda low, high: (F.col(low) <= F.col(high)) & (F.abs(low) < 1e15) & (F.abs(high) < 1e15)
+    sides = {"bar": (bars.where(fine("low", "high")), "low", "high"), "zone": (zones.where(fine("zone_low", "zone_high")), "zone_low", "zone_high")}
+    columns = [*bars.columns, *(c for c in zones.columns if c != "symbol")]
+    out = None
+    # The zone's low end inside the bar; then the bar's inside the zone, but for the zone's own low end.
+    for holder, point in (("bar", "zone"), ("zone", "bar")):
+        ranged, low, high = sides[holder]
+        pointed, at, _ = sides[point]
+        ranged = ranged.withColumn("_p", F.explode(pieces(cut(low), cut(high))))
+        levels = sorted(r[0] for r in ranged.select("_p.level").distinct().collect())
+        pointed = pointed.withColumn("_p", F.explode(pieces_of(cut(at), levels)))
+        inside = (F.col(low) <= F.col(at)) & (F.col(at) <= F.col(high)) if holder == "bar" else (F.col(low) < F.col(at)) & (F.col(at) <= F.col(high))
+        found = ranged.join(pointed, ["symbol", "_p"]).where(inside).select(*columns)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+TREE_BITS, TREE_LEVELS = 4, 4  # nodes of 1, 16, 256 and 4096 spans
+
+
+def _span_tree(bars: DataFrame, span_seconds: int) -> DataFrame:
+    """symbol, level, piece and, over the node's bars: the extremes of closes, of closes and those before them, of closes that rose to or fell to theirs."""
+    seen = places(bars, "close")
+    span = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span_seconds)
+    close, before = F.col("close"), F.col("_before")
+    leaf = seen.groupBy("symbol", span.alias("piece")).agg(
+        F.max("close").alias("top"), F.min("close").alias("bottom"),
+        F.max(F.when(before.isNotNull(), F.greatest(close, before))).alias("all_top"), F.min(F.when(before.isNotNull(), F.least(close, before))).alias("all_bottom"),
+        F.max(F.when(close > before, close)).alias("rose_to"), F.min(F.when(close < before, close)).alias("fell_to"),
+    )
+    highest, lowest = ("top", "all_top", "rose_to"), ("bottom", "all_bottom", "fell_to")
+    out = level = leaf.withColumn("level", F.lit(0))
+    for k in range(1, TREE_LEVELS):
+        up = level.groupBy("symbol", piece_of(F.col("piece"), 1, TREE_BITS).alias("piece"))
+        level = up.agg(*(F.max(c).alias(c) for c in highest), *(F.min(c).alias(c) for c in lowest)).withColumn("level", F.lit(k))
+        out = out.unionByName(level)
+    return out
 
 
 def eval_alerts(bars: DataFrame, alerts: DataFrame, span_seconds: int = 86_400) -> DataFrame:
     """Active alerts with fired_ts: the first bar, from created to expiration, that meets the condition; null if none does.
 
-    Time is cut into spans, so the join is an equality on symbol and span; an alert takes part
-    in those from its creation to its expiration, or to its symbol's last bar if that is earlier.
+    The bars of the spans in which an alert begins and ends are looked at one by one. Between
+    them a tree over the spans tells by a node's extremes whether it has a bar that meets the
+    condition: the lasting time is cut into the tree's nodes, the first that has one is followed
+    down to its span, and only that span's bars are read. So rows grow with the alerts and the
+    depth of the tree, not with the bars of the time that an alert lasts. An alert without an end
+    lasts to its symbol's last bar. Nan closes meet nothing.
     """
+    bars = bars.where("not isnan(close)")
     span = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / span_seconds)
-    seen = bars.withColumn("_before", F.lag("close").over(bar_window())).select("symbol", "ts", "close", "_before", span("ts").alias("_span"))
+    seen = places(bars, "close").select("symbol", "ts", "close", F.col("_before"), span("ts").alias("_span"))
     newest = bars.groupBy("symbol").agg(F.max("ts").alias("_newest"))
-    p = F.col("price")
+    p, kind = F.col("price"), F.col("condition")
     crossed = ((F.col("_before") < p) & (F.col("close") >= p)) | ((F.col("_before") > p) & (F.col("close") <= p))
-    meets = F.when(F.col("condition") == "crossing", crossed).when(F.col("condition") == "greater_than", F.col("close") > p).when(F.col("condition") == "less_than", F.col("close") < p)
+    meets = F.when(kind == "crossing", crossed).when(kind == "greater_than", F.col("close") > p).when(kind == "less_than", F.col("close") < p)
+    # A path that rises to p or beyond and is below p at some time crosses it, before or after; so does one that falls to it.
+    path = ((F.col("rose_to") >= p) & (F.col("all_bottom") < p)) | ((F.col("fell_to") <= p) & (F.col("all_top") > p))
+    holds = F.when(kind == "crossing", path).when(kind == "greater_than", F.col("top") > p).when(kind == "less_than", F.col("bottom") < p)
     inside = (F.col("ts") >= F.col("created")) & (F.col("expiration").isNull() | (F.col("ts") <= F.col("expiration")))
     active = alerts.where("active")
-    # Alerts created after the last bar meet none; for them sequence would count down.
-    lasting = active.join(newest, "symbol").where(F.col("created") <= F.col("_newest")).withColumn("_until", F.least("_newest", "expiration"))
-    lasting = lasting.where(F.col("_until") >= F.col("created")).withColumn("_span", F.explode(F.sequence(span("created"), span("_until"))))
-    fired = lasting.join(seen, ["symbol", "_span"]).where(meets & inside).groupBy("alert_id").agg(F.min("ts").alias("fired_ts"))
+    lasting = active.join(newest, "symbol").withColumn("_until", F.least("_newest", "expiration")).where(F.col("_until") >= F.col("created"))
+    lasting = lasting.select("alert_id", "symbol", "price", "condition", "created", "expiration", span("created").alias("_first"), span("_until").alias("_last"))
+
+    ends = lasting.withColumn("_span", F.explode(F.array_distinct(F.array("_first", "_last"))))
+    tree = _span_tree(bars, span_seconds)
+    nodes = tree.select(F.col("symbol").alias("_s"), F.col("level").alias("_l"), F.col("piece").alias("_p"), *(c for c in tree.columns if c not in ("symbol", "level", "piece")))
+    cut = lasting.withColumn("_n", F.explode(pieces(F.col("_first") + 1, F.col("_last") - 1, TREE_BITS, TREE_LEVELS)))
+    cut = cut.select("alert_id", "symbol", "price", "condition", "created", "expiration", F.col("_n.level").alias("_level"), F.col("_n.piece").alias("_piece"))
+    keep = ["alert_id", "symbol", "price", "condition", "created", "expiration"]
+    begins = F.col("_piece") * F.pow(F.lit(float(1 << TREE_BITS)), F.col("_level")).cast("long")
+    met = cut.join(nodes, (F.col("symbol") == F.col("_s")) & (F.col("_level") == F.col("_l")) & (F.col("_piece") == F.col("_p"))).where(holds)
+    at = met.groupBy("alert_id").agg(F.min_by(F.struct(*keep[1:], "_level", "_piece"), begins).alias("a")).select("alert_id", "a.*")
+    for k in range(TREE_LEVELS - 1, 0, -1):
+        here = at.where(F.col("_level") == k)
+        below = nodes.where(F.col("_l") == k - 1).withColumn("_up", piece_of(F.col("_p"), 1, TREE_BITS))
+        down = here.join(below, (F.col("symbol") == F.col("_s")) & (F.col("_piece") == F.col("_up"))).where(holds)
+        down = down.groupBy("alert_id").agg(F.min_by(F.struct(*keep[1:], F.col("_l").alias("_level"), F.col("_p").alias("_piece")), "_p").alias("a")).select("alert_id", "a.*")
+        at = at.where(F.col("_level") < k).unionByName(down)
+    looked = ends.select(*keep, "_span").unionByName(at.select(*keep, F.col("_piece").alias("_span")))
+    fired = looked.join(seen, ["symbol", "_span"]).where(meets & inside).groupBy("alert_id").agg(F.min("ts").alias("fired_ts"))
     return active.join(fired, "alert_id", "left")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import bars as B
 from .operators import depth as D
+from .operators import renko as R
 from .operators import signals as G
 from .plans import workflows as P
 from .queries import query
@@ -35,6 +36,25 @@ def renko(spark, d):
     return rounded(B.renko(hourly(spark, d), BRICK), "open", "close")
 
 
+@query(
+    "bar9_renko_on_grid",
+    f"""{BARS}, c AS (SELECT symbol, resolution, ts, close, {ROWS}, first(close ORDER BY ts) OVER (PARTITION BY symbol, resolution) AS a FROM bars WHERE close IS NOT NULL),
+g AS (SELECT *, floor((close - a) / {BRICK}::DOUBLE)::BIGINT AS q FROM c),
+k AS (SELECT *, q + (close >= a + (q + 1) * {BRICK}::DOUBLE)::BIGINT - (close < a + q * {BRICK}::DOUBLE)::BIGINT AS under FROM g),
+f AS (SELECT symbol, resolution, ts, i, a, 0::BIGINT AS low, 0::BIGINT AS high, 0::BIGINT AS start_edge, 0::BIGINT AS way, 0::BIGINT AS bricks FROM k WHERE i = 1
+UNION ALL SELECT symbol, resolution, ts, i, a, CASE WHEN up > 0 THEN h + up - 1 WHEN down > 0 THEN l - down ELSE l END, CASE WHEN up > 0 THEN h + up WHEN down > 0 THEN l - down + 1 ELSE h END,
+  CASE WHEN up > 0 THEN h ELSE l END, CASE WHEN up > 0 THEN 1 ELSE -1 END, greatest(up, down)
+  FROM (SELECT k.*, f.low AS l, f.high AS h, greatest(under - f.high, 0) AS up, greatest(f.low - under - (close > k.a + under * {BRICK}::DOUBLE)::BIGINT, 0) AS down
+    FROM f JOIN k ON f.symbol = k.symbol AND f.resolution = k.resolution AND k.i = f.i + 1)),
+m AS (SELECT *, coalesce(sum(bricks) OVER (PARTITION BY symbol, resolution ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS made, unnest(range(bricks)) AS j FROM f),
+r AS (SELECT symbol, resolution, ts, made + j AS brick_no, a + (start_edge + way * j) * {BRICK}::DOUBLE AS open, a + (start_edge + way * (j + 1)) * {BRICK}::DOUBLE AS close FROM m)
+SELECT symbol, resolution, ts, brick_no, {r6("open")}, {r6("close")} FROM r""",
+)
+def renko_on_grid(spark, d):
+    """Chunks of weeks, so that one month of events makes several."""
+    return rounded(R.renko_on_grid(hourly(spark, d), BRICK, F.date_trunc("week", "ts")), "open", "close")
+
+
 FOLD = f"""acts AS (SELECT symbol, resolution, ts, signal, close AS p, {ROWS} FROM sig WHERE signal <> 'flat'),
 fold AS (SELECT symbol, resolution, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS side, 0.0::DOUBLE AS size, 0.0::DOUBLE AS filled, 100.0::DOUBLE AS quote_after, 0.0::DOUBLE AS base_after FROM acts WHERE i = 1
 UNION ALL SELECT symbol, resolution, i, ts, side, size, CASE side WHEN 'buy' THEN size / p WHEN 'sell' THEN size END, CASE side WHEN 'buy' THEN q - size WHEN 'sell' THEN q + size * p ELSE q END,

@@ -227,7 +227,7 @@ def test_rounding_of_odd_numbers(spark):
 
 
 def test_one_number_orders_times_and_ties(spark):
-    rows = [(at(k % 3), t) for k in range(3) for t in (-5, 0, 9_000_000_000_000_000_000)]
+    rows = [(at(k % 3), t) for k in range(3) for t in (-(2**63), -5, 0, 9_000_000_000_000_000_000, 2**63 - 1)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, id long")
     assert [r[:] for r in df.orderBy(B.in_order()).collect()] == sorted(rows)
 
