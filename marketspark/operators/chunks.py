@@ -36,9 +36,8 @@ def running(df: DataFrame, columns: dict[str, tuple[str, Column]], keys: Sequenc
 
     totals = work.groupBy(*keys, "_chunk").agg(*(total(kind, f"_x_{n}").alias(f"_x_{n}") for n, (kind, _) in columns.items()))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_chunk"])), *(over(kind, f"_x_{n}", earlier).alias(f"_c_{n}") for n, (kind, _) in columns.items()))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, "_chunk"])]
-    joined = work.join(carried, same)
+    carried = totals.select(*keys, "_chunk", *(over(kind, f"_x_{n}", earlier).alias(f"_c_{n}") for n, (kind, _) in columns.items()))
+    joined = joined_on(work, carried, [*keys, "_chunk"])
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     found = {}
     for n, (kind, _) in columns.items():
@@ -47,6 +46,35 @@ def running(df: DataFrame, columns: dict[str, tuple[str, Column]], keys: Sequenc
     return joined.withColumns(found).select(*[c for c in df.columns if c not in columns], *columns)
 
 
+def longest_runs(df: DataFrame, conditions: dict[str, Column], keys: Sequence[str], order: Sequence[str], chunk: Column) -> DataFrame:
+    """A row for each key: the most rows in a row, in order, that meet each condition (null counts as not met).
+
+    A chunk tells its longest run and where conditions were first and last not met, so a run that
+    goes on over chunks is known from one row for each chunk.
+    """
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    work = df.withColumn("_chunk", chunk).withColumn("_at", F.row_number().over(inside).cast("long"))
+    work = work.withColumns({f"_stop_{n}": F.when(~F.coalesce(c, F.lit(False)), F.col("_at")) for n, c in conditions.items()})
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    work = work.withColumns({f"_run_{n}": F.col("_at") - F.coalesce(F.max(f"_stop_{n}").over(so_far), F.lit(0)) for n in conditions})
+    each = [x for n in conditions for x in (F.max(f"_run_{n}").alias(f"_run_{n}"), F.min(f"_stop_{n}").alias(f"_first_{n}"), F.max(f"_stop_{n}").alias(f"_last_{n}"))]
+    parts = work.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"), *each)
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_rows_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    for n in conditions:
+        stopped = F.coalesce(F.max(F.col("_rows_before") + F.col(f"_last_{n}")).over(earlier), F.lit(0))
+        lead = F.coalesce(F.col(f"_first_{n}") - 1, F.col("_rows"))
+        parts = parts.withColumn(n, F.greatest(F.col(f"_run_{n}"), lead + F.col("_rows_before") - stopped))
+    return parts.groupBy(*keys).agg(*(F.max(n).cast("long").alias(n) for n in conditions))
+
+
+def joined_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left with right's further columns, by equal keys, nulls too; right has each key once."""
+    other = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return left.join(other, same, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+
+
 def in_blocks(bars: DataFrame, rows_before: int, f: Callable[[DataFrame, WindowSpec], DataFrame], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """f(bars, window) in blocks of block_rows bars of a symbol and resolution, for windows over rows_before bars and the present one.
 

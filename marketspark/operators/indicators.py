@@ -1,42 +1,50 @@
-"""Indicators over bars. Trailing ones are window expressions; full-history ones use linrec."""
+"""Indicators over bars. Trailing ones are windows in blocks of bars; full-history ones use linrec."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import or_zero
-from .bars import KEY, bar_window
+from .bars import KEY
+from .chunks import in_blocks
 from .recurrence import linrec, places
 
 LOOKBACK = 30
 
 
-def _trailing(n: int):
-    return bar_window().rowsBetween(-(n - 1), 0)
+def _last(w: WindowSpec, n: int) -> WindowSpec:
+    return w.rowsBetween(-(n - 1), 0)
 
 
-def _whole(n: int, value: Column) -> Column:
+def _whole(w: WindowSpec, n: int, value: Column) -> Column:
     """value once n rows are there, else null."""
-    return F.when(F.row_number().over(bar_window()) >= n, value)
+    return F.when(F.row_number().over(w) >= n, value)
 
 
 def ema(bars: DataFrame, n: int, lookback: int = LOOKBACK, out: str | None = None) -> DataFrame:
     """Exponential average of the last lookback closes, from the first of them."""
+    return in_blocks(bars, lookback - 1, lambda b, w: ema_over(b, w, n, lookback, out))
+
+
+def ema_over(bars: DataFrame, w: WindowSpec, n: int, lookback: int = LOOKBACK, out: str | None = None) -> DataFrame:
+    """ema over an ordered window."""
     k = 2.0 / (n + 1)
-    closes = F.collect_list("close").over(_trailing(lookback))
+    closes = F.collect_list("close").over(_last(w, lookback))
     folded = F.aggregate(F.slice(closes, 2, lookback), F.get(closes, 0), lambda acc, x: x * F.lit(k) + acc * F.lit(1 - k))
     return bars.withColumn(out or f"ema{n}", folded)
 
 
 def rsi_simple(bars: DataFrame, n: int = 3, out: str | None = None) -> DataFrame:
     """Relative strength of plain sums of the last n differences; 50 without n of them, 100 without losses."""
-    w = bar_window()
-    diff = F.col("close") - F.lag("close").over(w)
-    with_diff = bars.withColumn("_d", diff)
-    last = w.rowsBetween(-(n - 1), 0)
-    gains = F.sum(F.greatest("_d", F.lit(0.0))).over(last)
-    losses = F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).over(last)
+    return in_blocks(bars, n, lambda b, w: rsi_over(b, w, n, out))
+
+
+def rsi_over(bars: DataFrame, w: WindowSpec, n: int = 3, out: str | None = None) -> DataFrame:
+    """rsi_simple over an ordered window."""
+    with_diff = bars.withColumn("_d", F.col("close") - F.lag("close").over(w))
+    gains = F.sum(F.greatest("_d", F.lit(0.0))).over(_last(w, n))
+    losses = F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).over(_last(w, n))
     value = F.when(F.row_number().over(w) <= n, 50.0).when(losses == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gains, losses)))
     return with_diff.withColumn(out or f"rsi{n}", value).drop("_d")
 
@@ -50,42 +58,46 @@ def vwap(bars: DataFrame) -> DataFrame:
 
 def rolling_vwap(bars: DataFrame, n: int = LOOKBACK, out: str = "vwap") -> DataFrame:
     """The vwap of the last n bars."""
+    return in_blocks(bars, n - 1, lambda b, w: vwap_over(b, _last(w, n), out))
+
+
+def vwap_over(bars: DataFrame, w: WindowSpec, out: str = "vwap") -> DataFrame:
+    """The vwap of a window's bars."""
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    w = _trailing(n)
     volume = F.sum(or_zero(F.col("volume"))).over(w)
     return bars.withColumn(out, F.when(volume == 0, F.col("close")).otherwise(F.try_divide(F.sum(typical * or_zero(F.col("volume"))).over(w), volume)))
 
 
 def session_vwap(bars: DataFrame, out: str = "session_vwap") -> DataFrame:
     """The vwap of the day so far."""
-    w = Window.partitionBy(*KEY, F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    volume = F.sum(or_zero(F.col("volume"))).over(w)
-    return bars.withColumn(out, F.when(volume == 0, F.col("close")).otherwise(F.try_divide(F.sum(typical * or_zero(F.col("volume"))).over(w), volume)))
+    return vwap_over(bars, Window.partitionBy(*KEY, F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0), out)
 
 
 def volume_ma(bars: DataFrame, n: int = 20, out: str = "volume_ma") -> DataFrame:
-    return bars.withColumn(out, _whole(n, F.avg(or_zero(F.col("volume"))).over(_trailing(n))))
+    return in_blocks(bars, n - 1, lambda b, w: b.withColumn(out, _whole(w, n, F.avg(or_zero(F.col("volume"))).over(_last(w, n)))))
 
 
 def sma(bars: DataFrame, n: int = 20, out: str | None = None) -> DataFrame:
     """Mean of the last n closes; null before there are n."""
-    return bars.withColumn(out or f"sma{n}", _whole(n, F.avg("close").over(_trailing(n))))
+    return in_blocks(bars, n - 1, lambda b, w: b.withColumn(out or f"sma{n}", _whole(w, n, F.avg("close").over(_last(w, n)))))
 
 
 def bollinger(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     """bb_mid, bb_upper, bb_lower: the mean of n closes and width population deviations on either side."""
-    w = _trailing(n)
-    mid, dev = F.avg("close").over(w), F.stddev_pop("close").over(w)
-    return bars.withColumns({"bb_mid": _whole(n, mid), "bb_upper": _whole(n, mid + width * dev), "bb_lower": _whole(n, mid - width * dev)})
+
+    def bands(b: DataFrame, w: WindowSpec) -> DataFrame:
+        mid, dev = F.avg("close").over(_last(w, n)), F.stddev_pop("close").over(_last(w, n))
+        return b.withColumns({"bb_mid": _whole(w, n, mid), "bb_upper": _whole(w, n, mid + width * dev), "bb_lower": _whole(w, n, mid - width * dev)})
+
+    return in_blocks(bars, n - 1, bands)
 
 
 def pct_change(bars: DataFrame) -> DataFrame:
     """pct_change (percent against the close before; null without one or if it is 0) and momentum: up, down or flat."""
-    before = F.lag("close").over(bar_window())
+    before = F.col("_before")
     change = F.try_divide((F.col("close") - before) * 100, F.nullif(before, F.lit(0.0)))
     step = F.when(F.col("close") > before, "up").when(F.col("close") < before, "down").otherwise("flat")
-    return bars.withColumns({"pct_change": change, "momentum": step})
+    return places(bars, "close").withColumns({"pct_change": change, "momentum": step}).drop("_before", "_n", "_chunk")
 
 
 def _ema_step(value: Column, n: int, out: str) -> tuple[Column, Column, str]:

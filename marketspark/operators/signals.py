@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bars import bar_window, fold_rows
-from .indicators import ema, pct_change, rolling_vwap, rsi_simple, rsi_wilder
+from .bars import KEY, fold_rows
+from .chunks import in_blocks, running
+from .indicators import ema_over, pct_change, rsi_over, rsi_wilder, vwap_over
 from .matching import asof_join
-from .recurrence import linrec
+from .recurrence import linrec, month
 
 NO_SIGNAL = "no signal — conditions not met"
 
@@ -16,9 +17,9 @@ NO_SIGNAL = "no signal — conditions not met"
 def scalper_signal(bars: DataFrame, lookback: int = 30) -> DataFrame:
     """bars with ema8, rsi3, vwap over the last lookback bars and signal: buy, sell or flat.
 
-    One sort by symbol serves all of them.
+    One sort of each block of a symbol's bars serves all of them.
     """
-    out = rolling_vwap(rsi_simple(ema(bars, 8, lookback), 3), lookback)
+    out = in_blocks(bars, lookback - 1, lambda b, w: vwap_over(rsi_over(ema_over(b, w, 8, lookback), w, 3), w.rowsBetween(-(lookback - 1), 0)))
     bull = (F.col("close") > F.col("vwap")) & (F.col("close") > F.col("ema8"))
     bear = (F.col("close") < F.col("vwap")) & (F.col("close") < F.col("ema8"))
     return out.withColumn("signal", F.when(bull & (F.col("rsi3") < 30), "buy").when(bear & (F.col("rsi3") > 70), "sell").otherwise("flat"))
@@ -44,20 +45,23 @@ def position_machine(signals: DataFrame) -> DataFrame:
     Without limits of balance a position changes where the last signal that wasn't flat
     does, sells before the first buy left out; no state has to be folded.
     """
-    w = bar_window()
     acts = F.when(F.col("signal") != "flat", F.col("signal"))
-    before = F.coalesce(F.last(acts, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit("sell"))
+    signals = running(signals, {"_held": ("last", acts)}, KEY, ["ts"], month(), before=True)
+    before = F.coalesce("_held", F.lit("sell"))
     out = signals.withColumn("holding_before", F.when(before == "buy", "base").otherwise("quote"))
     turn = ((F.col("signal") == "buy") & (F.col("holding_before") == "quote")) | ((F.col("signal") == "sell") & (F.col("holding_before") == "base"))
     reason = F.when(F.col("signal") == "flat", F.lit(NO_SIGNAL)).otherwise(F.concat(F.lit("signal="), "signal", F.lit(" but holding="), "holding_before", F.lit(" (waiting for right side)")))
-    return out.withColumns({"action": F.when(turn, F.col("signal")).otherwise("skip"), "skip_reason": F.when(~turn, reason)})
+    return out.withColumns({"action": F.when(turn, F.col("signal")).otherwise("skip"), "skip_reason": F.when(~turn, reason)}).drop("_held")
 
 
 def position_fold(signals: DataFrame, quote: float = 100.0, price: str = "close", share: float = 0.9) -> DataFrame:
     """Orders with balances: symbol, resolution, ts, side, size, filled, quote_after, base_after.
 
-    Buys spend share of the quote balance, which must be 1 or more; sells need a base of 1 or
-    more. Flat rows are dropped before the ordered fold.
+    Buys spend share of the quote balance, which must be 1 or more, at a price above 0; sells
+    need a base of 1 or more; rows without a price take no part. A balance that is too small for its side never grows again, so what
+    is traded is a first part of the turns: each buy that follows a sell and each sell that
+    follows a buy. These are found over chunks; only turns, not a symbol's other signals, go in
+    order through one task, as sizes are rounded and so depend on every turn before.
     """
 
     def step(state, signal, p):
@@ -72,8 +76,11 @@ def position_fold(signals: DataFrame, quote: float = 100.0, price: str = "close"
             return (have, 0.0), [("sell", size, size, have, 0.0)]
         return state, []
 
-    some = signals.where(F.col("signal") != "flat")
-    return fold_rows(some, "ts", ("signal", price), lambda: (quote, 0.0), step, "side string, size double, filled double, quote_after double, base_after double")
+    priced = F.col(price).isNotNull() & ~F.isnan(price)
+    some = signals.where(priced & ((F.col("signal") == "sell") | ((F.col("signal") == "buy") & (F.col(price) > 0))))
+    seen = running(some, {"_held": ("last", F.col("signal"))}, KEY, ["ts"], month(), before=True)
+    turns = seen.where(F.col("signal") != F.coalesce("_held", F.lit("sell"))).drop("_held")
+    return fold_rows(turns, "ts", ("signal", price), lambda: (quote, 0.0), step, "side string, size double, filled double, quote_after double, base_after double")
 
 
 def order_size(df: DataFrame, side: str = "side", quote: str = "quote", base: str = "base") -> DataFrame:
@@ -119,8 +126,8 @@ def practice_pnl(actions: DataFrame, bars: DataFrame, chunk_rows: int = 50_000)
     """actions (session, symbol, ts, id, action) priced as of their time, with position and realized_pnl so far.
 
     Buys and sells are of one unit, close goes to none; the average cost decides what a
-    reduction realizes. Positions and sums are windows, costs are folded in chunks of
-    chunk_rows, so no session is held in memory as a whole.
+    reduction realizes. Positions and sums run over days, costs and results over chunks of
+    chunk_rows, so no task sorts or holds a whole session.
     """
     priced = asof_join(actions, bars.select("symbol", F.col("ts").alias("bar_ts"), F.col("close").alias("price")), "symbol", "ts", "bar_ts", ["price"])
     columns = priced.columns
@@ -132,13 +139,13 @@ def practice_pnl(actions: DataFrame, bars: DataFrame, chunk_rows: int = 50_000)
     unit = F.coalesce(F.when(F.col("action") == "buy", 1).when(F.col("action") == "sell", -1), F.lit(0))
     valid = F.col("price").isNotNull() & ~F.isnan("price")
     steps = priced.withColumns({"_step": F.when(valid, unit).otherwise(0).cast("long"), "_closes": valid & (unit == 0)})
-    steps = steps.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "id")).cast("long"))
+    day = F.date_trunc("day", "ts")
+    place = ["ts", "id"]
+    steps = running(steps, {"_n": ("sum", F.lit(1).cast("long")), "_all": ("sum", F.col("_step"))}, keys, place, day)
 
-    # A priced close leaves no position, so positions are sums within a segment from one close to the next.
-    ordered = Window.partitionBy(*keys).orderBy("_n")
-    segment = F.coalesce(F.sum(F.col("_closes").cast("long")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = Window.partitionBy(*keys, "_segment").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    held = steps.withColumn("_segment", segment).withColumn("_sum", F.sum("_step").over(within))
+    # A priced close leaves no position, so a position is what was traded since the last one before.
+    held = running(steps, {"_closed": ("last", F.when(F.col("_closes"), F.col("_all")))}, keys, place, day, before=True)
+    held = held.withColumn("_sum", F.col("_all") - F.coalesce("_closed", F.lit(0)))
     held = held.withColumns({"_before": F.col("_sum") - F.col("_step"), "position": F.when(F.col("_closes"), 0).otherwise(F.col("_sum")).cast("long")})
 
     # With steps of one unit a position passes through zero, where the average cost starts anew: a linear recurrence.
@@ -148,7 +155,7 @@ def practice_pnl(actions: DataFrame, bars: DataFrame, chunk_rows: int = 50_000)
     costs = linrec(held, [(factor, F.when(opens, F.col("price") / (F.abs(before) + 1)).otherwise(0.0), "_cost")], chunk=F.floor(F.col("_n") / chunk_rows), keys=keys, order="_n")
     reduces = (before != 0) & (F.col("_closes") | ((F.col("_step") != 0) & ~opens))
     gain = F.when(reduces, F.signum(before) * F.when(F.col("_closes"), F.abs(before)).otherwise(1) * (F.col("price") - F.col("_cost"))).otherwise(0.0)
-    realized = costs.withColumn("realized_pnl", F.sum(gain).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    realized = running(costs, {"realized_pnl": ("sum", gain)}, keys, ["_n"], F.floor(F.col("_n") / chunk_rows))
     return realized.select(*columns, "position", "realized_pnl")
 
 

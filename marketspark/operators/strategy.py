@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import joined_on, longest_runs, running
+from .recurrence import month
+
 STRATEGY = ("strategy",)
+ORDER = ("exit_ts", "trade_id")
 CAPITAL = 10_000.0
-
-
-def trade_window(keys=STRATEGY) -> Window:
-    return Window.partitionBy(*keys).orderBy("exit_ts", "trade_id")
+CHUNK_SECONDS = 30 * 86_400
 
 
 def _metrics(capital: float) -> list[Column]:
@@ -49,55 +50,43 @@ def long_short_breakdown(trades: DataFrame, capital: float = CAPITAL) -> DataFra
 
 
 def equity_curve(trades: DataFrame, keys=STRATEGY, capital: float = CAPITAL) -> DataFrame:
-    """trades with equity, peak, drawdown (0 at a peak) and drawdown_pct, in trade order."""
-    w = trade_window(keys).rowsBetween(Window.unboundedPreceding, 0)
-    out = trades.withColumn("equity", (F.sum("pnl").over(w) + F.lit(capital).cast("decimal(18,2)")).cast("double"))
-    out = out.withColumn("peak", F.greatest(F.lit(float(capital)), F.max("equity").over(w)))
-    out = out.withColumn("drawdown", F.col("equity") - F.col("peak"))
+    """trades with equity, peak, drawdown (0 at a peak) and drawdown_pct, in trade order.
+
+    Months are summed up first, by their result and the highest sum inside; each month's trades
+    then start from the equity and the peak that the months before have left.
+    """
+    start = F.lit(capital).cast("decimal(18,2)")
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    work = trades.withColumn("_chunk", month("exit_ts")).withColumn("_sum", F.sum("pnl").over(inside))
+    ends = work.groupBy(*keys, "_chunk").agg(F.sum("pnl").alias("_total"), F.max("_sum").alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_held", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    carried = ends.select(*keys, "_chunk", "_held", F.max((F.col("_held") + F.col("_top") + start).cast("double")).over(earlier).alias("_peak"))
+    out = joined_on(work, carried, [*keys, "_chunk"])
+    out = out.withColumn("equity", (F.col("_held") + F.coalesce("_sum", F.lit(0)) + start).cast("double"))
+    out = out.withColumn("peak", F.greatest(F.lit(float(capital)), "_peak", F.max("equity").over(inside)))
+    out = out.withColumn("drawdown", F.col("equity") - F.col("peak")).drop("_chunk", "_sum", "_held", "_peak")
     return out.withColumn("drawdown_pct", F.col("drawdown") / F.col("peak") * 100)
 
 
 def drawdown_summary(curve: DataFrame, keys=STRATEGY) -> DataFrame:
     """max_drawdown, max_drawdown_pct (both at most 0) and longest_drawdown, in points under the peak."""
-    return _with_runs(curve, {"_under": F.col("drawdown") < 0}, keys).groupBy(*keys).agg(*_drawdowns())
+    least = curve.groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"), F.min("drawdown_pct").alias("max_drawdown_pct"))
+    return joined_on(least, longest_runs(curve, {"longest_drawdown": F.col("drawdown") < 0}, keys, ORDER, month("exit_ts")), keys)
 
 
 def max_consecutive_losses(trades: DataFrame, keys=STRATEGY) -> DataFrame:
     """The longest run of losses in trade order; trades at 0 break it."""
-    return _with_runs(trades, {"_losing": F.col("pnl") < 0}, keys).groupBy(*keys).agg(_losses())
+    return longest_runs(trades, {"max_consecutive_losses": F.col("pnl") < 0}, keys, ORDER, month("exit_ts"))
 
 
 def time_in_market(trades: DataFrame, keys=STRATEGY) -> DataFrame:
     """Share of the time from first entry to last exit that any trade covers; null for no time."""
-    return _with_cover(trades.select(*keys, "entry_ts", "exit_ts", "trade_id"), keys).groupBy(*keys).agg(_covered())
-
-
-def _with_runs(trades: DataFrame, runs: dict[str, Column], keys) -> DataFrame:
-    """trades with, for each condition, the number of trades in a row up to this one that meet it."""
-    w = trade_window(keys)
-    numbered = trades.withColumn("_n", F.row_number().over(w))
-    broken = lambda c: F.max(F.when(c, None).otherwise(F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumns({name: (F.col("_n") - F.coalesce(broken(c), F.lit(0))).cast("long") for name, c in runs.items()})
-
-
-def _drawdowns() -> list[Column]:
-    return [F.min("drawdown").alias("max_drawdown"), F.min("drawdown_pct").alias("max_drawdown_pct"), F.max("_under").alias("longest_drawdown")]
-
-
-def _losses() -> Column:
-    return F.max("_losing").alias("max_consecutive_losses")
-
-
-def _covered() -> Column:
-    return F.try_divide(F.sum("_new"), F.max("_b") - F.min("_a")).alias("time_in_market")
-
-
-def _with_cover(trades: DataFrame, keys) -> DataFrame:
-    """trades with _a and _b, entry and exit in seconds, and _new, what a trade adds to the time covered by those before it."""
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy("_a", "_b", "trade_id").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.coalesce(F.max("_b").over(w), F.col("_a"))
-    return trades.withColumns({"_a": seconds("entry_ts"), "_b": seconds("exit_ts")}).withColumn("_new", F.greatest(F.lit(0), F.col("_b") - F.greatest("_a", reached)))
+    spans = trades.select(*keys, "trade_id", seconds("entry_ts").alias("_a"), seconds("exit_ts").alias("_b"))
+    seen = running(spans, {"_reached": ("max", F.col("_b"))}, keys, ["_a", "_b", "trade_id"], F.floor(F.col("_a") / CHUNK_SECONDS), before=True)
+    new = F.greatest(F.lit(0), F.col("_b") - F.greatest("_a", "_reached"))
+    return seen.groupBy(*keys).agg(F.try_divide(F.sum(new), F.max("_b") - F.min("_a")).alias("time_in_market"))
 
 
 def report_flags(metrics: DataFrame, few: int = 30) -> DataFrame:
@@ -135,8 +124,7 @@ def open_positions(trades: DataFrame, keys=STRATEGY, most: int = 2) -> DataFrame
     """strategy, ts, n_open, breach: after each time at which positions open or close; exits come off at their time."""
     steps = trades.select(*keys, F.col("entry_ts").alias("ts"), F.lit(1).alias("_d")).unionByName(trades.select(*keys, F.col("exit_ts").alias("ts"), F.lit(-1).alias("_d")))
     each = steps.groupBy(*keys, "ts").agg(F.sum("_d").alias("_d"))
-    n = F.sum("_d").over(Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return each.select(*keys, "ts", n.alias("n_open")).withColumn("breach", F.col("n_open") > most)
+    return running(each, {"n_open": ("sum", F.col("_d"))}, keys, ["ts"], month()).drop("_d").withColumn("breach", F.col("n_open") > most)
 
 
 def trade_rate_limit(trades: DataFrame, keys=STRATEGY, most: int = 6, seconds: int = 60) -> DataFrame:
@@ -168,7 +156,10 @@ def rank_scan(results: DataFrame, metric: str, by=("resolution",), top: int | No
 def strategy_report(trades: DataFrame, keys=STRATEGY, capital: float = CAPITAL) -> DataFrame:
     """Metrics, drawdowns, longest losing run, time in market and flags in one row for each strategy.
 
-    Trades are read and shuffled once: all windows and the grouping are by the same keys.
+    Trades meet by strategy and month; a strategy's whole time is a row for each month.
     """
-    runs = _with_runs(equity_curve(trades, keys, capital), {"_under": F.col("drawdown") < 0, "_losing": F.col("pnl") < 0}, keys)
-    return report_flags(_with_cover(runs, keys).groupBy(*keys).agg(*_metrics(capital), *_drawdowns(), _losses(), _covered()))
+    curve = equity_curve(trades, keys, capital)
+    least = [F.min("drawdown").alias("max_drawdown"), F.min("drawdown_pct").alias("max_drawdown_pct")]
+    runs = longest_runs(curve, {"longest_drawdown": F.col("drawdown") < 0, "max_consecutive_losses": F.col("pnl") < 0}, keys, ORDER, month("exit_ts"))
+    out = joined_on(curve.groupBy(*keys).agg(*_metrics(capital), *least), runs, keys)
+    return report_flags(joined_on(out, time_in_market(trades, keys), keys))

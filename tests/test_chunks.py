@@ -154,3 +154,57 @@ def test_alerts_by_the_span_tree(spark):
                 before = c
     assert len({v for v in want.values()}) > 20
     assert {r["alert_id"]: r["fired_ts"] for r in out.collect()} == want
+
+
+def test_runs_and_equity_over_months(spark):
+    from decimal import Decimal
+
+    from marketspark.operators import strategy as S
+
+    rng = random.Random(10)
+    rows = []
+    for name in ("a", None, "lost"):
+        for k in range(150):
+            out = T0 + dt.timedelta(days=rng.randrange(400))
+            rows.append((name, "long", out - dt.timedelta(days=rng.randrange(60)), out, Decimal(-5 if name == "lost" else rng.choice([-700, -300, 0, 200, 800])), f"{k:04d}"))
+    trades = spark.createDataFrame(rows, "strategy string, side string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, pnl decimal(18,2), trade_id string").repartition(3)
+    want = {}
+    for name in ("a", None, "lost"):
+        own = sorted((r for r in rows if r[0] == name), key=lambda r: (r[3], r[5]))
+        equity = peak = 1000.0
+        under = losing = longest = most = 0
+        least, least_pct, reached, covered = 0.0, 0.0, None, 0
+        for r in own:
+            equity += float(r[4])
+            peak = max(peak, equity)
+            under = under + 1 if equity < peak else 0
+            losing = losing + 1 if r[4] < 0 else 0
+            longest, most = max(longest, under), max(most, losing)
+            least, least_pct = min(least, equity - peak), min(least_pct, (equity - peak) / peak * 100)
+        for r in sorted(own, key=lambda r: r[2]):
+            begin = r[2] if reached is None else max(r[2], reached)
+            covered += max(0.0, (r[3] - begin).total_seconds())
+            reached = r[3] if reached is None else max(reached, r[3])
+        time = (max(r[3] for r in own) - min(r[2] for r in own)).total_seconds()
+        want[name] = (least, least_pct, longest, most, covered / time)
+    got = {r["strategy"]: r for r in S.strategy_report(trades, capital=1000.0).collect()}
+    assert set(got) == set(want) and want["lost"][3] == 150
+    for name, values in want.items():
+        r = got[name]
+        assert (r["longest_drawdown"], r["max_consecutive_losses"]) == values[2:4]
+        assert (r["max_drawdown"], r["max_drawdown_pct"], r["time_in_market"]) == pytest.approx((*values[:2], values[4]))
+    assert S.strategy_report(trades.limit(0)).count() == 0
+
+
+def test_no_window_over_a_whole_symbol(spark):
+    """Windows that hold bars are by block or chunk; those by symbol alone hold a row for each chunk."""
+    import re
+
+    from marketspark.operators import signals as G
+
+    bars = bars_of(spark, [1.0, 2.0, 3.0]).withColumns({c: F.col("close") for c in ("open", "high", "low", "volume")})
+    plan = G.position_machine(G.scalper_signal(bars))._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"Window \[(.*)\], \[(.*?)\], \[(.*?)\]", plan)
+    assert len(windows) > 5
+    for values, by, order in windows:
+        assert "_block" in by or "_chunk" in by or "_chunk" in order, (values, by)
