@@ -64,18 +64,21 @@ def resample(bars: DataFrame, resolution: str) -> DataFrame:
     )
 
 
+def _newest(bars: DataFrame, n: int | None) -> DataFrame:
+    """The newest n bars (500 at most) of each symbol and resolution with their rank _r; each task keeps that many before the shuffle."""
+    w = Window.partitionBy(*KEY).orderBy(F.desc("ts"))
+    return bars.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= min(n or 100, MAX_BARS))
+
+
 def last_n_bars(bars: DataFrame, n: int | None = 100) -> DataFrame:
     """The newest n bars (500 at most) of each symbol and resolution, with total_available."""
-    n = min(n or 100, MAX_BARS)
-    w = Window.partitionBy(*KEY)
-    ranked = bars.withColumns({"_r": F.row_number().over(w.orderBy(F.desc("ts"))), "total_available": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("_r") <= n).drop("_r")
+    totals = bars.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total_available"))
+    return _newest(bars, n).drop("_r").join(totals, list(KEY)).select(*bars.columns, "total_available")
 
 
 def ohlcv_summary(bars: DataFrame, n: int | None = 100) -> DataFrame:
     """A row for each symbol: counts, period, prices, change, average volume, last_5_bars (array, oldest first)."""
-    w = Window.partitionBy(*KEY).orderBy(F.desc("ts"))
-    ranked = bars.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= min(n or 100, MAX_BARS))
+    ranked = _newest(bars, n)
     five = F.when(F.col("_r") <= 5, F.struct("ts", *PRICES))
     out = ranked.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("bar_count"),
@@ -101,7 +104,7 @@ def ohlcv_summary(bars: DataFrame, n: int | None = 100) -> DataFrame:
 
 def export_bars(bars: DataFrame, n: int = 100) -> DataFrame:
     """bar_count and last_bar of the newest n bars of each symbol and resolution."""
-    return last_n_bars(bars, n).groupBy(*KEY).agg(F.count(F.lit(1)).alias("bar_count"), F.max_by(F.struct("ts", *PRICES), "ts").alias("last_bar"))
+    return _newest(bars, n).groupBy(*KEY).agg(F.count(F.lit(1)).alias("bar_count"), F.max_by(F.struct("ts", *PRICES), "ts").alias("last_bar"))
 
 
 def bar_index(bars: DataFrame) -> DataFrame:

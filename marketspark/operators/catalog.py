@@ -15,28 +15,42 @@ def dedupe_keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
 
 
-def _grams(text: Column) -> Column:
-    """The empty run and every run of 1 to GRAM characters of a text; none for null."""
+def _runs(text: Column, lengths: range) -> Column:
+    """Every run of these numbers of characters of a text; none for null."""
     none = F.array().cast("array<string>")
 
     def of_length(n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda at: F.substring(text, at, F.lit(n)))
         return F.when(F.length(text) >= n, runs).otherwise(none)
 
-    return F.when(text.isNotNull(), F.concat(F.array(F.lit("")), *(of_length(n) for n in range(1, GRAM + 1)))).otherwise(none)
+    return F.array_distinct(F.concat(*(of_length(n) for n in lengths)))
 
 
 def _holding(rows: DataFrame, texts: tuple[Column, Column], asked: DataFrame, what: Column) -> DataFrame:
-    """rows joined with those of asked that are found in either text, by an equality on what's first GRAM characters."""
-    each = rows.withColumn("_gram", F.explode(F.array_distinct(F.concat(*(_grams(t) for t in texts)))))
-    near = asked.withColumn("_gram", F.substring(what, 1, GRAM))
-    return each.join(near, "_gram").where(texts[0].contains(what) | texts[1].contains(what)).drop("_gram")
+    """rows joined with those of asked that are found in either text.
+
+    A text that holds a query has all of its runs of GRAM characters (of a shorter query: itself).
+    Only runs that some query has become postings; their numbers tell each query's rarest run,
+    and that is what it meets texts by. The empty query, which every text holds, has no run: its
+    one row is broadcast.
+    """
+    queries = asked.select(what.alias("_q")).where("_q != ''").distinct()
+    parts = queries.withColumn("_gram", F.explode(F.when(F.length("_q") < GRAM, F.array("_q")).otherwise(_runs(F.col("_q"), range(GRAM, GRAM + 1)))))
+    each = rows.withColumn("_gram", F.explode(F.array_distinct(F.concat(*(_runs(t, range(1, GRAM + 1)) for t in texts)))))
+    postings = each.join(parts.select("_gram").distinct(), "_gram", "left_semi")
+    numbers = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
+    rarest = parts.join(numbers, "_gram").groupBy("_q").agg(F.min_by("_gram", F.struct("_rows", "_gram")).alias("_gram"))
+    near = asked.withColumn("_q", what).join(rarest, "_q").drop("_q")
+    found = postings.join(near, "_gram").where(texts[0].contains(what) | texts[1].contains(what)).drop("_gram")
+    all_of_them = asked.where(what == "").distinct().withColumn("_gram", F.lit(""))
+    whole = rows.withColumn("_gram", F.lit("")).join(F.broadcast(all_of_them), "_gram").drop("_gram")
+    return found.unionByName(whole.where(texts[0].isNotNull() | texts[1].isNotNull()))
 
 
 def search_symbols(catalog: DataFrame, queries: DataFrame, kind: str | None = None, limit: int = 15) -> DataFrame:
     """For each query the first limit symbols whose symbol or description holds it, exact ones first, then beginnings.
 
-    queries: one column, query. The empty one finds every symbol.
+    queries: one column, query; of equal ones one is answered. The empty one finds every symbol.
     """
     c = catalog if kind is None else catalog.where(F.col("type") == kind)
     named = c.select(
@@ -48,7 +62,7 @@ def search_symbols(catalog: DataFrame, queries: DataFrame, kind: str | None = No
         "seq",
     )
     q, s, d = F.lower("query"), F.lower("symbol"), F.lower("description")
-    hits = _holding(named, (s, d), queries, q)
+    hits = _holding(named, (s, d), queries.select("query").distinct(), q)
     order = F.when(s == q, 0).when(s.startswith(q), 1).when(s.contains(q), 2).otherwise(3)
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "seq")))
     return ranked.where(F.col("rank") <= limit).drop("seq")
@@ -59,7 +73,7 @@ def resolve_name(names: DataFrame, targets: DataFrame, order: str = "seq") -> Da
     t = F.lower("target")
     n, title = F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))
     exact = (n == t) | (title == t)
-    hits = _holding(names, (n, title), targets, t)
+    hits = _holding(names, (n, title), targets.select("target").distinct(), t)
     best = hits.groupBy("target").agg(F.min_by(F.struct("id", "name"), F.struct(F.when(exact, 0).otherwise(1).alias("p"), order)).alias("b"))
     return targets.join(best, "target", "left").select("target", F.col("b.id").alias("id"), F.col("b.name").alias("name"))
 

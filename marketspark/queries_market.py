@@ -642,6 +642,26 @@ def batch_scan(spark, d):
     return P.batch_scan(symbols(spark, d), ["60", "D"], hourly(spark, d)).select("symbol", "resolution", "bar_count", "change_pct", "success", "error")
 
 
+@query(
+    "wf3_batch_scan_strategy",
+    """WITH t AS (SELECT l_suppkey::VARCHAR AS symbol, CASE WHEN l_linestatus = 'O' THEN '60' ELSE 'D' END AS resolution, CAST(floor(l_extendedprice * (l_tax - l_discount) * 100 + 0.5) / 100 AS DECIMAL(18,2)) AS pnl FROM lineitem),
+m AS (SELECT symbol, resolution, count(*) AS total_trades, count(*) FILTER (pnl > 0) AS wins, CAST(sum(pnl) AS DOUBLE) AS net_profit FROM t WHERE symbol::BIGINT % 3 <> 0 OR resolution = 'D' GROUP BY 1, 2),
+g AS (SELECT DISTINCT symbol, unnest(['60', 'D', '240']) AS resolution FROM t)
+SELECT g.symbol, g.resolution, total_trades, wins, net_profit, total_trades IS NOT NULL AS success, CASE WHEN total_trades IS NULL THEN 'no data' END AS error FROM g LEFT JOIN m ON g.symbol = m.symbol AND g.resolution = m.resolution""",
+)
+def batch_scan_strategy(spark, d):
+    """Longs as trades of hours, shorts as those of days; a third of the symbols has no longs, and none has trades of four hours."""
+    trades = T.trades(spark, d).select(F.col("strategy").alias("symbol"), F.when(F.col("side") == "long", "60").otherwise("D").alias("resolution"), "pnl")
+    known = trades.where((F.col("symbol").cast("long") % 3 != 0) | (F.col("resolution") == "D"))
+    out = P.batch_scan(trades.select("symbol").distinct(), ["60", "D", "240"], None, "strategy", known)
+    return out.select("symbol", "resolution", "total_trades", "wins", "net_profit", "success", "error")
+
+
+@query("wf3_batch_scan_unknown", f"{BARS}, {SYMBOLS} SELECT symbol, unnest(['60', 'D']) AS resolution, false AS success, 'Unknown action: screenshot' AS error FROM symbols")
+def batch_scan_unknown(spark, d):
+    return P.batch_scan(symbols(spark, d), ["60", "D"], hourly(spark, d), "screenshot").select("symbol", "resolution", "success", "error")
+
+
 @query("wf5_scalper_backtest", f"{BARS}, {SCALPER}, {MACHINE} SELECT symbol, resolution, count(*) AS ticks, count(*) FILTER (action <> 'skip') AS placed, last(close ORDER BY ts) AS last_price FROM machine GROUP BY 1, 2")
 def scalper_backtest(spark, d):
     return P.backtest_totals(P.scalper_backtest(hourly(spark, d)))
