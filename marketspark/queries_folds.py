@@ -153,3 +153,42 @@ def line_changes(spark, d):
     )
     total = F.aggregate("levels", F.lit(0.0), lambda a, x: a + x)
     return X.drawing_changes_batch(lines, "snapshot").select("study", "snapshot", F.size("levels").cast("long").alias("n_levels"), total.alias("total"))
+
+
+@query(
+    "st5_label_changes",
+    """WITH l AS (SELECT 'Study ' || (conv_id % 10) AS study, (TIMESTAMP '2024-01-01' + to_minutes(conv_id // 10)) AS snapshot, turn AS seq, role AS text FROM conversations WHERE role <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY study, snapshot ORDER BY seq) AS r FROM l), p AS (SELECT study, snapshot, list(text ORDER BY r) AS payload FROM r WHERE r <= 50 GROUP BY 1, 2),
+b AS (SELECT *, lag(payload) OVER (PARTITION BY study ORDER BY snapshot) AS before FROM p)
+SELECT study, snapshot, len(payload) AS n_labels, array_to_string(payload, ' ') AS labels FROM b WHERE before IS NULL OR before <> payload""",
+)
+def label_changes(spark, d):
+    """A conversation is a snapshot of one of ten studies, its roles are the labels."""
+    c = T.table(spark, d, "conversations")
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.floor(F.col("conv_id") / 10).cast("int"))
+    labels = c.select(F.concat(F.lit("Study "), (F.col("conv_id") % 10).cast("string")).alias("study"), at.alias("snapshot"), F.col("turn").alias("seq"), F.col("role").alias("text"))
+    return X.drawing_payloads_batch(labels, "labels").select("study", "snapshot", F.size("payload").cast("long").alias("n_labels"), F.array_join("payload", " ").alias("labels"))
+
+
+@query(
+    "st5_table_changes",
+    """WITH c AS (SELECT 'Study ' || l_suppkey AS study, date_trunc('quarter', l_shipdate)::TIMESTAMP AS snapshot, CASE WHEN l_partkey % 7 <> 0 THEN l_partkey % 2 ELSE 0 END AS tid, l_linenumber % 2 AS row, l_partkey % 2 AS col,
+  CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS text, printf('%012d.%012d.%012d.%03d', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS seq FROM lineitem),
+w AS (SELECT study, snapshot, tid, row, col, last(text ORDER BY seq) AS text FROM c GROUP BY ALL), r AS (SELECT study, snapshot, tid, row, string_agg(text, chr(9) ORDER BY col) AS line FROM w GROUP BY ALL),
+p AS (SELECT study, snapshot, list(line ORDER BY tid, row) AS payload FROM r GROUP BY ALL), b AS (SELECT *, lag(payload) OVER (PARTITION BY study ORDER BY snapshot) AS before FROM p)
+SELECT study, snapshot, len(payload) AS n_rows, array_to_string(payload, '/') AS shown FROM b WHERE before IS NULL OR before <> payload""",
+)
+def table_changes(spark, d):
+    """Each supplier's quarter is a snapshot of tables whose cells are written by its line items."""
+    line = T.table(spark, d, "lineitem")
+    cells = line.select(
+        F.concat(F.lit("Study "), F.col("l_suppkey").cast("string")).alias("study"),
+        F.date_trunc("quarter", "l_shipdate").cast("timestamp_ntz").alias("snapshot"),
+        F.when(F.col("l_partkey") % 7 != 0, F.col("l_partkey") % 2).alias("tid"),
+        (F.col("l_linenumber") % 2).alias("row"),
+        (F.col("l_partkey") % 2).alias("col"),
+        F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("text"),
+        F.format_string("%012d.%012d.%012d.%03d", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("seq"),
+    )
+    shown = X.drawing_payloads_batch(cells, "tables")
+    return shown.select("study", "snapshot", F.size("payload").cast("long").alias("n_rows"), F.array_join("payload", "/").alias("shown"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.bars import KEY, PRICES, bucket, in_order
@@ -16,6 +19,7 @@ from ..operators.studies import numeric_values, visible_only
 
 #: Milliseconds between samples of each feed: fixed values.
 INTERVALS = {"quote": 300, "bars": 500, "values": 500, "lines": 1000, "labels": 1000, "tables": 2000, "all": 500}
+LABELS = 50  # of a study, in its feed
 
 
 def payload_hash(columns: list[str]) -> Column:
@@ -120,6 +124,85 @@ def drawing_changes_batch(df: DataFrame, snapshot: str) -> DataFrame:
     return changes_only_batch(each, ["study"], ["levels"], [snapshot])
 
 
+DRAWING_COLUMNS = {"lines": ("y1 double", "y2 double"), "labels": ("seq long", "text string"), "tables": ("tid long", "row long", "col long", "text string", "seq string")}
+
+
+def drawing_payload(kind: str, rows: pd.DataFrame) -> list[str]:
+    """What one snapshot of a study shows: levels, label texts or table rows (cells by tabs), as in the feeds of drawing_feed."""
+    if kind == "lines":
+        first, second = rows["y1"].to_numpy(float), rows["y2"].to_numpy(float)
+        level = np.where((first == second) | ~((first == 0) | np.isnan(first)), first, second)
+        return [str(float(x)) for x in sorted(set(level[~np.isnan(level)].tolist()), reverse=True)]
+    if kind == "labels":
+        some = rows[rows["text"].fillna("") != ""].sort_values("seq", kind="stable")
+        return some["text"].head(LABELS).tolist()
+    cells = rows.assign(tid=rows["tid"].fillna(0)).sort_values("seq", kind="stable").drop_duplicates(["tid", "row", "col"], keep="last")
+    cells = cells.assign(text=cells["text"].fillna("")).sort_values(["tid", "row", "col"])
+    return ["\t".join(r["text"]) for _, r in cells.groupby(["tid", "row"], sort=True)]
+
+
+class DrawingChanges(StatefulProcessor):
+    """Per study: the hash of what was emitted last, kept for a time to live, so that studies that are gone leave no state."""
+
+    def __init__(self, kind: str, ttl_ms: int | None):
+        self.kind, self.ttl_ms = kind, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "digest string", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        whole = pd.concat(list(rows))
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for snapshot, part in whole.groupby("snapshot", sort=True):
+            payload = drawing_payload(self.kind, part)
+            digest = hashlib.blake2b("\n".join(f"{len(x)}:{x}" for x in payload).encode(), digest_size=16).hexdigest()
+            if payload and digest != last:
+                out.append((key[0], snapshot, payload))
+                last = digest
+        if last is not None:
+            self.last.update((last,))
+        yield pd.DataFrame(out, columns=["study", "snapshot", "payload"])
+
+    def close(self) -> None:
+        pass
+
+
+def drawing_changes(stream: DataFrame, kind: str, study: str = "", ttl_ms: int | None = 7 * 86_400_000) -> DataFrame:
+    """study, snapshot, payload (array of texts) of a stream of lines, labels or tables, on change of what the study shows.
+
+    The rows of a study's snapshot must come in one micro-batch, and snapshots in order over
+    micro-batches; inside one they are sorted. Snapshots that show nothing neither emit nor count.
+    State is a digest for each study, in RocksDB, which forgets studies silent for ttl_ms: such a
+    study's next snapshot is emitted anew. The session must use the RocksDB state store. With a
+    time to live Spark makes batches without data for ever, so a run that is to end when its input
+    does needs spark.sql.streaming.noDataMicroBatches.enabled=false.
+    """
+    names = [c.split()[0] for c in DRAWING_COLUMNS[kind]]
+    kinds = [c.split()[1] for c in DRAWING_COLUMNS[kind]]
+    some = study_filter(stream, study, case_sensitive=False).select("study", "snapshot", *(F.col(n).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)))
+    moment = stream.schema["snapshot"].dataType.simpleString()
+    processor = DrawingChanges(kind, ttl_ms)
+    return some.groupBy("study").transformWithStateInPandas(processor, f"study string, snapshot {moment}, payload array<string>", "append", "processingTime" if ttl_ms else "none")
+
+
+def drawing_payloads_batch(df: DataFrame, kind: str, study: str = "") -> DataFrame:
+    """The batch twin of drawing_changes: study, snapshot, payload where it differs from the study's snapshot before."""
+    keys = ("study", "snapshot")
+    some = study_filter(df, study, case_sensitive=False)
+    if kind == "lines":
+        shown = stream_levels(some, keys).select(*keys, F.transform("levels", lambda x: x.cast("string")).alias("payload"))
+    elif kind == "labels":
+        ranked = some.where(F.coalesce("text", F.lit("")) != "").withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))).where(F.col("_r") <= LABELS)
+        shown = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_r", "text"))).alias("_t")).select(*keys, F.transform("_t", lambda x: x["text"]).alias("payload"))
+    else:
+        cells = some.withColumn("tid", F.coalesce("tid", F.lit(0)).cast("long")).groupBy(*keys, "tid", "row", "col").agg(F.coalesce(F.max_by("text", "seq"), F.lit("")).alias("text"))
+        rows = cells.groupBy(*keys, "tid", "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("_c"))
+        line = F.array_join(F.transform("_c", lambda c: c["text"]), "\t")
+        shown = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("tid", "row", line.alias("line")))).alias("_l")).select(*keys, F.transform("_l", lambda x: x["line"]).alias("payload"))
+    return changes_only_batch(shown, ["study"], ["payload"], ["snapshot"])
+
+
 def stream_panes_batch(panes: DataFrame, bars: DataFrame) -> DataFrame:
     """All panes of each layout at each bar time, on change of any price or volume: layout, ts, n_panes, panes.
 

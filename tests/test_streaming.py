@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketspark.operators.bars import build_bars
@@ -83,3 +84,40 @@ def test_panes_and_forming_bars_emit_any_change(spark):
     assert [r["ts"] for r in X.stream_panes_batch(panes, bars).orderBy("ts").collect()] == [T0, T0 + dt.timedelta(hours=1)]
     day = X.stream_bars_batch(X.forming_bars(bars, "D"), "part_ts").orderBy("part_ts").collect()
     assert [r["new_bar"] for r in day] == [True, False, False] and day[-1]["volume"] == 9.00002
+
+
+def drawings(kind):
+    """Snapshots of two studies, whose drawings change at some of them."""
+    rows = []
+    for n in range(12):
+        at = T0 + dt.timedelta(minutes=n)
+        for study in ("Zones", "Pivots", ""):
+            k = n // (2 if study == "Zones" else 3)
+            for j in range(4):
+                text = f"t{k % 3 if j == 1 else j}" if j != 2 else None
+                rows.append({"lines": (study, at, float(j + k % 2), float(j + k % 2) if j else 0.0), "labels": (study, at, 4 - j, text), "tables": (study, at, None if j % 2 else 2, j // 2, 1 - j % 2, text, f"{j}.{k % 2}")}[kind])
+    schema = {"lines": "y1 double, y2 double", "labels": "seq long, text string", "tables": "tid long, row long, col long, text string, seq string"}[kind]
+    return rows, f"study string, snapshot timestamp, {schema}"
+
+
+@pytest.mark.parametrize("kind", ["lines", "labels", "tables"])
+def test_drawings_on_change(spark, tmp_path, kind):
+    rows, schema = drawings(kind)
+    df = spark.createDataFrame(rows, schema)
+    want = sorted((r["study"], str(r["snapshot"]), tuple(r["payload"])) for r in X.drawing_payloads_batch(df, kind, "o").collect())
+    assert {s for s, *_ in want} == {"Zones", "Pivots"} and 5 < len(want) < 24
+    half = T0 + dt.timedelta(minutes=6)
+    path = f"file://{tmp_path}/{kind}"
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        for part in (df.where(F.col("snapshot") < half), df.where(F.col("snapshot") >= half)):  # two runs on one state
+            part.coalesce(1).write.mode("append").parquet(path)
+            run_once(X.drawing_changes(spark.readStream.schema(df.schema).parquet(path), kind, "o"), f"{tmp_path}/out-{kind}", f"{tmp_path}/state-{kind}")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    got = spark.read.parquet(f"{tmp_path}/out-{kind}").collect()
+    assert sorted((r["study"], str(r["snapshot"]), tuple(r["payload"])) for r in got) == want
