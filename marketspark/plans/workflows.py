@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import brief_line, number_text
 from ..operators.bars import KEY, latest_bars, ohlcv_summary
+from ..operators.chunks import running
 from ..operators.indicators import ema_full, history, ribbon_of
 from ..operators.matching import account_value, htf_align, nearest_level, scan_grid, watchlist_scan
-from ..operators.signals import bias_of, position_fold, position_machine, scalper_signal
+from ..operators.recurrence import month
+from ..operators.signals import bias_of, order_size, position_fold, position_machine, scalper_signal
 from ..operators.strategy import strategy_metrics
 
+NO_BALANCE = "the balance is too small"
+
 
 def trend_bias(bars: DataFrame, higher: DataFrame | None = None, higher_seconds: int = 4 * 3600) -> DataFrame:
     """bars with ema20, ribbon of 21, 50 and 200, rsi14 and bias.
@@ -72,6 +76,27 @@ def scalper_backtest(bars: DataFrame) -> DataFrame:
     return position_machine(scalper_signal(bars))
 
 
+def backtest_log(bars: DataFrame, quote: float = 100.0) -> DataFrame:
+    """The scalper's log with balances, a row for each bar: tick (from 1), indicators, signal, side, size, order_placed, filled, balances after, skip_reason.
+
+    side and size (text) are of orders that the balance before allows; a turn that it doesn't is
+    skipped for that reason.
+    """
+    log = scalper_backtest(bars)
+    orders = position_fold(log, quote).select(*KEY, "ts", "side", "filled", "quote_after", "base_after")
+    log = log.join(orders, [*KEY, "ts"], "left")
+    seen = {"_quote": ("last", F.col("quote_after")), "_base": ("last", F.col("base_after"))}
+    log = running(running(log, {"tick": ("sum", F.lit(1).cast("long"))}, KEY, ["ts"], month()), seen, KEY, ["ts"], month(), before=True)
+    log = order_size(log.withColumns({"_quote": F.coalesce("_quote", F.lit(quote)), "_base": F.coalesce("_base", F.lit(0.0))}), "side", "_quote", "_base")
+    placed = F.col("side").isNotNull()
+    return log.select(
+        *KEY, "tick", "ts", F.col("close").alias("price"), "ema8", "rsi3", "vwap", "signal", "side", "size",
+        placed.alias("order_placed"), F.coalesce("filled", F.lit(0.0)).alias("filled"),
+        F.coalesce("quote_after", "_quote").alias("quote_after"), F.coalesce("base_after", "_base").alias("base_after"),
+        F.when(~placed, F.coalesce("skip_reason", F.lit(NO_BALANCE))).alias("skip_reason"),
+    )
+
+
 def backtest_totals(log: DataFrame) -> DataFrame:
     """ticks, orders placed and the last price of each symbol's log."""
     return log.groupBy(*KEY).agg(F.count(F.lit(1)).alias("ticks"), F.count_if(F.col("action") != "skip").alias("placed"), F.max_by("close", "ts").alias("last_price"))

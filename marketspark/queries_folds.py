@@ -10,7 +10,7 @@ from .operators import renko as R
 from .operators import signals as G
 from .plans import workflows as P
 from .queries import query
-from .queries_market import SCALPER, bars_sql, hourly, r6, rounded
+from .queries_market import MACHINE, REASON, SCALPER, bars_sql, hourly, r6, rounded
 from .queries_reports import DEPTH
 from .sources import tables as T
 from .streaming import feeds as X
@@ -80,6 +80,19 @@ def backtest_accounts(spark, d):
     return rounded(P.backtest_accounts(hourly(spark, d)), "quote_after", "base_after", "total_value")
 
 
+@query(
+    "wf5_backtest_log",
+    f"""{BARS}, {SCALPER}, {MACHINE}, {FOLD}, j AS (SELECT m.*, o.side, o.filled, o.quote_after AS q, o.base_after AS h FROM machine m LEFT JOIN orders_made o ON m.symbol = o.symbol AND m.resolution = o.resolution AND m.ts = o.ts),
+k AS (SELECT *, coalesce(last_value(q IGNORE NULLS) OVER (PARTITION BY symbol, resolution ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100.0::DOUBLE) AS q0,
+  coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY symbol, resolution ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS h0 FROM j),
+log AS (SELECT symbol, resolution, n AS tick, ts, close AS price, ema8, rsi3, vwap, signal, side, printf('%.4f', CASE side WHEN 'buy' THEN q0 * 0.9::DOUBLE WHEN 'sell' THEN floor(h0 * 10000) / 10000 END) AS size, side IS NOT NULL AS order_placed,
+  coalesce(filled, 0) AS filled, coalesce(q, q0) AS quote_after, coalesce(h, h0) AS base_after, CASE WHEN side IS NULL THEN coalesce({REASON}, 'the balance is too small') END AS skip_reason FROM k)
+SELECT symbol, resolution, tick, ts, price, {r6("ema8")}, {r6("rsi3")}, {r6("vwap")}, signal, side, size, order_placed, {r6("filled")}, {r6("quote_after")}, {r6("base_after")}, skip_reason FROM log""",
+)
+def backtest_log(spark, d):
+    return rounded(P.backtest_log(hourly(spark, d)), "ema8", "rsi3", "vwap", "filled", "quote_after", "base_after")
+
+
 @query(
     "wf5_order_stats",
     f"""{BARS}, {SCALPER}, p AS (SELECT *, coalesce(last_value(CASE WHEN signal <> 'flat' THEN signal END IGNORE NULLS) OVER (PARTITION BY symbol, resolution ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'sell') AS b FROM sig),
