@@ -36,7 +36,7 @@ def pct_text(x: Column) -> Column:
 
 def parse_price(text: Column) -> Column:
     """The number that begins what digits, dots and minus signs are left of the text; null if none does."""
-    left = F.regexp_replace(text, r"[^0-9.\-]", "")
+    left = F.regexp_replace(text, r"[^0-9.\-]", "")  # a fixed value, as the number's form below
     return F.regexp_extract(left, r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0).try_cast("double")
 
 
@@ -47,6 +47,7 @@ def strip_em(text: Column) -> Column:
 
 def numeric_cells(cells: Column) -> Column:
     """Those texts of an array that are signed numbers, with or without commas and a percent sign."""
+    # A fixed value: the form of a number in a cell.
     return F.filter(cells, lambda c: F.regexp_replace(c, r"[\s,]", "").rlike(r"^[+\-]?[0-9]+\.?[0-9]*%?$"))
 
 
@@ -57,6 +58,7 @@ def watch_values(cells: Column) -> Column:
 
 
 def is_ticker(text: Column) -> Column:
+    # A fixed value: the form of a ticker.
     return text.rlike(r"^[A-Z][A-Z0-9.:!]{0,20}$")
 
 
@@ -95,6 +97,7 @@ def brief_line(symbol: Column, bias: Column, level: Column, watch: Column) -> Co
 
 def classify_console(line: Column, css_class: Column) -> Column:
     """struct(timestamp, type): a leading time, and error, compile, warning or info."""
+    # The form of a time, the words looked for and how far from the line's start.
     stamp = F.regexp_extract(line, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}\s+)?[0-9]{2}:[0-9]{2}:[0-9]{2}", 0)
     kind = F.coalesce(css_class, F.lit(""))
     found = (

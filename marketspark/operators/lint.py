@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: How scripts declare and use arrays.
 DECLARED_FROM = r"(\w+)\s*=\s*array\.from\(([^)]*)\)"
 DECLARED_NEW = r"(\w+)\s*=\s*array\.new(?:<\w+>|_\w+)\(([0-9]+)?"
 ACCESS = r"array\.(get|set)\(\s*(\w+)\s*,\s*(-?[0-9]+)"
@@ -63,6 +64,7 @@ def script_lint(scripts: DataFrame) -> DataFrame:
 
     index = _matches(lines, ACCESS, 3).withColumnRenamed("g2", "name").join(arrays, ["script_id", "name"]).withColumn("i", F.col("g3").try_cast("decimal(38,0)"))
     out_of_bounds = index.where(F.col("size").isNotNull() & (F.col("i").isNull() | (F.col("i") < 0) | (F.col("i") >= F.col("size"))))
+    # The messages here and below are fixed values.
     shown = F.coalesce(F.col("i").cast("string"), F.col("g3"))  # longer literals than decimals hold are beyond any size
     bounds = _diagnostic(out_of_bounds, text("array.", F.col("g1"), "(", F.col("name"), ", ", shown, ") — index ", shown, " out of bounds (array size is ", F.col("size"), ")"), "error")
 

@@ -86,6 +86,18 @@ def test_panes_and_forming_bars_emit_any_change(spark):
     assert [r["new_bar"] for r in day] == [True, False, False] and day[-1]["volume"] == 9.00002
 
 
+def test_json_lines(spark, tmp_path):
+    from marketspark.sources import files
+
+    df, stream = ticks(spark, tmp_path)
+    out = f"{tmp_path}/lines"
+    writer = files.write_jsonl_stream(stream.where("id % 2 = 0").select("symbol", "id"), "quote", out, f"{tmp_path}/lines-state")
+    assert writer.trigger(availableNow=True).start().awaitTermination(60)
+    got = spark.read.schema("symbol string, id long, _ts long, _stream string").json(out)
+    assert sorted((r["symbol"], r["id"]) for r in got.collect()) == sorted((r["symbol"], r["id"]) for r in df.where("id % 2 = 0").collect())
+    assert got.where("_stream = 'quote' and _ts > 1700000000000").count() == 200
+
+
 def drawings(kind):
     """Snapshots of two studies, whose drawings change at some of them."""
     rows = []
