@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bars import KEY, bar_window, latest_bars
+from .bars import KEY, latest_bars
 from .dyadic import piece_of, pieces, pieces_of
 from .recurrence import places
 
@@ -214,20 +216,56 @@ def eval_alerts(bars: DataFrame, alerts: DataFrame, span_seconds: int = 86_400)
 
 
 def returns(bars: DataFrame) -> DataFrame:
-    before = F.lag("close").over(bar_window())
-    return bars.select(*KEY, "ts", F.try_divide(F.col("close") - before, F.nullif(before, F.lit(0.0))).alias("ret")).where("ret is not null")
+    before = F.col("_before")
+    return places(bars, "close").select(*KEY, "ts", F.try_divide(F.col("close") - before, F.nullif(before, F.lit(0.0))).alias("ret")).where("ret is not null")
 
 
-def pair_correlation(bars: DataFrame, least: int = 3) -> DataFrame:
-    """symbol_a, symbol_b, resolution, n, corr of simple returns at common times, for pairs with least of them.
+def pair_correlation(bars: DataFrame, least: int = 3, tile: int = 64, most_symbols: int = 4096, chunk: str = "month") -> DataFrame:
+    """symbol_a, symbol_b, resolution, n, corr of simple returns at common times, for pairs with least of them; null without variance.
 
-    Bars must be of the symbols compared (a watchlist): pairs grow with the square of these.
+    Symbols are dealt to tiles of about ``tile``, times to chunks (a unit of date_trunc). A task has
+    the returns of two tiles in one chunk as matrices, and their products are the sums of all its
+    pairs; so rows grow with pairs times chunks, not times. Pairs grow with the square of the
+    symbols: more than most_symbols raise, so bars must be of those compared (a watchlist).
     """
-    r = returns(bars)
-    a = r.select("resolution", "ts", F.col("symbol").alias("symbol_a"), F.col("ret").alias("x"))
-    b = r.select("resolution", "ts", F.col("symbol").alias("symbol_b"), F.col("ret").alias("y"))
-    pairs = a.join(b, ["resolution", "ts"]).where(F.col("symbol_a") < F.col("symbol_b"))
-    return pairs.groupBy("symbol_a", "symbol_b", "resolution").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("corr")).where(F.col("n") >= least)
+    symbols = bars.select("symbol").distinct().limit(most_symbols + 1).count()
+    if symbols > most_symbols:
+        raise ValueError(f"more than {most_symbols} symbols to compare")
+    tiles = max(1, -(-symbols // tile))
+    rows = returns(bars).where("not isnan(ret)").withColumns({"_tile": F.pmod(F.xxhash64("symbol"), F.lit(tiles)), "_chunk": F.date_trunc(chunk, "ts")})
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    rows = rows.select("resolution", "_chunk", F.least("_tile", "_other").alias("_low"), F.greatest("_tile", "_other").alias("_high"), "_tile", "symbol", "ts", "ret")
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = pdf["_low"].iloc[0], pdf["_high"].iloc[0]
+        wide = pdf.pivot_table(index="ts", columns="symbol", values="ret", aggfunc="first")
+        tile_of = pdf.groupby("symbol")["_tile"].first()
+        sides = []
+        for t in (low, high):
+            names = [s for s in wide.columns if tile_of[s] == t]
+            x = wide[names].to_numpy(float)
+            there = ~np.isnan(x)
+            sides.append((names, np.where(there, x, 0.0), there.astype(float)))
+        (a, x, p), (b, y, q) = sides
+        found = dict(zip(sums, (p.T @ q, x.T @ q, p.T @ y, (x * x).T @ q, p.T @ (y * y), x.T @ y), strict=True))
+        k, m = np.nonzero(found["n"])
+        first, second = np.array(a, object)[k], np.array(b, object)[m]
+        keep = first < second if low == high else np.ones(len(k), bool)
+        turned = first > second  # pairs are named in order
+        out = {"symbol_a": np.where(turned, second, first), "symbol_b": np.where(turned, first, second), "resolution": pdf["resolution"].iloc[0]}
+        for name in sums:
+            swapped = {"sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx"}.get(name, name)
+            out[name] = np.where(turned, found[swapped][k, m], found[name][k, m])
+        return pd.DataFrame(out)[keep]
+
+    kinds = ", ".join(f"{name} double" for name in sums)
+    each = rows.groupBy("resolution", "_chunk", "_low", "_high").applyInPandas(products, f"symbol_a string, symbol_b string, resolution string, {kinds}")
+    total = each.groupBy("symbol_a", "symbol_b", "resolution").agg(*(F.sum(name).alias(name) for name in sums)).where(F.col("n") >= least)
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    vx, vy = n * F.col("sxx") - sx * sx, n * F.col("syy") - sy * sy
+    corr = F.when((vx > 0) & (vy > 0), F.try_divide(n * F.col("sxy") - sx * sy, F.sqrt(vx) * F.sqrt(vy)))
+    return total.select("symbol_a", "symbol_b", "resolution", n.cast("long").alias("n"), F.when(corr.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr))).alias("corr"))
 
 
 def relative_strength(bars: DataFrame, n: int = 20) -> DataFrame:

@@ -208,3 +208,30 @@ def test_no_window_over_a_whole_symbol(spark):
     assert len(windows) > 5
     for values, by, order in windows:
         assert "_block" in by or "_chunk" in by or "_chunk" in order, (values, by)
+
+
+def test_correlations_by_tiles(spark):
+    rng = random.Random(11)
+    rows = [(s, "60", T0 + dt.timedelta(hours=h), rng.uniform(50, 60)) for s in "abcdefghij" for h in range(120) if rng.random() < 0.7]
+    rows += [("flat", "60", T0 + dt.timedelta(hours=h), 5.0) for h in range(60)] + [("few", "60", T0 + dt.timedelta(hours=h), 5.0 + h) for h in range(3)]
+    returns = {}
+    for s, _, ts, close in sorted(rows, key=lambda r: (r[0], r[2])):
+        series = returns.setdefault(s, [[], None])
+        if series[1] is not None:
+            series[0].append((ts, (close - series[1]) / series[1]))
+        series[1] = close
+    want = {}
+    for a in returns:
+        for b in returns:
+            x, y = dict(returns[a][0]), dict(returns[b][0])
+            both = sorted(set(x) & set(y))
+            if a < b and len(both) >= 3:
+                c = None if "flat" in (a, b) else np.corrcoef([x[t] for t in both], [y[t] for t in both])[0, 1]
+                want[a, b] = (len(both), c)
+    df = spark.createDataFrame(rows, BAR).repartition(3)
+    got = {(r["symbol_a"], r["symbol_b"]): (r["n"], r["corr"]) for r in M.pair_correlation(df, tile=3, chunk="day").collect()}
+    assert set(got) == set(want) and len(want) > 45
+    for pair, (n, c) in want.items():
+        assert got[pair][0] == n and got[pair][1] == (None if c is None else pytest.approx(c, abs=1e-9))
+    with pytest.raises(ValueError):
+        M.pair_correlation(df, most_symbols=11)
