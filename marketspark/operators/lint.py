@@ -5,84 +5,101 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How scripts declare and use arrays.
+#: How scripts declare and use arrays, and what is said of them.
 DECLARED_FROM = r"(\w+)\s*=\s*array\.from\(([^)]*)\)"
 DECLARED_NEW = r"(\w+)\s*=\s*array\.new(?:<\w+>|_\w+)\(([0-9]+)?"
 ACCESS = r"array\.(get|set)\(\s*(\w+)\s*,\s*(-?[0-9]+)"
 ENDS = r"(\w+)\.(first|last)\(\)"
+VERSION = r"//@version=([0-9]+)"
+BEYOND_SIZE = "array.%s(%s, %s) — index %s out of bounds (array size is %s)"
+MAYBE_EMPTY = "%s.%s() called on possibly empty array (declared with size 0)"
+NO_STRATEGY = "strategy.entry/close used but no strategy() declaration found — did you mean to use indicator()?"
+OLD_VERSION = "Script uses Pine v%s — consider upgrading to v6 for latest features"
 
 
-def script_lines(scripts: DataFrame) -> DataFrame:
-    """script_id, line (from 1), text."""
-    return scripts.select("script_id", F.posexplode(F.split("source", "\n")).alias("_p", "text")).select("script_id", (F.col("_p") + 1).alias("line"), "text")
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")
 
 
-def declared_arrays(lines: DataFrame) -> DataFrame:
-    """script_id, name, size of each script's arrays by their last declaration; a size that isn't written out is null."""
-    some = lines.where(F.col("text").contains("array."))
-    listed = F.trim(F.regexp_extract("text", DECLARED_FROM, 2))
-    from_size = F.when(listed == "", 0).otherwise(F.size(F.split(listed, ",")))
-    new_size = F.regexp_extract("text", DECLARED_NEW, 2).try_cast("int")
-    is_from, is_new = F.col("text").rlike(DECLARED_FROM), F.col("text").rlike(DECLARED_NEW)
-    found = some.where(is_from | is_new).select(
-        "script_id",
-        "line",
-        F.when(is_from, F.regexp_extract("text", DECLARED_FROM, 1)).otherwise(F.regexp_extract("text", DECLARED_NEW, 1)).alias("name"),
-        F.when(is_from, from_size).otherwise(new_size).alias("size"),
-    )
-    return found.groupBy("script_id", "name").agg(F.max_by("size", "line").alias("size"))
+def declared_arrays(lines: Column) -> Column:
+    """Arrays that the lines declare, as struct(name, size), the last declaration first; a size that isn't written out is null."""
 
+    def declared(text: Column) -> Column:
+        listed = F.trim(F.regexp_extract(text, DECLARED_FROM, 2))
+        from_list = F.struct(F.regexp_extract(text, DECLARED_FROM, 1).alias("name"), F.when(listed == "", 0).otherwise(F.size(F.split(listed, ","))).alias("size"))
+        by_size = F.struct(F.regexp_extract(text, DECLARED_NEW, 1).alias("name"), F.regexp_extract(text, DECLARED_NEW, 2).try_cast("int").alias("size"))
+        return F.when(text.rlike(DECLARED_FROM), from_list).when(text.rlike(DECLARED_NEW), by_size)
 
-def _matches(lines: DataFrame, pattern: str, groups: int) -> DataFrame:
-    """A row for each match of a line: script_id, line, column (from 1), g1, g2 and so on.
+    return F.reverse(F.transform(F.filter(lines, lambda t: t.rlike(DECLARED_FROM) | t.rlike(DECLARED_NEW)), declared))
 
-    The text between matches is what splitting at the pattern leaves, so a match's column
-    is the length of all parts and matches before it.
-    """
-    whole = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
-    each = [F.regexp_extract_all("text", F.lit(pattern), F.lit(k + 1)) for k in range(groups)]
-    named = lines.where(F.col("text").rlike(pattern)).select("script_id", "line", F.split("text", pattern).alias("_parts"), whole.alias("_all"), *(e.alias(f"_g{k + 1}") for k, e in enumerate(each)))
-    one = named.select("*", F.posexplode("_all").alias("_k", "_m"))
-    length = lambda arr, n: F.aggregate(F.slice(arr, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
-    column = length(F.col("_parts"), F.col("_k") + 1) + length(F.col("_all"), F.col("_k")) + 1
-    return one.select("script_id", "line", column.alias("column"), *(F.get(f"_g{k + 1}", F.col("_k")).alias(f"g{k + 1}") for k in range(groups)))
 
+def _found(kind: str, matches: str, between: str) -> Column:
+    """struct(kind, column, text) of a line's matches; between is what splitting at them leaves."""
 
-def _diagnostic(df: DataFrame, message: Column, severity: str, line: Column | None = None, column: Column | None = None) -> DataFrame:
-    return df.select("script_id", (F.col("line") if line is None else line).cast("int").alias("line"), (F.col("column") if column is None else column).cast("int").alias("column"), message.alias("message"), F.lit(severity).alias("severity"))
+    def length(parts: str, n: Column) -> Column:
+        return F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
 
+    return F.transform(matches, lambda m, k: F.struct(F.lit(kind).alias("kind"), (length(between, k + 1) + length(matches, k) + 1).alias("column"), m.alias("text")))
 
-def script_lint(scripts: DataFrame) -> DataFrame:
-    """script_id, line, column, message, severity.
 
-    Literal indexes beyond an array's size, first() or last() of arrays declared empty, orders
-    in scripts without a strategy declaration (the first only), and versions before 5.
-    """
-    lines = script_lines(scripts)
-    arrays = declared_arrays(lines)
-    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+def _one(kind: str, text: Column, wanted: Column) -> Column:
+    """The same struct for a whole line, where it is wanted."""
+    return F.filter(F.array(F.struct(F.lit(kind).alias("kind"), F.lit(1).alias("column"), text.alias("text"))), lambda _: wanted)
 
-    index = _matches(lines, ACCESS, 3).withColumnRenamed("g2", "name").join(arrays, ["script_id", "name"]).withColumn("i", F.col("g3").try_cast("decimal(38,0)"))
-    out_of_bounds = index.where(F.col("size").isNotNull() & (F.col("i").isNull() | (F.col("i") < 0) | (F.col("i") >= F.col("size"))))
-    # The messages here and below are fixed values.
-    shown = F.coalesce(F.col("i").cast("string"), F.col("g3"))  # longer literals than decimals hold are beyond any size
-    bounds = _diagnostic(out_of_bounds, text("array.", F.col("g1"), "(", F.col("name"), ", ", shown, ") — index ", shown, " out of bounds (array size is ", F.col("size"), ")"), "error")
 
-    ends = _matches(lines, ENDS, 2).withColumnRenamed("g1", "name").where("name <> 'array'").join(arrays.where("size = 0"), ["script_id", "name"])
-    empty = _diagnostic(ends, text(F.col("name"), ".", F.col("g2"), "() called on possibly empty array (declared with size 0)"), "warning")
+def script_lint(scripts: DataFrame) -> DataFrame:
+    """script_id, line, column, message, severity.
 
-    trimmed = F.regexp_replace("text", r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")
-    uses = lines.where(trimmed.contains("strategy.entry") | trimmed.contains("strategy.close")).groupBy("script_id").agg(F.min("line").alias("line"))
-    declared = lines.where(trimmed.startswith("strategy(")).select("script_id").distinct()
-    orders = _diagnostic(uses.join(declared, "script_id", "left_anti"), F.lit("strategy.entry/close used but no strategy() declaration found — did you mean to use indicator()?"), "error", column=F.lit(1))
+    Literal indexes beyond an array's size, first() or last() of arrays declared empty, orders
+    in scripts without a strategy declaration (the first only), and versions before 5. A later
+    declaration of a name replaces an earlier one. A null source has no diagnostics.
 
+    One pass: a script's facts (arrays, first order, version) are columns beside its lines, and
+    only lines that can have a diagnostic become rows.
+    """
+    lines = scripts.select("script_id", F.regexp_extract("source", VERSION, 1).alias("_version"), F.split("source", "\n").alias("_lines"))
+    numbered = F.transform("_lines", lambda t, k: F.struct((k + 1).alias("line"), t.alias("text")))
     # The first line that is neither empty nor a plain comment decides, as does the first version line.
-    stop = lines.where(trimmed.startswith("//@version=") | ((trimmed != "") & ~trimmed.startswith("//")))
-    first = stop.groupBy("script_id").agg(F.min_by(trimmed, "line").alias("_first"))
-    version = F.regexp_extract("source", r"//@version=([0-9]+)", 1).try_cast("int")
-    old = scripts.select("script_id", version.alias("v")).where("v < 5").join(first, "script_id", "left").where(~F.coalesce(F.col("_first").startswith("//@version=6"), F.lit(False)))
-    info = _diagnostic(old, text("Script uses Pine v", F.col("v"), " — consider upgrading to v6 for latest features"), "info", F.lit(1), F.lit(1))
-    return bounds.unionByName(empty).unionByName(orders).unionByName(info)
+    decides = F.get(F.filter(F.transform("_lines", _trimmed), lambda t: t.startswith("//@version=") | ((t != "") & ~t.startswith("//"))), 0)
+    order = F.get(F.filter(numbered, lambda x: x["text"].contains("strategy.entry") | x["text"].contains("strategy.close")), 0)["line"]
+    facts = lines.select(
+        "script_id",
+        numbered.alias("_lines"),
+        declared_arrays(F.col("_lines")).alias("_arrays"),
+        F.when(~F.exists("_lines", lambda t: _trimmed(t).startswith("strategy(")), order).alias("_order"),
+        F.when((F.col("_version").try_cast("int") < 5) & ~F.coalesce(decides.startswith("//@version=6"), F.lit(False)), F.col("_version")).alias("_old"),
+    )
+    old, first_order = lambda line: (line == 1) & F.col("_old").isNotNull(), lambda line: F.coalesce(line == F.col("_order"), F.lit(False))
+    some = F.filter("_lines", lambda x: x["text"].rlike(ACCESS) | x["text"].rlike(ENDS) | old(x["line"]) | first_order(x["line"]))
+    asked = facts.select("script_id", "_arrays", "_order", "_old", F.inline(some)).select(
+        "*",
+        *(F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)).alias(name) for name, p in (("_access", ACCESS), ("_ends", ENDS))),
+        *(F.split("text", p).alias(name) for name, p in (("_no_access", ACCESS), ("_no_ends", ENDS))),
+    )
+    found = F.concat(
+        _found("access", "_access", "_no_access"),
+        _found("ends", "_ends", "_no_ends"),
+        _one("order", F.lit(""), first_order(F.col("line"))),
+        _one("old", F.coalesce("_old", F.lit("")), old(F.col("line"))),
+    )
+    at = asked.select("script_id", "line", "_arrays", F.inline(found))
+
+    is_a = lambda kind: F.col("kind") == kind
+    group = lambda pattern, k: F.regexp_extract("text", pattern, k)
+    name = F.when(is_a("access"), group(ACCESS, 2)).when(is_a("ends"), group(ENDS, 1))
+    named = at.withColumn("name", name)
+    named = named.withColumn("size", F.get(F.filter("_arrays", lambda a: a["name"] == F.col("name")), 0)["size"])
+    index = group(ACCESS, 3).try_cast("decimal(38,0)")  # longer literals than decimals hold are beyond any size
+    shown = F.coalesce(index.cast("string"), group(ACCESS, 3))
+    beyond = F.col("size").isNotNull() & (index.isNull() | (index < 0) | (index >= F.col("size")))
+    message = (
+        F.when(is_a("access") & beyond, F.format_string(BEYOND_SIZE, group(ACCESS, 1), F.col("name"), shown, shown, F.col("size")))
+        .when(is_a("ends") & (F.col("name") != "array") & (F.col("size") == 0), F.format_string(MAYBE_EMPTY, F.col("name"), group(ENDS, 2)))
+        .when(is_a("order"), NO_STRATEGY)
+        .when(is_a("old"), F.format_string(OLD_VERSION, F.col("text")))
+    )
+    severity = F.when(is_a("ends"), "warning").when(is_a("old"), "info").otherwise("error")
+    return named.select("script_id", F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"), message.alias("message"), severity.alias("severity")).where("message is not null")
 
 
 def flatten_compile_report(reports: DataFrame, report: str = "report") -> DataFrame:

@@ -352,15 +352,21 @@ def text_stats(spark, d):
 @query(
     "wf6_script_lint",
     SCRIPTS
-    + r""", l AS (SELECT script_id, source, z, unnest(string_split(source, chr(10))) AS text, generate_subscripts(string_split(source, chr(10)), 1) AS line FROM s),
-a AS (SELECT *, CASE z % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 3 THEN 4 END AS size FROM l),
-b AS (SELECT script_id, line, regexp_extract_all(text, 'array\.(?:get|set)\(\s*\w+\s*,\s*(-?[0-9]+)', 1) AS ix, text, size FROM a WHERE size IS NOT NULL AND contains(text, 'array.get')),
-c AS (SELECT script_id, line, size, text, unnest(ix)::BIGINT AS i, generate_subscripts(ix, 1) AS k FROM b),
-bounds AS (SELECT script_id, line, CASE WHEN k = 1 THEN instr(text, 'array.get') ELSE instr(text, ' + array.get') + 3 END AS "column", 'array.get(a, ' || i || ') — index ' || i || ' out of bounds (array size is ' || size || ')' AS message, 'error' AS severity FROM c WHERE i < 0 OR i >= size),
-ends AS (SELECT script_id, line, instr(text, 'a.' || w || '()') AS "column", 'a.' || w || '() called on possibly empty array (declared with size 0)' AS message, 'warning' AS severity FROM a, (SELECT unnest(['first', 'last']) AS w) WHERE size = 0 AND contains(text, 'a.' || w || '()')),
-orders AS (SELECT script_id, min(line) AS line, 1 AS "column", 'strategy.entry/close used but no strategy() declaration found — did you mean to use indicator()?' AS message, 'error' AS severity FROM l WHERE z % 3 <> 0 AND (contains(text, 'strategy.entry') OR contains(text, 'strategy.close')) GROUP BY 1),
-old AS (SELECT script_id, 1 AS line, 1 AS "column", 'Script uses Pine v4 — consider upgrading to v6 for latest features' AS message, 'info' AS severity FROM s WHERE z % 5 = 0)
-SELECT script_id, line::INTEGER AS line, "column"::INTEGER AS "column", message, severity FROM (SELECT * FROM bounds UNION ALL SELECT * FROM ends UNION ALL SELECT * FROM orders UNION ALL SELECT * FROM old)""",
+    + rf""", l AS (SELECT script_id, unnest(string_split(source, chr(10))) AS text, generate_subscripts(string_split(source, chr(10)), 1) AS line FROM s),
+d AS (SELECT script_id, line, CASE WHEN regexp_matches(text, '{L.DECLARED_FROM}') THEN regexp_extract(text, '{L.DECLARED_FROM}', 1) ELSE regexp_extract(text, '{L.DECLARED_NEW}', 1) END AS name,
+  CASE WHEN NOT regexp_matches(text, '{L.DECLARED_FROM}') THEN TRY_CAST(regexp_extract(text, '{L.DECLARED_NEW}', 2) AS INTEGER) WHEN trim(regexp_extract(text, '{L.DECLARED_FROM}', 2)) = '' THEN 0
+  ELSE len(string_split(regexp_extract(text, '{L.DECLARED_FROM}', 2), ',')) END AS size FROM l WHERE regexp_matches(text, '{L.DECLARED_FROM}') OR regexp_matches(text, '{L.DECLARED_NEW}')),
+arrays AS (SELECT script_id, name, last(size ORDER BY line) AS size FROM d GROUP BY 1, 2),
+p AS (SELECT script_id, line, kind, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS parts FROM l, (VALUES ('access', '{L.ACCESS}'), ('ends', '{L.ENDS}')) AS v(kind, pattern)),
+e AS (SELECT script_id, line, kind, parts, found, unnest(found) AS m, generate_subscripts(found, 1) AS k FROM p),
+g AS (SELECT script_id, line, kind, len(array_to_string(parts[1:k], '')) + len(array_to_string(found[1:k - 1], '')) + 1 AS "column", m, CASE kind WHEN 'access' THEN regexp_extract(m, '{L.ACCESS}', 2) ELSE regexp_extract(m, '{L.ENDS}', 1) END AS name FROM e),
+h AS (SELECT g.*, size, regexp_extract(m, '{L.ACCESS}', 1) AS method, regexp_extract(m, '{L.ENDS}', 2) AS at_end, TRY_CAST(regexp_extract(m, '{L.ACCESS}', 3) AS BIGINT) AS i FROM g JOIN arrays USING (script_id, name)),
+bounds AS (SELECT script_id, line, "column", printf('{L.BEYOND_SIZE}', method, name, i::VARCHAR, i::VARCHAR, size::VARCHAR) AS message, 'error' AS severity FROM h WHERE kind = 'access' AND size IS NOT NULL AND (i < 0 OR i >= size)),
+ends AS (SELECT script_id, line, "column", printf('{L.MAYBE_EMPTY}', name, at_end) AS message, 'warning' AS severity FROM h WHERE kind = 'ends' AND name <> 'array' AND size = 0),
+orders AS (SELECT script_id, min(line) FILTER (contains(text, 'strategy.entry') OR contains(text, 'strategy.close')) AS line, 1 AS "column", '{L.NO_STRATEGY}' AS message, 'error' AS severity FROM l GROUP BY 1 HAVING NOT bool_or(starts_with(trim(text), 'strategy('))),
+f AS (SELECT script_id, first(trim(text) ORDER BY line) AS stop FROM l WHERE starts_with(trim(text), '//@version=') OR (trim(text) <> '' AND NOT starts_with(trim(text), '//')) GROUP BY 1),
+old AS (SELECT script_id, 1 AS line, 1 AS "column", printf('{L.OLD_VERSION}', regexp_extract(source, '{L.VERSION}', 1)) AS message, 'info' AS severity FROM s LEFT JOIN f USING (script_id) WHERE TRY_CAST(regexp_extract(source, '{L.VERSION}', 1) AS INTEGER) < 5 AND NOT coalesce(starts_with(stop, '//@version=6'), false))
+SELECT script_id, line::INTEGER AS line, "column"::INTEGER AS "column", message, severity FROM (SELECT * FROM bounds UNION ALL SELECT * FROM ends UNION ALL SELECT * FROM orders WHERE line IS NOT NULL UNION ALL SELECT * FROM old)""",
 )
 def script_lint(spark, d):
     return L.script_lint(T.scripts(spark, d))
