@@ -73,3 +73,21 @@ def remove_entity(drawings: DataFrame, entity_id) -> DataFrame:
     """drawings without one; and, as columns, whether it was there and how many remain."""
     gone = F.coalesce(F.col("id") == F.lit(entity_id), F.lit(False))
     return drawings.agg(F.coalesce(F.max(gone), F.lit(False)).alias("removed"), F.count_if(~gone).alias("remaining_count"))
+
+
+def remaining_drawings(drawings: DataFrame, removals: DataFrame, study: str = "study") -> DataFrame:
+    """drawings without those that removals (study, id) name; drawings without an id stay, and removals may repeat."""
+    return drawings.join(removals.select(study, "id"), [study, "id"], "left_anti").select(*drawings.columns)
+
+
+def removal_outcomes(drawings: DataFrame, removals: DataFrame, study: str = "study") -> DataFrame:
+    """A row for each study that removals (study, id) name: asked (distinct ids), removed of them, not_found, remaining_count of its drawings."""
+    asked = removals.select(study, "id").where(F.col("id").isNotNull()).distinct().withColumn("_asked", F.lit(1))
+    there = drawings.groupBy(study, "id").agg(F.count(F.lit(1)).alias("_n"))
+    both = there.join(asked, [study, "id"], "full_outer")
+    hit = F.col("_asked").isNotNull()
+    counts = both.groupBy(study).agg(
+        F.count("_asked").alias("asked"), F.count_if(hit & F.col("_n").isNotNull()).alias("removed"), F.count_if(hit & F.col("_n").isNull()).alias("not_found"),
+        F.coalesce(F.sum(F.when(~hit, F.col("_n"))), F.lit(0).cast("long")).alias("remaining_count"),
+    )
+    return counts.where("asked > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import brief_line, number_text
@@ -13,6 +13,7 @@ from ..operators.matching import account_value, htf_align, nearest_level, scan_g
 from ..operators.recurrence import month
 from ..operators.signals import bias_of, order_size, position_fold, position_machine, scalper_signal
 from ..operators.strategy import strategy_metrics
+from ..sources.files import watchlist as rules_watchlist
 
 NO_BALANCE = "the balance is too small"
 
@@ -43,8 +44,27 @@ def morning_brief(watchlist: DataFrame, bars: DataFrame, levels: DataFrame) -> D
 
 
 def brief_totals(brief: DataFrame) -> DataFrame:
-    """Number of symbols of each bias."""
-    return brief.groupBy("bias").agg(F.count(F.lit(1)).alias("symbols"))
+    """One row: scanned, failed (symbols with an error), number of symbols of each bias among the rest, and overall, a sentence of them.
+
+    An empty brief gives zeros.
+    """
+    ok = F.col("error").isNull()
+    sides = {bias: F.count_if(ok & (F.col("bias") == bias)).alias(bias) for bias in ("bullish", "bearish", "neutral")}
+    counts = brief.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(~ok).alias("failed"), *sides.values())
+    read = F.when(F.col("bullish") > F.col("bearish"), "bullish").when(F.col("bearish") > F.col("bullish"), "bearish").otherwise("neutral")
+    return counts.withColumn("overall", F.format_string("OVERALL: %s (%d bullish, %d bearish, %d neutral)", read, *sides))
+
+
+def brief_of_rules(spark: SparkSession, rules: dict, bars: DataFrame, levels: DataFrame) -> DataFrame:
+    """The morning brief of the rules' watchlist at their default time frame, in the watchlist's order (seq).
+
+    bars hold any resolutions; only those of the time frame are read. A symbol that is listed
+    twice is briefed twice.
+    """
+    watched = rules_watchlist(spark, rules)
+    at = bars.where(F.col("resolution") == rules["default_timeframe"])
+    brief = morning_brief(watched.select("symbol").distinct(), at, levels)
+    return watched.join(brief, "symbol").withColumn("timeframe", F.lit(rules["default_timeframe"]))
 
 
 def get_session(store: DataFrame, date: str, days_back: int = 1) -> DataFrame:

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import queries_folds, queries_market, queries_reports  # noqa: F401
+    from . import queries_files, queries_folds, queries_market, queries_reports  # noqa: F401
 
     return dict(QUERIES)
 

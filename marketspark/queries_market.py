@@ -619,20 +619,60 @@ def order_outcome(spark, d):
 # Workflows
 
 
-@query(
-    "wf1_morning_brief",
-    f"""{BARS}, {SYMBOLS}, {LATEST}, {LEVELS}, {BIAS}, lb AS (SELECT symbol, last(bias ORDER BY ts) AS bias FROM bias GROUP BY 1), q AS (SELECT symbol, close AS last FROM latest),
+BRIEF = f"""{BARS}, {SYMBOLS}, {LATEST}, {LEVELS}, {BIAS}, lb AS (SELECT symbol, last(bias ORDER BY ts) AS bias FROM bias GROUP BY 1), q AS (SELECT symbol, close AS last FROM latest),
 n AS (SELECT q.symbol, first(level ORDER BY abs(level - last), -level) AS key_level, max(level) FILTER (level <= last) AS support, min(level) FILTER (level > last) AS resistance
   FROM q JOIN levels l ON q.symbol = l.symbol GROUP BY 1),
-a AS (SELECT s.symbol, coalesce(lb.bias, 'neutral') AS bias, q.last, key_level, support, resistance FROM symbols s LEFT JOIN lb ON s.symbol = lb.symbol LEFT JOIN q ON s.symbol = q.symbol LEFT JOIN n ON s.symbol = n.symbol)
-SELECT symbol, bias, key_level, CASE WHEN last IS NULL THEN 'no bars' END AS error, CASE WHEN last IS NOT NULL THEN symbol || ' | BIAS: ' || bias || ' | KEY LEVEL: ' || coalesce({NUMBER.format(x='key_level')}, '-') || ' | WATCH: ' ||
-  CASE bias WHEN 'bullish' THEN 'break of ' || {NUMBER.format(x='coalesce(resistance, last)')} WHEN 'bearish' THEN 'loss of ' || {NUMBER.format(x='coalesce(support, last)')} ELSE 'range' END END AS line FROM a""",
-)
+a AS (SELECT s.symbol, coalesce(lb.bias, 'neutral') AS bias, q.last, key_level, support, resistance FROM symbols s LEFT JOIN lb ON s.symbol = lb.symbol LEFT JOIN q ON s.symbol = q.symbol LEFT JOIN n ON s.symbol = n.symbol),
+brief AS (SELECT symbol, bias, key_level, CASE WHEN last IS NULL THEN 'no bars' END AS error, CASE WHEN last IS NOT NULL THEN symbol || ' | BIAS: ' || bias || ' | KEY LEVEL: ' || coalesce({NUMBER.format(x='key_level')}, '-') || ' | WATCH: ' ||
+  CASE bias WHEN 'bullish' THEN 'break of ' || {NUMBER.format(x='coalesce(resistance, last)')} WHEN 'bearish' THEN 'loss of ' || {NUMBER.format(x='coalesce(support, last)')} ELSE 'range' END END AS line FROM a)"""
+
+
+@query("wf1_morning_brief", f"{BRIEF} SELECT * FROM brief")
 def morning_brief(spark, d):
     bars = hourly(spark, d)
     return P.morning_brief(symbols(spark, d), bars, _levels(bars)).select("symbol", "bias", "key_level", "error", "line")
 
 
+def _rules(spark, d) -> dict:
+    """Rules of a file that Spark has written: all symbols from Z to A, hours."""
+    from .sources.files import load_rules
+    from .sources.scratch import new_folder
+
+    path = new_folder(spark, "rules")
+    listed = symbols(spark, d).agg(F.sort_array(F.collect_list("symbol"), asc=False).alias("watchlist"))
+    criteria = F.struct(F.lit("ribbon up, close over the mean").alias("bullish"), F.lit("ribbon down, close under it").alias("bearish"))
+    rules = listed.select("watchlist", F.lit("60").alias("default_timeframe"), criteria.alias("bias_criteria"), F.lit("").alias("notes"))
+    rules.select(F.to_json(F.struct(*rules.columns)).alias("value")).coalesce(1).write.text(path)
+    return load_rules(spark, [f"{path}-of-nobody", path])
+
+
+@query("src3_load_rules", f"{BARS}, {SYMBOLS} SELECT symbol, (row_number() OVER (ORDER BY symbol DESC) - 1)::INTEGER AS seq, '60' AS timeframe FROM symbols")
+def load_rules(spark, d):
+    from .sources.files import watchlist
+
+    rules = _rules(spark, d)
+    return watchlist(spark, rules).withColumn("timeframe", F.lit(rules["default_timeframe"]))
+
+
+@query("wf1_brief_of_rules", f"{BRIEF} SELECT (row_number() OVER (ORDER BY symbol DESC) - 1)::INTEGER AS seq, '60' AS timeframe, * FROM brief")
+def brief_of_rules(spark, d):
+    """The brief of the hours' bars, which lie beside those of days."""
+    bars = hourly(spark, d)
+    both = bars.unionByName(B.build_bars(T.ticks(spark, d), "D"))
+    return P.brief_of_rules(spark, _rules(spark, d), both, _levels(bars)).select("seq", "timeframe", "symbol", "bias", "key_level", "error", "line")
+
+
+@query(
+    "wf1_brief_totals",
+    f"""{BRIEF}, t AS (SELECT count(*) AS scanned, count(*) FILTER (error IS NOT NULL) AS failed, count(*) FILTER (error IS NULL AND bias = 'bullish') AS bullish,
+  count(*) FILTER (error IS NULL AND bias = 'bearish') AS bearish, count(*) FILTER (error IS NULL AND bias = 'neutral') AS neutral FROM brief)
+SELECT *, 'OVERALL: ' || CASE WHEN bullish > bearish THEN 'bullish' WHEN bearish > bullish THEN 'bearish' ELSE 'neutral' END || ' (' || bullish || ' bullish, ' || bearish || ' bearish, ' || neutral || ' neutral)' AS overall FROM t""",
+)
+def brief_totals(spark, d):
+    bars = hourly(spark, d)
+    return P.brief_totals(P.morning_brief(symbols(spark, d), bars, _levels(bars)))
+
+
 @query(
     "wf3_batch_scan",
     f"""{BARS}, {SYMBOLS}, {SUMMARY}, grid AS (SELECT symbol, unnest(['60', 'D']) AS resolution FROM symbols)
@@ -715,7 +755,7 @@ def sample_latest(spark, d):
     return X.sample_latest(T.ticks(spark, d), ["symbol"], X.INTERVALS["bars"], ["price", "id"], "id")
 
 
-@query("st3_stream_bars", f"{BARS}, l AS (SELECT *, lag(ts) OVER ({W}) AS b FROM bars) SELECT {COLUMNS}, true AS new_bar FROM l")
+@query("st3_stream_bars", f"{BARS}, l AS (SELECT *, lag(ts) OVER ({W}) AS b FROM bars) SELECT {COLUMNS}, b IS NULL OR b <> ts AS new_bar FROM l")
 def stream_bars(spark, d):
     return X.stream_bars_batch(hourly(spark, d))
 

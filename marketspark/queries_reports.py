@@ -205,6 +205,30 @@ def remove_entity(spark, d):
     return R.remove_entity(T.drawn_lines(spark, d), "000000000001.001.000000000001")
 
 
+REMOVALS = "removals AS (SELECT study, id FROM lines WHERE y1 = y2 UNION ALL SELECT study, 'none' FROM lines WHERE y1 > y2)"
+
+
+def _removals(lines: DataFrame) -> DataFrame:
+    """All level lines, and an id that isn't there for each falling one."""
+    return lines.where("y1 = y2").select("study", "id").unionByName(lines.where("y1 > y2").select("study", F.lit("none").alias("id")))
+
+
+@query("set2_remaining_drawings", f"{LINES}, {REMOVALS} SELECT study, id, y1, y2 FROM lines l WHERE NOT EXISTS (SELECT 1 FROM removals r WHERE r.study = l.study AND r.id = l.id)")
+def remaining_drawings(spark, d):
+    lines = T.drawn_lines(spark, d)
+    return R.remaining_drawings(lines, _removals(lines)).select("study", "id", "y1", "y2")
+
+
+@query(
+    "set2_removal_outcomes",
+    f"""{LINES}, {REMOVALS}, d AS (SELECT DISTINCT study, id FROM removals), o AS (SELECT study, count(*) AS asked, count(*) FILTER (id <> 'none') AS removed, count(*) FILTER (id = 'none') AS not_found FROM d GROUP BY 1)
+SELECT o.*, (SELECT count(*) FROM lines l WHERE l.study = o.study AND l.y1 IS DISTINCT FROM l.y2) AS remaining_count FROM o""",
+)
+def removal_outcomes(spark, d):
+    lines = T.drawn_lines(spark, d)
+    return R.removal_outcomes(lines, _removals(lines))
+
+
 @query("flt1_study_filter", f"{LINES} SELECT study, count(*) AS n FROM lines WHERE study LIKE '%dy 2%' GROUP BY 1")
 def study_filter(spark, d):
     return R.study_filter(T.drawn_lines(spark, d), "dy 2").groupBy("study").agg(F.count(F.lit(1)).alias("n"))
@@ -291,6 +315,26 @@ def records(spark, d):
     return o.select("o_orderkey", F.size(V.scalar_fields(record)).alias("scalars"), F.array_join(F.array_sort(F.map_keys(V.equity_summary(record))), ",").alias("equity_keys"))
 
 
+EQUITY_KEYS = ["Net Profit", "max drawdown %", "total_trades", "EQUITY", "gross_loss", "profitFactor", "internet", "win_rate"]
+
+
+@query(
+    "flt10_equity_by_key",
+    f"""WITH r AS (SELECT o_orderkey, {EQUITY_KEYS}[(o_orderkey % 8)::INTEGER + 1] AS k1, 'customer ' || o_custkey AS k2, o_orderpriority AS k3, o_totalprice, o_orderstatus FROM orders),
+e AS (SELECT o_orderkey, k1 AS k, o_totalprice::VARCHAR AS v FROM r UNION ALL SELECT o_orderkey, k2, CASE WHEN o_orderstatus = 'F' THEN 'x' END FROM r UNION ALL SELECT o_orderkey, k3 || ' net', o_orderstatus FROM r WHERE o_orderstatus <> 'O')
+SELECT o_orderkey, coalesce(string_agg(k, ',' ORDER BY k) FILTER (regexp_matches(lower(k), 'equity|drawdown|profit|net')), '') AS equity_keys, count(v) AS scalars FROM e GROUP BY 1""",
+)
+def equity_by_key(spark, d):
+    """Records whose keys differ from order to order."""
+    o = T.table(spark, d, "orders")
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    fixed = F.array(*map(F.lit, EQUITY_KEYS))
+    some = F.array(entry(F.get(fixed, (F.col("o_orderkey") % 8).cast("int")), F.col("o_totalprice").cast("string")), entry(F.concat(F.lit("customer "), F.col("o_custkey").cast("string")), F.when(F.col("o_orderstatus") == "F", "x")))
+    last = F.filter(F.array(entry(F.concat("o_orderpriority", F.lit(" net")), F.col("o_orderstatus"))), lambda _: F.col("o_orderstatus") != "O")
+    record = F.map_from_entries(F.concat(some, last))
+    return o.select("o_orderkey", F.array_join(F.array_sort(F.map_keys(V.equity_summary(record))), ",").alias("equity_keys"), F.size(V.scalar_fields(record)).cast("long").alias("scalars"))
+
+
 @query("flt11_is_ticker", r"SELECT p_partkey, regexp_matches(p_name, '^[A-Z][A-Z0-9.:!]{0,20}$') AS name_is, regexp_matches(upper(left(p_type, 4)) || p_size, '^[A-Z][A-Z0-9.:!]{0,20}$') AS code_is FROM part")
 def is_ticker(spark, d):
     p = T.table(spark, d, "part")

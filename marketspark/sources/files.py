@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.scalars import or_zero
+from .scratch import delete
 from .tables import BAR
 
 TRADE_LOG = (
@@ -34,7 +36,7 @@ def clean_bars(raw: DataFrame) -> DataFrame:
 
 
 def load_rules(spark: SparkSession, paths: list[str]) -> dict:
-    """The first of the files that exists, as a dict; its path is in 'path'.
+    """The first of the files (or folders of one file) that exists, as a dict; its path is in 'path'.
 
     A file that can't be parsed or has no watchlist raises a ValueError that names it.
     """
@@ -42,7 +44,7 @@ def load_rules(spark: SparkSession, paths: list[str]) -> dict:
         found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
         try:
             rows = found.load(path).select(F.col("content").cast("string").alias("text")).collect()
-        except Exception as error:  # Spark has one class for all analysis errors
+        except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             continue
@@ -83,12 +85,22 @@ def merge_sessions(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def save_session(new: DataFrame, path: str, stored_schema: str = "saved_at string, brief string, date string") -> None:
-    """Writes sessions over those of their dates only; the folder is partitioned by date."""
+    """Writes sessions over those of their dates only; the folder is partitioned by date.
+
+    Of what is stored, only partitions of the new dates are read, and only they are written:
+    the range of dates is known before the scan, and the dates themselves prune inside it.
+    No sessions: nothing is written. A session without a date: ValueError.
+    """
     spark = new.sparkSession
-    dates = new.select("date").distinct()
+    first, last, undated = new.agg(F.min("date"), F.max("date"), F.count_if(F.col("date").isNull())).first()
+    if undated:
+        raise ValueError("sessions without a date can't be stored")
+    if first is None:
+        return
+    in_range = F.col("date").between(first, last)
     try:
-        stored = spark.read.schema(stored_schema).parquet(path).join(dates, "date", "left_semi")
-    except Exception as error:
+        stored = stored_sessions(spark, path, stored_schema).where(in_range).join(new.where(in_range).select("date").distinct(), "date", "left_semi")
+    except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         stored = spark.createDataFrame([], stored_schema)
@@ -99,8 +111,17 @@ def save_session(new: DataFrame, path: str, stored_schema: str = "saved_at strin
     try:
         spark.read.schema(merged.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
     finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(beside)
-        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        delete(spark, beside)
+
+
+def stored_sessions(spark: SparkSession, path: str, stored_schema: str = "saved_at string, brief string, date string") -> DataFrame:
+    """The sessions that save_session() has written, dates as text."""
+    return spark.read.schema(stored_schema).parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log that append_log() has written; date, of its folders, is text."""
+    return spark.read.schema(f"{schema}, date string").parquet(path)
 
 
 def write_jsonl_stream(stream: DataFrame, label: str, path: str, checkpoint: str) -> DataStreamWriter:
