@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,23 +30,31 @@ def declared_arrays(lines: Column) -> Column:
         listed = F.trim(F.regexp_extract(text, DECLARED_FROM, 2))
         from_list = F.struct(F.regexp_extract(text, DECLARED_FROM, 1).alias("name"), F.when(listed == "", 0).otherwise(F.size(F.split(listed, ","))).alias("size"))
         by_size = F.struct(F.regexp_extract(text, DECLARED_NEW, 1).alias("name"), F.regexp_extract(text, DECLARED_NEW, 2).try_cast("int").alias("size"))
-        return F.when(text.rlike(DECLARED_FROM), from_list).when(text.rlike(DECLARED_NEW), by_size)
+        return F.when(text.contains("array.from(") & text.rlike(DECLARED_FROM), from_list).when(text.contains("array.new") & text.rlike(DECLARED_NEW), by_size)
 
-    return F.reverse(F.transform(F.filter(lines, lambda t: t.rlike(DECLARED_FROM) | t.rlike(DECLARED_NEW)), declared))
+    candidates = F.filter(lines, lambda t: t.contains("array.from(") | t.contains("array.new"))  # cheaper than the patterns
+    return F.reverse(F.filter(F.transform(candidates, declared), lambda d: d.isNotNull()))
 
 
-def _found(kind: str, matches: str, between: str) -> Column:
-    """struct(kind, column, text) of a line's matches; between is what splitting at them leaves."""
+def _found(kind: str, groups: int) -> Column:
+    """struct(kind, column, g1, g2, g3) of a line's matches; between them is what splitting at them leaves."""
+    matches, between = f"_{kind}_0", f"_{kind}_between"
 
     def length(parts: str, n: Column) -> Column:
         return F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
 
-    return F.transform(matches, lambda m, k: F.struct(F.lit(kind).alias("kind"), (length(between, k + 1) + length(matches, k) + 1).alias("column"), m.alias("text")))
+    def one(_: Column, k: Column) -> Column:
+        texts = [F.get(f"_{kind}_{g}", k) if g <= groups else F.lit(None).cast("string") for g in (1, 2, 3)]
+        column = length(between, k + 1) + length(matches, k) + 1
+        return F.struct(F.lit(kind).alias("kind"), column.alias("column"), *(t.alias(f"g{g}") for g, t in enumerate(texts, 1)))
+
+    return F.transform(matches, one)
 
 
 def _one(kind: str, text: Column, wanted: Column) -> Column:
     """The same struct for a whole line, where it is wanted."""
-    return F.filter(F.array(F.struct(F.lit(kind).alias("kind"), F.lit(1).alias("column"), text.alias("text"))), lambda _: wanted)
+    none = F.lit(None).cast("string")
+    return F.filter(F.array(F.struct(F.lit(kind).alias("kind"), F.lit(1).alias("column"), text.alias("g1"), none.alias("g2"), none.alias("g3"))), lambda _: wanted)
 
 
 def script_lint(scripts: DataFrame) -> DataFrame:
@@ -57,49 +67,54 @@ def script_lint(scripts: DataFrame) -> DataFrame:
     One pass: a script's facts (arrays, first order, version) are columns beside its lines, and
     only lines that can have a diagnostic become rows.
     """
-    lines = scripts.select("script_id", F.regexp_extract("source", VERSION, 1).alias("_version"), F.split("source", "\n").alias("_lines"))
+    split = scripts.select("script_id", F.regexp_extract("source", VERSION, 1).alias("_version"), F.split("source", "\n").alias("_lines"))
+    lines = split.select("*", F.transform("_lines", _trimmed).alias("_trim"))
     numbered = F.transform("_lines", lambda t, k: F.struct((k + 1).alias("line"), t.alias("text")))
     # The first line that is neither empty nor a plain comment decides, as does the first version line.
-    decides = F.get(F.filter(F.transform("_lines", _trimmed), lambda t: t.startswith("//@version=") | ((t != "") & ~t.startswith("//"))), 0)
+    decides = F.get(F.filter("_trim", lambda t: t.startswith("//@version=") | ((t != "") & ~t.startswith("//"))), 0)
     order = F.get(F.filter(numbered, lambda x: x["text"].contains("strategy.entry") | x["text"].contains("strategy.close")), 0)["line"]
     facts = lines.select(
         "script_id",
         numbered.alias("_lines"),
         declared_arrays(F.col("_lines")).alias("_arrays"),
-        F.when(~F.exists("_lines", lambda t: _trimmed(t).startswith("strategy(")), order).alias("_order"),
+        F.when(~F.exists("_trim", lambda t: t.startswith("strategy(")), order).alias("_order"),
         F.when((F.col("_version").try_cast("int") < 5) & ~F.coalesce(decides.startswith("//@version=6"), F.lit(False)), F.col("_version")).alias("_old"),
     )
     old, first_order = lambda line: (line == 1) & F.col("_old").isNotNull(), lambda line: F.coalesce(line == F.col("_order"), F.lit(False))
-    some = F.filter("_lines", lambda x: x["text"].rlike(ACCESS) | x["text"].rlike(ENDS) | old(x["line"]) | first_order(x["line"]))
-    asked = facts.select("script_id", "_arrays", "_order", "_old", F.inline(some)).select(
+    kinds = {"access": (ACCESS, 3, ("array.get(", "array.set(")), "ends": (ENDS, 2, (".first()", ".last()"))}  # pattern, groups, and texts of which a match has one
+    holds = lambda text, words: functools.reduce(Column.__or__, (text.contains(w) for w in words))
+    some = F.filter("_lines", lambda x: holds(x["text"], [w for _, _, words in kinds.values() for w in words]) | old(x["line"]) | first_order(x["line"]))
+    # inline_outer: of inline Spark would infer a filter and evaluate all of this once more below it.
+    rows = facts.select("script_id", "_arrays", "_order", "_old", F.inline_outer(some)).where("line is not null")
+    nothing = F.array().cast("array<string>")
+    matched = rows.select(
         "*",
-        *(F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)).alias(name) for name, p in (("_access", ACCESS), ("_ends", ENDS))),
-        *(F.split("text", p).alias(name) for name, p in (("_no_access", ACCESS), ("_no_ends", ENDS))),
+        *(F.when(holds(F.col("text"), words), F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(g + 1))).otherwise(nothing).alias(f"_{kind}_{g}") for kind, (p, n, words) in kinds.items() for g in range(n + 1)),
+        *(F.when(holds(F.col("text"), words), F.split("text", p)).otherwise(nothing).alias(f"_{kind}_between") for kind, (p, _, words) in kinds.items()),
     )
     found = F.concat(
-        _found("access", "_access", "_no_access"),
-        _found("ends", "_ends", "_no_ends"),
+        *(_found(kind, n) for kind, (_, n, _) in kinds.items()),
         _one("order", F.lit(""), first_order(F.col("line"))),
         _one("old", F.coalesce("_old", F.lit("")), old(F.col("line"))),
     )
-    at = asked.select("script_id", "line", "_arrays", F.inline(found))
+    at = matched.select("script_id", "line", "_arrays", F.inline_outer(found)).where("kind is not null")
 
     is_a = lambda kind: F.col("kind") == kind
-    group = lambda pattern, k: F.regexp_extract("text", pattern, k)
-    name = F.when(is_a("access"), group(ACCESS, 2)).when(is_a("ends"), group(ENDS, 1))
-    named = at.withColumn("name", name)
-    named = named.withColumn("size", F.get(F.filter("_arrays", lambda a: a["name"] == F.col("name")), 0)["size"])
-    index = group(ACCESS, 3).try_cast("decimal(38,0)")  # longer literals than decimals hold are beyond any size
-    shown = F.coalesce(index.cast("string"), group(ACCESS, 3))
+    name = F.when(is_a("access"), F.col("g2")).when(is_a("ends"), F.col("g1"))
+    sized = at.withColumn("size", F.get(F.filter("_arrays", lambda a: a["name"] == name), 0)["size"])
+    index = F.col("g3").try_cast("decimal(38,0)")  # longer literals than decimals hold are beyond any size
+    shown = F.coalesce(index.cast("string"), F.col("g3"))
     beyond = F.col("size").isNotNull() & (index.isNull() | (index < 0) | (index >= F.col("size")))
+    empty = (F.col("g1") != "array") & (F.col("size") == 0)
+    faulty = sized.where(F.when(is_a("access"), beyond).when(is_a("ends"), empty).otherwise(True))
     message = (
-        F.when(is_a("access") & beyond, F.format_string(BEYOND_SIZE, group(ACCESS, 1), F.col("name"), shown, shown, F.col("size")))
-        .when(is_a("ends") & (F.col("name") != "array") & (F.col("size") == 0), F.format_string(MAYBE_EMPTY, F.col("name"), group(ENDS, 2)))
+        F.when(is_a("access"), F.format_string(BEYOND_SIZE, "g1", "g2", shown, shown, "size"))
+        .when(is_a("ends"), F.format_string(MAYBE_EMPTY, "g1", "g2"))
         .when(is_a("order"), NO_STRATEGY)
-        .when(is_a("old"), F.format_string(OLD_VERSION, F.col("text")))
+        .otherwise(F.format_string(OLD_VERSION, "g1"))
     )
     severity = F.when(is_a("ends"), "warning").when(is_a("old"), "info").otherwise("error")
-    return named.select("script_id", F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"), message.alias("message"), severity.alias("severity")).where("message is not null")
+    return faulty.select("script_id", F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"), message.alias("message"), severity.alias("severity"))
 
 
 def flatten_compile_report(reports: DataFrame, report: str = "report") -> DataFrame:
