@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from .bars import KEY, fold_rows
 from .chunks import in_blocks, running
 from .indicators import ema_over, pct_change, rsi_over, rsi_wilder, vwap_over
 from .matching import asof_join
-from .recurrence import linrec, month
+from .recurrence import month
 
 NO_SIGNAL = "no signal — conditions not met"
 
@@ -122,41 +126,106 @@ def time_exit(trades: DataFrame, key: str = "symbol", order: tuple[str, ...] = (
     return trades.withColumns({"exit_ts": F.lead("ts").over(w), "exit_price": F.lead("price").over(w)})
 
 
+def _practised(batches: Iterator[pa.RecordBatch], rows: bool) -> Iterator[pa.RecordBatch]:
+    """Folds sorted rows of each session, symbol and chunk; gives the rows with position and realized_pnl, or what each chunk does.
+
+    Cost and result are kept as a * c + b and d * c + e of the cost c at the chunk's start. With
+    rows the start is known, so a and d are 0.
+    """
+    names = ("_session", "_symbol", "_chunk", "_step", "_closes", "price", "_p0", "_c0", "_r0")
+    key, end = None, None
+    for batch in batches:
+        positions, results, ends = [], [], []
+        for *at, step, closes, price, p0, c0, r0 in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            if at != key:
+                if end:
+                    ends.append(end)
+                key, position = at, p0
+                a, b, d, e = (0.0, c0, 0.0, r0) if rows else (1.0, 0.0, 0.0, 0.0)
+            size = abs(position)
+            if closes or position * step < 0:
+                units = position if closes else -step
+                if position:
+                    d, e = d - units * a, e + units * (price - b)
+                position = 0 if closes else position + step
+            elif step:
+                a, b, position = a * size / (size + 1), (b * size + price) / (size + 1), position + step
+            if rows:
+                positions.append(position)
+                results.append(e)
+            else:
+                end = (*at, a, b, d, e)
+        if rows:
+            kept = batch.select([n for n in batch.schema.names if n not in (*names[:5], *names[6:])])
+            yield kept.append_column("position", pa.array(positions, pa.int64())).append_column("realized_pnl", pa.array(results, pa.float64()))
+        elif ends:
+            yield _ends(ends)
+    if end:
+        yield _ends([end])
+
+
+def _ends(ends: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int64(), *(4 * [pa.float64()]))
+    return pa.record_batch([pa.array(v, t) for v, t in zip(zip(*ends, strict=True), types, strict=True)], names=["_session", "_symbol", "_chunk", *"abde"])
+
+
+def _practice_starts(ends: pd.DataFrame) -> pd.DataFrame:
+    """_c0 and _r0, cost and result at the start of each chunk of one session and symbol."""
+    ends = ends.sort_values("_chunk")
+    cost, result, starts = 0.0, 0.0, []
+    for a, b, d, e in ends[[*"abde"]].itertuples(index=False):
+        starts.append((cost, result))
+        cost, result = a * cost + b, result + d * cost + e
+    return ends[["_session", "_symbol", "_chunk", "_p0"]].assign(_c0=[c for c, _ in starts], _r0=[r for _, r in starts])
+
+
 def practice_pnl(actions: DataFrame, bars: DataFrame, chunk_rows: int = 50_000) -> DataFrame:
     """actions (session, symbol, ts, id, action) priced as of their time, with position and realized_pnl so far.
 
     Buys and sells are of one unit, close goes to none; the average cost decides what a
-    reduction realizes. Positions and sums run over days, costs and results over chunks of
-    chunk_rows, so no task sorts or holds a whole session.
+    reduction realizes. A session's symbol of up to chunk_rows rows is folded in one go, batch by
+    batch. Only longer ones are cut, into chunks of whole days of about chunk_rows rows: what each
+    does to position, cost and result is one row, and these tell what the chunks start from.
     """
     priced = asof_join(actions, bars.select("symbol", F.col("ts").alias("bar_ts"), F.col("close").alias("price")), "symbol", "ts", "bar_ts", ["price"])
     columns = priced.columns
+    keys = ("_session", "_symbol")
+    part = (*keys, "_chunk")
+    day = F.date_trunc("day", "ts").alias("_day")
 
     # Text keys, as joins on them must also find rows without a session or symbol.
-    for name in ("session", "symbol"):
-        priced = priced.withColumn(f"_{name}", F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")))
-    keys = ("_session", "_symbol")
+    text = [F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")).alias(f"_{name}") for name in ("session", "symbol")]
+    counted = actions.select(*text, day)
+    long = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > chunk_rows)
+    days = counted.join(F.broadcast(long.drop("_rows")), [*keys]).groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_rows").over(earlier.orderBy("_day")), F.lit(0))
+    cut = F.broadcast(days.select(*keys, "_day", F.floor(before / chunk_rows).alias("_chunk")))
+
     unit = F.coalesce(F.when(F.col("action") == "buy", 1).when(F.col("action") == "sell", -1), F.lit(0))
     valid = F.col("price").isNotNull() & ~F.isnan("price")
-    steps = priced.withColumns({"_step": F.when(valid, unit).otherwise(0).cast("long"), "_closes": valid & (unit == 0)})
-    day = F.date_trunc("day", "ts")
-    place = ["ts", "id"]
-    steps = running(steps, {"_n": ("sum", F.lit(1).cast("long")), "_all": ("sum", F.col("_step"))}, keys, place, day)
+    steps = priced.select(*columns, *text, day, F.when(valid, unit).otherwise(0).alias("_step"), (valid & (unit == 0)).alias("_closes"))
+
+    def folded(df: DataFrame, rows: bool, schema: str) -> DataFrame:
+        known = {"_p0": "long", "_c0": "double", "_r0": "double"}
+        whole = df.withColumns({n: F.coalesce(F.col(n) if n in df.columns else F.lit(None), F.lit(0)).cast(t) for n, t in known.items()}).drop("_day")
+        return whole.repartition(*part).sortWithinPartitions(*part, "ts", "id").mapInArrow(lambda batches: _practised(batches, rows), schema)
 
     # A priced close leaves no position, so a position is what was traded since the last one before.
-    held = running(steps, {"_closed": ("last", F.when(F.col("_closes"), F.col("_all")))}, keys, place, day, before=True)
-    held = held.withColumn("_sum", F.col("_all") - F.coalesce("_closed", F.lit(0)))
-    held = held.withColumns({"_before": F.col("_sum") - F.col("_step"), "position": F.when(F.col("_closes"), 0).otherwise(F.col("_sum")).cast("long")})
-
-    # With steps of one unit a position passes through zero, where the average cost starts anew: a linear recurrence.
-    before = F.col("_before")
-    opens = (F.col("_step") != 0) & (before * F.col("_step") >= 0)
-    factor = F.when(opens, F.abs(before) / (F.abs(before) + 1)).otherwise(1.0)
-    costs = linrec(held, [(factor, F.when(opens, F.col("price") / (F.abs(before) + 1)).otherwise(0.0), "_cost")], chunk=F.floor(F.col("_n") / chunk_rows), keys=keys, order="_n")
-    reduces = (before != 0) & (F.col("_closes") | ((F.col("_step") != 0) & ~opens))
-    gain = F.when(reduces, F.signum(before) * F.when(F.col("_closes"), F.abs(before)).otherwise(1) * (F.col("price") - F.col("_cost"))).otherwise(0.0)
-    realized = running(costs, {"realized_pnl": ("sum", gain)}, keys, ["_n"], F.floor(F.col("_n") / chunk_rows))
-    return realized.select(*columns, "position", "realized_pnl")
+    parts = steps.join(cut, [*keys, "_day"])
+    place = F.struct("ts", "id")
+    closed = parts.withColumn("_closed", F.max(F.when(F.col("_closes"), place)).over(Window.partitionBy(*part)))
+    after = F.col("_closed").isNull() | (place > F.col("_closed"))
+    tails = closed.groupBy(*part).agg(F.coalesce(F.sum(F.when(after, F.col("_step"))), F.lit(0)).alias("_tail"), F.max("_closes").alias("_cut"))
+    tails = tails.withColumn("_sum", F.coalesce(F.sum("_tail").over(earlier.orderBy("_chunk")), F.lit(0)))
+    held = F.coalesce(F.last(F.when(F.col("_cut"), F.col("_sum")), ignorenulls=True).over(earlier.orderBy("_chunk")), F.lit(0))
+    positions = tails.select(*part, (F.col("_sum") - held).alias("_p0"))
+    ends = folded(parts.join(F.broadcast(positions), [*part]), False, "_session string, _symbol string, _chunk long, a double, b double, d double, e double")
+    starts = ends.join(F.broadcast(positions), [*part]).groupBy(*keys).applyInPandas(_practice_starts, "_session string, _symbol string, _chunk long, _p0 long, _c0 double, _r0 double")
+
+    placed = steps.join(cut, [*keys, "_day"], "left").withColumn("_chunk", F.coalesce("_chunk", F.lit(0)))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in priced.schema)
+    return folded(placed.join(F.broadcast(starts), [*part], "left"), True, f"{kept}, position long, realized_pnl double")
 
 
 def order_outcome(log: DataFrame, coin: str = "XRP") -> DataFrame:

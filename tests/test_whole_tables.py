@@ -107,3 +107,21 @@ def test_practice_takes_every_event_and_splits_long_sessions(spark, tmp_path):
         want = practised([(r["action"], r["price"]) for r in found])
         assert [r["position"] for r in found] == [p for p, _ in want]
         assert max(abs(r["realized_pnl"] - x) for r, (_, x) in zip(found, want, strict=True)) < 1e-6
+
+
+def test_practice_reads_its_rows_few_times_and_cuts_only_long_sessions(spark):
+    """The plan reads actions and bars a fixed, small number of times, and rows outside of long sessions are folded once."""
+    rng = random.Random(7)
+    bars = spark.createDataFrame([(s, T0 + k * HOUR, 10 * rng.random()) for s in "AB" for k in range(24 * 9)], "symbol string, ts timestamp_ntz, close double")
+    rows = [("long", "A", T0 + dt.timedelta(minutes=30 * k), k, rng.choice(["buy", "buy", "sell"] if k < 250 else ["buy", "sell", "sell", "close"])) for k in range(430)]
+    rows += [(f"s{n}", "B", T0 + dt.timedelta(hours=5 * k), 1000 * (n + 1) + k, rng.choice(["buy", "sell", "close"])) for n in range(3) for k in range(40)]
+    out = G.practice_pnl(spark.createDataFrame(rows, "session string, symbol string, ts timestamp_ntz, id long, action string").repartition(3), bars, chunk_rows=100)
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() < 40
+    got = {}
+    for r in out.orderBy("id").collect():
+        got.setdefault(r["session"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for found in got.values():
+        want = practised([(r["action"], r["price"]) for r in found])
+        assert [r["position"] for r in found] == [p for p, _ in want]
+        assert max(abs(r["realized_pnl"] - x) for r, (_, x) in zip(found, want, strict=True)) < 1e-6
