@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bars import KEY
 from .recurrence import places
@@ -19,13 +20,32 @@ from .recurrence import places
 BLOCK_ROWS = 50_000
 
 
-def running(df: DataFrame, columns: dict[str, tuple[str, Column]], keys: Sequence[str], order: Sequence[str], chunk: Column, before: bool = False) -> DataFrame:
+def parted(df: DataFrame, keys: Sequence[str], chunk: Column) -> tuple[DataFrame, list[str], dict[str, Column]]:
+    """df in parts by key and chunk: columns that are never null in place of keys, their names with _chunk last, and what gives the keys back.
+
+    Windows, sums and plain joins on these names share one shuffle; the keys of a null-safe join would be shuffled anew.
+    chunk is a time or a whole number. Rows without one go before all others, as they do in order.
+    """
+    work = df.withColumn("_chunk", chunk)
+
+    def instead(name: str, time: str, number: int) -> Column:
+        kind = work.schema[name].dataType
+        return F.coalesce(name, F.lit(time if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else str(number)).cast(kind))
+
+    names = [f"_k{i}" for i in range(len(keys))]
+    nulls = sum((F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)), F.lit(0))
+    work = work.withColumns({n: instead(k, "1970-01-01", 0) for n, k in zip(names, keys, strict=True)} | {"_nulls": nulls, "_chunk": instead("_chunk", "0001-01-01", -(2**63))})
+    back = {k: F.when(F.col("_nulls").bitwiseAND(1 << i) == 0, F.col(n)).alias(k) for i, (n, k) in enumerate(zip(names, keys, strict=True))}
+    return work.drop(*keys), [*names, "_nulls", "_chunk"], back
+
+
+def running(df: DataFrame, columns: dict[str, tuple[str, Column]], keys: Sequence[str], order: Sequence[str], chunk: Column, before: bool = False, peers: bool = False) -> DataFrame:
     """df with columns {name: (kind, value)}: sum, max or last (passing over nulls) of a key's rows up to this one, or before it.
 
     chunk cuts each key's rows into consecutive runs and sorts like them. Without values so far a
-    column is null. Null keys are keys of their own.
+    column is null. Null keys are keys of their own. With peers all rows of a place in order count.
     """
-    work = df.withColumns({"_chunk": chunk, **{f"_x_{n}": value for n, (_, value) in columns.items()}})
+    work, by, back = parted(df.withColumns({f"_x_{n}": value for n, (_, value) in columns.items()}), keys, chunk)
     place = F.struct(*order)
 
     def total(kind: str, x: str) -> Column:
@@ -34,38 +54,50 @@ def running(df: DataFrame, columns: dict[str, tuple[str, Column]], keys: Sequenc
     def over(kind: str, x: str, w: WindowSpec) -> Column:
         return (F.last(x, ignorenulls=True) if kind == "last" else F.sum(x) if kind == "sum" else F.max(x)).over(w)
 
-    totals = work.groupBy(*keys, "_chunk").agg(*(total(kind, f"_x_{n}").alias(f"_x_{n}") for n, (kind, _) in columns.items()))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_chunk", *(over(kind, f"_x_{n}", earlier).alias(f"_c_{n}") for n, (kind, _) in columns.items()))
-    joined = joined_on(work, carried, [*keys, "_chunk"])
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    found = {}
+    totals = work.groupBy(*by).agg(*(total(kind, f"_x_{n}").alias(f"_x_{n}") for n, (kind, _) in columns.items()))
+    earlier = Window.partitionBy(*by[:-1]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*by, *(over(kind, f"_x_{n}", earlier).alias(f"_c_{n}") for n, (kind, _) in columns.items()))
+    inside = Window.partitionBy(*by).orderBy(*order)
+    frame = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else inside.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    joined = work.withColumns({f"_h_{n}": over(kind, f"_x_{n}", frame) for n, (kind, _) in columns.items()}).join(carried, by, "left")
+    found = []
     for n, (kind, _) in columns.items():
-        here, held = over(kind, f"_x_{n}", inside), F.col(f"_c_{n}")
-        found[n] = F.coalesce(held + here, here, held) if kind == "sum" else F.greatest(held, here) if kind == "max" else F.coalesce(here, held)
-    return joined.withColumns(found).select(*[c for c in df.columns if c not in columns], *columns)
+        here, held = F.col(f"_h_{n}"), F.col(f"_c_{n}")
+        found.append((F.coalesce(held + here, here, held) if kind == "sum" else F.greatest(held, here) if kind == "max" else F.coalesce(here, held)).alias(n))
+    return joined.select(*(back.get(c, c) for c in df.columns if c not in columns), *found)
 
 
 def longest_runs(df: DataFrame, conditions: dict[str, Column], keys: Sequence[str], order: Sequence[str], chunk: Column) -> DataFrame:
-    """A row for each key: the most rows in a row, in order, that meet each condition (null counts as not met).
+    """A row for each key: the most rows in a row, in order, that meet each condition (null counts as not met)."""
+    work, by, back = parted(df.withColumns({f"_met_{n}": c for n, c in conditions.items()}), keys, chunk)
+    runs = runs_in(with_runs(work, by, {n: F.col(f"_met_{n}") for n in conditions}, order), by, list(conditions))
+    return runs.select(*(back[k] for k in keys), *conditions)
+
+
+def with_runs(work: DataFrame, by: Sequence[str], conditions: dict[str, Column], order: Sequence[str]) -> DataFrame:
+    """Rows in parts with _at (place in the part, from 1) and, for each condition, _stop_ (the place, if it isn't met) and _run_ (rows since the last stop)."""
+    inside = Window.partitionBy(*by).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    work = work.withColumn("_at", F.row_number().over(inside).cast("long"))
+    work = work.withColumns({f"_stop_{n}": F.when(~F.coalesce(c, F.lit(False)), F.col("_at")) for n, c in conditions.items()})
+    return work.withColumns({f"_run_{n}": F.col("_at") - F.coalesce(F.max(f"_stop_{n}").over(so_far), F.lit(0)) for n in conditions})
+
+
+def runs_in(work: DataFrame, by: Sequence[str], names: Sequence[str], least: Sequence[str] = ()) -> DataFrame:
+    """Longest runs for each key out of what with_runs gives, and the least value of some columns.
 
     A chunk tells its longest run and where conditions were first and last not met, so a run that
     goes on over chunks is known from one row for each chunk.
     """
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    work = df.withColumn("_chunk", chunk).withColumn("_at", F.row_number().over(inside).cast("long"))
-    work = work.withColumns({f"_stop_{n}": F.when(~F.coalesce(c, F.lit(False)), F.col("_at")) for n, c in conditions.items()})
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    work = work.withColumns({f"_run_{n}": F.col("_at") - F.coalesce(F.max(f"_stop_{n}").over(so_far), F.lit(0)) for n in conditions})
-    each = [x for n in conditions for x in (F.max(f"_run_{n}").alias(f"_run_{n}"), F.min(f"_stop_{n}").alias(f"_first_{n}"), F.max(f"_stop_{n}").alias(f"_last_{n}"))]
-    parts = work.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"), *each)
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    each = [x for n in names for x in (F.max(f"_run_{n}").alias(f"_run_{n}"), F.min(f"_stop_{n}").alias(f"_first_{n}"), F.max(f"_stop_{n}").alias(f"_last_{n}"))]
+    parts = work.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *each, *(F.min(c).alias(c) for c in least))
+    earlier = Window.partitionBy(*by[:-1]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_rows_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    for n in conditions:
+    for n in names:
         stopped = F.coalesce(F.max(F.col("_rows_before") + F.col(f"_last_{n}")).over(earlier), F.lit(0))
         lead = F.coalesce(F.col(f"_first_{n}") - 1, F.col("_rows"))
         parts = parts.withColumn(n, F.greatest(F.col(f"_run_{n}"), lead + F.col("_rows_before") - stopped))
-    return parts.groupBy(*keys).agg(*(F.max(n).cast("long").alias(n) for n in conditions))
+    return parts.groupBy(*by[:-1]).agg(*(F.max(n).cast("long").alias(n) for n in names), *(F.min(c).alias(c) for c in least))
 
 
 def joined_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import joined_on, longest_runs, running
+from .chunks import joined_on, longest_runs, parted, running, runs_in, with_runs
 from .recurrence import month
 
 STRATEGY = ("strategy",)
@@ -55,17 +55,29 @@ def equity_curve(trades: DataFrame, keys=STRATEGY, capital: float = CAPITAL) ->
     Months are summed up first, by their result and the highest sum inside; each month's trades
     then start from the equity and the peak that the months before have left.
     """
+    work, by, back = parted(trades, keys, month("exit_ts"))
+    return _curve_in(_sums_in(work, by), by, capital).select(*(back.get(c, c) for c in trades.columns), "equity", "peak", "drawdown", "drawdown_pct")
+
+
+def _sums_in(work: DataFrame, by: list[str]) -> DataFrame:
+    """Trades in parts with _sum (their part's results so far) and _high, the highest of these so far."""
+    inside = Window.partitionBy(*by).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    work = work.withColumn("_sum", F.coalesce(F.sum("pnl").over(inside), F.lit(0)))
+    return work.withColumn("_high", F.max("_sum").over(inside))
+
+
+def _curve_in(work: DataFrame, by: list[str], capital: float) -> DataFrame:
+    """equity_curve of what _sums_in gives, with _own: whether the peak is of the part itself. One shuffle and one order serve both passes."""
     start = F.lit(capital).cast("decimal(18,2)")
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    work = trades.withColumn("_chunk", month("exit_ts")).withColumn("_sum", F.sum("pnl").over(inside))
-    ends = work.groupBy(*keys, "_chunk").agg(F.sum("pnl").alias("_total"), F.max("_sum").alias("_top"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = work.groupBy(*by).agg(F.sum("pnl").alias("_total"), F.max("_high").alias("_top"))
+    earlier = Window.partitionBy(*by[:-1]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_held", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
-    carried = ends.select(*keys, "_chunk", "_held", F.max((F.col("_held") + F.col("_top") + start).cast("double")).over(earlier).alias("_peak"))
-    out = joined_on(work, carried, [*keys, "_chunk"])
-    out = out.withColumn("equity", (F.col("_held") + F.coalesce("_sum", F.lit(0)) + start).cast("double"))
-    out = out.withColumn("peak", F.greatest(F.lit(float(capital)), "_peak", F.max("equity").over(inside)))
-    out = out.withColumn("drawdown", F.col("equity") - F.col("peak")).drop("_chunk", "_sum", "_held", "_peak")
+    carried = ends.select(*by, "_held", F.max((F.col("_held") + F.col("_top") + start).cast("double")).over(earlier).alias("_peak"))
+    out = work.join(carried, by, "left")
+    out = out.withColumn("equity", (F.col("_held") + F.col("_sum") + start).cast("double"))
+    high = (F.col("_held") + F.col("_high") + start).cast("double")
+    out = out.withColumn("peak", F.greatest(F.lit(float(capital)), "_peak", high)).withColumn("_own", high >= F.col("peak"))
+    out = out.withColumn("drawdown", F.col("equity") - F.col("peak")).drop("_held", "_peak")
     return out.withColumn("drawdown_pct", F.col("drawdown") / F.col("peak") * 100)
 
 
@@ -83,8 +95,8 @@ def max_consecutive_losses(trades: DataFrame, keys=STRATEGY) -> DataFrame:
 def time_in_market(trades: DataFrame, keys=STRATEGY) -> DataFrame:
     """Share of the time from first entry to last exit that any trade covers; null for no time."""
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    spans = trades.select(*keys, "trade_id", seconds("entry_ts").alias("_a"), seconds("exit_ts").alias("_b"))
-    seen = running(spans, {"_reached": ("max", F.col("_b"))}, keys, ["_a", "_b", "trade_id"], F.floor(F.col("_a") / CHUNK_SECONDS), before=True)
+    spans = trades.select(*keys, seconds("entry_ts").alias("_a"), seconds("exit_ts").alias("_b"))
+    seen = running(spans, {"_reached": ("max", F.col("_b"))}, keys, ["_a", "_b"], F.floor(F.col("_a") / CHUNK_SECONDS), before=True)
     new = F.greatest(F.lit(0), F.col("_b") - F.greatest("_a", "_reached"))
     return seen.groupBy(*keys).agg(F.try_divide(F.sum(new), F.max("_b") - F.min("_a")).alias("time_in_market"))
 
@@ -156,10 +168,20 @@ def rank_scan(results: DataFrame, metric: str, by=("resolution",), top: int | No
 def strategy_report(trades: DataFrame, keys=STRATEGY, capital: float = CAPITAL) -> DataFrame:
     """Metrics, drawdowns, longest losing run, time in market and flags in one row for each strategy.
 
-    Trades meet by strategy and month; a strategy's whole time is a row for each month.
+    Trades are shuffled once by strategy and month, and their spans without results once more; a
+    strategy's whole time is a row for each month, its metrics are summed before the shuffle.
     """
-    curve = equity_curve(trades, keys, capital)
-    least = [F.min("drawdown").alias("max_drawdown"), F.min("drawdown_pct").alias("max_drawdown_pct")]
-    runs = longest_runs(curve, {"longest_drawdown": F.col("drawdown") < 0, "max_consecutive_losses": F.col("pnl") < 0}, keys, ORDER, month("exit_ts"))
-    out = joined_on(curve.groupBy(*keys).agg(*_metrics(capital), *least), runs, keys)
-    return report_flags(joined_on(out, time_in_market(trades, keys), keys))
+    work, by, back = parted(trades, keys, month("exit_ts"))
+    least = ("max_drawdown", "max_drawdown_pct")
+    runs = ("longest_drawdown", "max_consecutive_losses")
+    # A part's highest sums so far, where they are the peak, end drawdowns. So what needs the order is known before the months meet.
+    work = with_runs(_sums_in(work, by), by, {"low": F.col("_sum") < F.col("_high"), runs[1]: F.col("pnl") < 0}, ORDER)
+    curve = _curve_in(work, by, capital)
+    curve = curve.withColumns({
+        "_stop_longest_drawdown": F.when(~F.coalesce(F.col("drawdown") < 0, F.lit(False)), F.col("_at")),
+        "_run_longest_drawdown": F.when(F.col("_own"), F.col("_run_low")).otherwise(F.col("_at")),
+        "max_drawdown": F.col("drawdown"),
+        "max_drawdown_pct": F.col("drawdown_pct"),
+    })
+    found = runs_in(curve, by, runs, least).select(*(back[k] for k in keys), *least, *runs)
+    return report_flags(joined_on(joined_on(strategy_metrics(trades, keys, capital), found, keys), time_in_market(trades, keys), keys))

@@ -235,3 +235,26 @@ def test_correlations_by_tiles(spark):
         assert got[pair][0] == n and got[pair][1] == (None if c is None else pytest.approx(c, abs=1e-9))
     with pytest.raises(ValueError):
         M.pair_correlation(df, most_symbols=11)
+
+
+def shuffled(spark, df):
+    """Columns of each shuffle of a plan, reused ones once."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        todo, found = [df.select("*")._jdf.queryExecution().executedPlan()], []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            found.append(node.output().mkString(","))
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_a_report_shuffles_its_trades_once(spark):
+    from marketspark.operators import strategy as S
+
+    trades = spark.range(50).selectExpr("concat('s', id % 3) strategy", "'long' side", "timestamp_ntz'2024-01-01' + make_dt_interval(id) entry_ts", "timestamp_ntz'2024-01-05' + make_dt_interval(id) exit_ts", "cast(id % 5 - 2 as decimal(18,2)) pnl", "cast(id as string) trade_id")
+    assert sum("trade_id" in columns for columns in shuffled(spark, S.strategy_report(trades))) == 1
+    assert sum("trade_id" in columns for columns in shuffled(spark, S.equity_curve(trades).select("strategy", "trade_id", "exit_ts", "equity"))) == 1
