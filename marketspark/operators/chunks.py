@@ -43,7 +43,8 @@ def running(df: DataFrame, columns: dict[str, tuple[str, Column]], keys: Sequenc
     """df with columns {name: (kind, value)}: sum, max or last (passing over nulls) of a key's rows up to this one, or before it.
 
     chunk cuts each key's rows into consecutive runs and sorts like them. Without values so far a
-    column is null. Null keys are keys of their own. With peers all rows of a place in order count.
+    column is null. Null keys are keys of their own. With peers a place in order gives one
+    row, after all that have it.
     """
     work, by, back = parted(df.withColumns({f"_x_{n}": value for n, (_, value) in columns.items()}), keys, chunk)
     place = F.struct(*order)
@@ -54,16 +55,22 @@ def running(df: DataFrame, columns: dict[str, tuple[str, Column]], keys: Sequenc
     def over(kind: str, x: str, w: WindowSpec) -> Column:
         return (F.last(x, ignorenulls=True) if kind == "last" else F.sum(x) if kind == "sum" else F.max(x)).over(w)
 
-    totals = work.groupBy(*by).agg(*(total(kind, f"_x_{n}").alias(f"_x_{n}") for n, (kind, _) in columns.items()))
-    earlier = Window.partitionBy(*by[:-1]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*by, *(over(kind, f"_x_{n}", earlier).alias(f"_c_{n}") for n, (kind, _) in columns.items()))
     inside = Window.partitionBy(*by).orderBy(*order)
     frame = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else inside.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    joined = work.withColumns({f"_h_{n}": over(kind, f"_x_{n}", frame) for n, (kind, _) in columns.items()}).join(carried, by, "left")
+    here = work.withColumns({f"_h_{n}": over(kind, f"_x_{n}", frame) for n, (kind, _) in columns.items()})
+    if peers:
+        # What a chunk has at its last place is its total, so both passes read one shuffle and no scan holds sums of chunks.
+        here = here.withColumn("_next", F.lead(place).over(inside)).where(~F.col("_next").eqNullSafe(place))
+        totals = here.groupBy(*by).agg(*(F.max_by(f"_h_{n}", place).alias(f"_x_{n}") for n in columns))
+    else:
+        totals = work.groupBy(*by).agg(*(total(kind, f"_x_{n}").alias(f"_x_{n}") for n, (kind, _) in columns.items()))
+    earlier = Window.partitionBy(*by[:-1]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*by, *(over(kind, f"_x_{n}", earlier).alias(f"_c_{n}") for n, (kind, _) in columns.items()))
+    joined = here.join(carried, by, "left")
     found = []
     for n, (kind, _) in columns.items():
-        here, held = F.col(f"_h_{n}"), F.col(f"_c_{n}")
-        found.append((F.coalesce(held + here, here, held) if kind == "sum" else F.greatest(held, here) if kind == "max" else F.coalesce(here, held)).alias(n))
+        own, held = F.col(f"_h_{n}"), F.col(f"_c_{n}")
+        found.append((F.coalesce(held + own, own, held) if kind == "sum" else F.greatest(held, own) if kind == "max" else F.coalesce(own, held)).alias(n))
     return joined.select(*(back.get(c, c) for c in df.columns if c not in columns), *found)
 
 

@@ -134,9 +134,11 @@ def loss_streak_stop(trades: DataFrame, keys=STRATEGY, streak: int = 2) -> DataF
 
 def open_positions(trades: DataFrame, keys=STRATEGY, most: int = 2) -> DataFrame:
     """strategy, ts, n_open, breach: after each time at which positions open or close; exits come off at their time."""
-    steps = trades.select(*keys, F.col("entry_ts").alias("ts"), F.lit(1).alias("_d")).unionByName(trades.select(*keys, F.col("exit_ts").alias("ts"), F.lit(-1).alias("_d")))
-    each = steps.groupBy(*keys, "ts").agg(F.sum("_d").alias("_d"))
-    return running(each, {"n_open": ("sum", F.col("_d"))}, keys, ["ts"], month()).drop("_d").withColumn("breach", F.col("n_open") > most)
+    move = lambda c, d: F.struct(F.col(c).alias("ts"), F.lit(d).alias("_d"))
+    steps = trades.select(*keys, F.inline(F.array(move("entry_ts", 1), move("exit_ts", -1))))
+    # Steps are sorted, not grouped, by their time, as a sort can spill; the last one of a time is told by the next.
+    seen = running(steps, {"n_open": ("sum", F.col("_d"))}, keys, ["ts"], month(), peers=True)
+    return seen.drop("_d").withColumn("breach", F.col("n_open") > most)
 
 
 def trade_rate_limit(trades: DataFrame, keys=STRATEGY, most: int = 6, seconds: int = 60) -> DataFrame:

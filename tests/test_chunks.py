@@ -258,3 +258,31 @@ def test_a_report_shuffles_its_trades_once(spark):
     trades = spark.range(50).selectExpr("concat('s', id % 3) strategy", "'long' side", "timestamp_ntz'2024-01-01' + make_dt_interval(id) entry_ts", "timestamp_ntz'2024-01-05' + make_dt_interval(id) exit_ts", "cast(id % 5 - 2 as decimal(18,2)) pnl", "cast(id as string) trade_id")
     assert sum("trade_id" in columns for columns in shuffled(spark, S.strategy_report(trades))) == 1
     assert sum("trade_id" in columns for columns in shuffled(spark, S.equity_curve(trades).select("strategy", "trade_id", "exit_ts", "equity"))) == 1
+
+
+def test_open_positions_over_months(spark):
+    """Times that several trades share, null strategies and times, and no hash table of a strategy's times."""
+    from marketspark.operators import strategy as S
+
+    rng = random.Random(12)
+    rows = []
+    for name in ("a", None, "0", ""):
+        for _ in range(120):
+            begin = T0 + dt.timedelta(days=rng.randrange(150), hours=12 * rng.randrange(2))
+            rows.append((name, begin, begin + dt.timedelta(days=rng.randrange(40))))
+    rows += [("a", None, T0), (None, T0, None), ("a", T0 - dt.timedelta(days=30), T0 - dt.timedelta(days=30))]
+    want = []
+    for name in ("a", None, "0", ""):
+        steps = {}
+        for n, begin, end in rows:
+            if n == name:
+                steps[begin] = steps.get(begin, 0) + 1
+                steps[end] = steps.get(end, 0) - 1
+        count = 0
+        for ts in sorted(steps, key=lambda t: (t is not None, t)):
+            count += steps[ts]
+            want.append((name, ts, count, count > 2))
+    out = S.open_positions(spark.createDataFrame(rows, "strategy string, entry_ts timestamp_ntz, exit_ts timestamp_ntz").repartition(3))
+    assert out.columns == ["strategy", "ts", "n_open", "breach"] and sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    aggregates = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert aggregates and all("_chunk" in line.split("], [")[0] and "ts#" not in line.split("], [")[0] for line in aggregates), aggregates
