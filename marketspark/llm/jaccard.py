@@ -13,16 +13,21 @@ n - ceil(t n) + 1 tokens under any order of all tokens.
 Equal sets form one class, and one row stands for it. Buckets of at most ``pair_rows`` sets
 are joined with themselves; places in the order and 256-bit parity maps bound the difference
 from below inside that join. Sets of larger buckets are cut into blocks of sets that share
-tokens, and every two blocks that meet in such a bucket are compared inside one task, by
-products of 0-1 matrices: first the prefixes of B and C, then the whole sets. Only a row for
-each set and block pair comes out, with its number of links and the least set it is connected
-with there, so rows grow by the number of blocks and not with pairs, whatever lies just under
-the threshold. Every link shares a bucket, so none is missed; a pair that the blocks compare
-isn't counted again among the joined ones.
+tokens and are of like size. A block is compared with itself, and with those sets of another
+that sizes and places in the order allow to be similar to one of its own in such a bucket.
+That happens inside one task for each two blocks, by products of 0-1 matrices: first the
+prefixes of B and C, then the whole sets. Only a row for each set and block pair comes out,
+with its number of links and the least set it is connected with there, so rows grow by the
+number of blocks and not with pairs, whatever lies just under the threshold. Every link shares
+a bucket, so none is missed; a pair that the blocks compare isn't counted again among the
+joined ones. What is dealt to the tasks at once is bounded by a multiple of the sets' own
+tokens; if block pairs hold more, they are compared in rounds.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +42,7 @@ from .common import Scratch, bucket_of, component_labels, new_names, parted, sta
 BITS = 256
 CELLS = 4_000_000
 TOKEN_SHARES = 4
+DEALT = 2  # times the tokens of the sets in blocks, dealt to tasks in one round
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -242,53 +248,78 @@ def _links_in(percent: int):
     return run
 
 
-def _blocks(crowded: DataFrame, scratch: Scratch, block_rows: int, block_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(uid, block) of each set of crowded (tok, uid, n), and the pairs of blocks (low, high) that share a token.
+def _blocks(crowded: DataFrame, scratch: Scratch, percent: int, block_rows: int, block_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(uid, n, block) of each set of crowded (tok, pos, uid, n), and (uid, n, block, other): the other blocks it is compared with.
 
-    Sets that share tokens come under one label where that is easily seen, and labels are
-    cut into blocks of about block_rows sets and block_tokens tokens. Labels decide how many
-    block pairs there are, not which sets are compared: that goes by the tokens.
+    Sets that share tokens come under one label where that is easily seen, and a label's sets
+    of like size are cut into blocks of about block_rows sets and block_tokens tokens. Labels
+    decide how many block pairs there are, not which sets are compared: that goes by the tokens.
     """
     least = crowded.groupBy("tok").agg(F.min("uid").alias("least"))
     first = scratch.stage(crowded.join(least, "tok").groupBy("uid").agg(F.min("least").alias("near"), F.first("n").alias("n")), "jaccard-near")
     jump = first.select(F.col("uid").alias("near"), F.col("near").alias("label"))
     once = first.join(jump, "near")
     again = first.select(F.col("uid").alias("label"), F.col("near").alias("far"))
-    labels = scratch.stage(once.join(again, "label").select("uid", "near", "n", F.col("far").alias("label")), "jaccard-near-labels")
+    # Similar sets are of one band or of neighbouring ones.
+    band = F.floor(F.log("n") / math.log(100 / min(percent, 99))).alias("band")
+    labels = scratch.stage(once.join(again, "label").select("uid", "near", "n", F.col("far").alias("label"), band), "jaccard-near-labels")
 
     def parts() -> Column:
         return F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / block_tokens)).cast("int")
 
-    of_label = labels.groupBy("label").agg(parts().alias("blocks"))
-    of_near = labels.groupBy("label", "near").agg(parts().alias("spread"))
+    of_label = labels.groupBy("label", "band").agg(parts().alias("blocks"))
+    of_near = labels.groupBy("label", "band", "near").agg(parts().alias("spread"))
     # Sets of one nearest set stay together, as far as they fit one block.
     number = F.pmod(F.xxhash64("near") + bucket_of(F.col("spread"), "uid"), F.col("blocks"))
-    blocks = labels.join(of_label, "label").join(of_near, ["label", "near"]).select("uid", F.xxhash64("label", number).alias("block"))
+    blocks = labels.join(of_label, ["label", "band"]).join(of_near, ["label", "band", "near"]).select("uid", "n", F.xxhash64("label", "band", number).alias("block"))
     blocks = scratch.stage(blocks, "jaccard-blocks")
-    met = crowded.select("tok", "uid").join(blocks, "uid").select("tok", "block").distinct()
-    met = scratch.stage(met, "jaccard-met")
-    apart = met.groupBy("tok").agg(F.min("block").alias("b0"), F.max("block").alias("b1")).where("b0 <> b1").select("tok")
-    met = met.join(apart, "tok")
-    pairs = met.alias("a").join(met.alias("b"), "tok").where("a.block < b.block").select(F.col("a.block").alias("low"), F.col("b.block").alias("high"))
-    alone = blocks.select(F.col("block").alias("low"), F.col("block").alias("high"))
-    return blocks, scratch.stage(pairs.unionByName(alone).distinct(), "jaccard-block-pairs")
-
-
-def _met_in_blocks(sets: DataFrame, blocks: DataFrame, pairs: DataFrame, scratch: Scratch, percent: int, block_rows: int, block_tokens: int) -> DataFrame:
-    """uid, links, root: what the block pairs find of each set, a row for each pair with links."""
-    members = sets.join(blocks, "uid")
-    sizes = scratch.stage(members.groupBy("block").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("amount")), "jaccard-sizes")
-    # Small blocks that are compared with themselves share tasks; pairs of blocks have their own.
+    placed = scratch.stage(crowded.join(blocks.select("uid", "block"), "uid"), "jaccard-placed")
+    met = placed.groupBy("tok", "block").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("pos").alias("least_pos"))
+    met = scratch.stage(met.withColumnRenamed("block", "other"), "jaccard-met")
+    apart = met.groupBy("tok").agg(F.min("other").alias("b0"), F.max("other").alias("b1")).where("b0 <> b1").select("tok")
+    # What can be similar to a set has a size near its own, and the tokens before the first common one are of one set only.
+    n = F.col("n")
+    sizes = (100 * F.col("high_n") >= percent * n) & (100 * n >= percent * F.col("low_n"))
+    most = F.least(F.col("high_n"), F.floor(100 * n / percent))
+    places = (100 + percent) * (F.col("pos") + F.col("least_pos")) <= (100 - percent) * (n + most)
+    reach = placed.join(met.join(apart, "tok"), "tok").where((F.col("block") != F.col("other")) & sizes & places)
+    return blocks, scratch.stage(reach.select("uid", "n", "block", "other").distinct(), "jaccard-reach")
+
+
+def _not_in_blocks(pairs: DataFrame, blocks: DataFrame, reach: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) that the blocks don't compare: their sets aren't in one block, nor each dealt to the other's."""
+    for end, name in (("u", "bu"), ("v", "bv")):
+        pairs = pairs.join(blocks.select(F.col("uid").alias(end), F.col("block").alias(name)), end, "left")
+    for end, other, name in (("u", "bv", "to_v"), ("v", "bu", "to_u")):
+        dealt = reach.select(F.col("uid").alias(end), F.col("other").alias(other), F.lit(True).alias(name))
+        pairs = pairs.join(dealt, [end, other], "left")
+    one = F.coalesce(F.col("bu") == F.col("bv"), F.lit(False))
+    return pairs.where(~one & (F.col("to_v").isNull() | F.col("to_u").isNull())).select("u", "v")
+
+
+def _met_in_blocks(sets: DataFrame, blocks: DataFrame, reach: DataFrame, scratch: Scratch, percent: int, block_rows: int, block_tokens: int) -> DataFrame:
+    """uid, links, root: what the blocks find of each set, a row for each block or pair of blocks with links."""
+    own = blocks.select("uid", "n", "block", F.col("block").alias("low"), F.col("block").alias("high"))
+    across = reach.select("uid", "n", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    due = own.unionByName(across)
+    sizes = due.groupBy("low", "high").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("amount"), (F.min("block") < F.max("block")).alias("both"))
+    sizes = scratch.stage(sizes.where("members > 1 and (both or low = high)"), "jaccard-sizes")
+    # Small ones share tasks; others have their own.
     small = (2 * F.col("members") <= block_rows) & (2 * F.col("amount") <= block_tokens)
-    total = sizes.where(small).agg(F.sum("amount"), F.sum("members")).first()
-    tasks = max(1, -(-(total[0] or 0) // block_tokens), -(-(total[1] or 0) // (4 * block_rows)))
-    packed = F.when((F.col("low") == F.col("high")) & small, bucket_of(tasks, "low"))
-    task = F.coalesce(packed, F.xxhash64("low", "high"))
-    left = pairs.select("low", "high", F.col("low").alias("block"))
-    right = pairs.where("low <> high").select("low", "high", F.col("high").alias("block"))
-    due = left.unionByName(right).join(sizes, "block").select("low", "high", "block", packed.isNotNull().alias("whole"), task.alias("task"))
-    dealt = members.select("uid", "block", "tokens", "order_b", "order_c").join(due, "block")
-    return dealt.groupBy("whole", "task").applyInPandas(_links_in(percent), "uid long, links long, root long")
+    amount = sizes.agg(F.sum(F.when(small, F.col("amount"))), F.sum(F.when(small, F.col("members"))), F.sum("amount"), F.sum(F.when(F.col("low") == F.col("high"), F.col("amount")))).first()
+    of_small, rows_of_small, of_all, of_own = (x or 0 for x in amount)
+    tasks = max(1, -(-of_small // block_tokens), -(-rows_of_small // (4 * block_rows)))
+    rounds = max(1, -(-of_all // max(DEALT * of_own, 16 * block_tokens)))
+    task = F.when(small, bucket_of(tasks, "low", "high")).otherwise(F.xxhash64("low", "high"))
+    dealt = sizes.select("low", "high", small.alias("whole"), task.alias("task"))
+    due = due.drop("n").join(dealt, ["low", "high"])
+    members = sets.select("uid", "tokens", "order_b", "order_c")
+    found = []
+    for number in range(rounds):
+        now = members.join(due.where(bucket_of(rounds, "whole", "task") == number), "uid")
+        out = now.groupBy("whole", "task").applyInPandas(_links_in(percent), "uid long, links long, root long")
+        found.append(scratch.stage(out, f"jaccard-inside-{number}"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def link_groups(
@@ -359,22 +390,17 @@ def link_groups(
         buckets = prefix.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         full = scratch.stage(prefix.join(buckets, "tok"), "jaccard-buckets")
         scratch.drop("jaccard-prefix")
-        crowded = full.where(F.col("c") > pair_rows).select("tok", "uid", "n")
-        blocks, block_pairs = _blocks(crowded, scratch, block_rows, block_tokens)
+        crowded = full.where(F.col("c") > pair_rows).select("tok", "pos", "uid", "n")
+        blocks, reach = _blocks(crowded, scratch, percent, block_rows, block_tokens)
         a, b = (full.where(F.col("c") <= pair_rows).drop("c").alias(x) for x in "ab")
         pairs = a.join(b, "tok").where((F.col("a.uid") < F.col("b.uid")) & _may_link(percent, "a", "b")).select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v")).distinct()
-        for end, name in (("u", "bu"), ("v", "bv")):
-            pairs = pairs.join(blocks.select(F.col("uid").alias(end), F.col("block").alias(name)), end, "left")
-        # Blocks compare a pair only if both of its sets are in one; least() and greatest() alone would skip a null.
-        both = F.col("bu").isNotNull() & F.col("bv").isNotNull()
-        pairs = pairs.withColumns({"low": F.when(both, F.least("bu", "bv")), "high": F.when(both, F.greatest("bu", "bv"))}).join(block_pairs, ["low", "high"], "left_anti")
-        pairs = scratch.stage(pairs.select("u", "v"), "jaccard-pairs")
+        pairs = scratch.stage(_not_in_blocks(pairs, blocks, reach), "jaccard-pairs")
         active = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).unionByName(blocks.select("uid")).distinct()
 
         # Their texts, by id and hash. Of equal rows, which nothing tells apart before, one stays.
         same = index.groupBy("doc_id", "text_hash").agg(F.min("uid").alias("uid"))
         wanted = scratch.stage(same.join(active, "uid").select("uid", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")), "jaccard-wanted")
-        scratch.drop("jaccard-buckets", "jaccard-met", "jaccard-near", "jaccard-near-labels")
+        scratch.drop("jaccard-buckets", "jaccard-placed", "jaccard-met", "jaccard-near", "jaccard-near-labels")
         near, _ = parted(docs, F.col("text_hash"), wanted.select("_h"))
         texts = near.join(wanted.hint("merge"), (F.col("text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("uid", "text")
         sets = texts.mapInArrow(_sets_of(size, percent), "uid long, n long, tokens array<long>, order_b array<int>, order_c array<int>")
@@ -384,7 +410,7 @@ def link_groups(
         sets = sets.join(others, "row", "left_anti").drop("row")
 
         links = scratch.stage(_links(pairs, sets, percent), "jaccard-links")
-        inside = scratch.stage(_met_in_blocks(sets, blocks, block_pairs, scratch, percent, block_rows, block_tokens), "jaccard-inside")
+        inside = _met_in_blocks(sets, blocks, reach, scratch, percent, block_rows, block_tokens)
         scratch.drop("jaccard-sets", "jaccard-pairs")
         edges = links.unionByName(inside.where("uid <> root").select(F.col("root").alias("u"), F.col("uid").alias("v")))
         labels = component_labels(edges, scratch)

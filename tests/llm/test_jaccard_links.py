@@ -71,3 +71,33 @@ def test_texts_with_and_without_a_common_ending(spark, size, percent, n, words,
     got = jaccard.link_groups(df, size, percent)
     assert sorted(map(tuple, got.select("doc_id", "links").collect())) == want
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == sorted(groups_of(rows, size, percent))
+
+
+def test_sets_are_dealt_only_where_they_can_have_links(spark, monkeypatch):
+    """Half of each text is the beginning of a common one: texts go to the blocks of like size, not to all that share it."""
+    rng = random.Random(8)
+    common = [f"start{k}" for k in range(700)]
+    rows = []
+    for k in range(150):
+        own = [f"w{rng.randrange(50_000)}" for _ in range(int(8 * 1.03**k))]
+        own = common[: len(own)] + own
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own, "end"]))]
+    want = links_of(rows, 3, 90)
+    assert sum(links for _, links in want) > len(rows) // 2
+    dealt = spark.sparkContext.accumulator(0)
+    links_in = jaccard._links_in
+
+    def counting(percent):
+        run = links_in(percent)
+
+        def counted(pdf):
+            dealt.add(len(pdf))
+            return run(pdf)
+
+        return counted
+
+    monkeypatch.setattr(jaccard, "_links_in", counting)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.link_groups(df, 3, 90, block_rows=20)
+    assert sorted(map(tuple, got.select("doc_id", "links").collect())) == want
+    assert 0 < dealt.value <= 4 * len(rows)
