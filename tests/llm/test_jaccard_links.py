@@ -101,3 +101,16 @@ def test_sets_are_dealt_only_where_they_can_have_links(spark, monkeypatch):
     got = jaccard.link_groups(df, 3, 90, block_rows=20)
     assert sorted(map(tuple, got.select("doc_id", "links").collect())) == want
     assert 0 < dealt.value <= 4 * len(rows)
+
+
+@pytest.mark.parametrize("size, percent, seed", [(3, 90, 1), (3, 50, 3)])
+def test_links_in_several_rounds(spark, monkeypatch, size, percent, seed):
+    monkeypatch.setattr(jaccard, "DEALT", 0)
+    rounds = []
+    stage = jaccard.Scratch.stage
+    monkeypatch.setattr(jaccard.Scratch, "stage", lambda self, df, name: (rounds.append(name), stage(self, df, name))[1])
+    rows = made(250, seed)
+    got = jaccard.link_groups(spark.createDataFrame(rows, "doc_id long, text string"), size, percent, pair_rows=4, block_rows=10, block_tokens=500)
+    assert sorted(map(tuple, got.select("doc_id", "links").collect())) == links_of(rows, size, percent)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == sorted(groups_of(rows, size, percent))
+    assert sum(name.startswith("jaccard-inside") for name in rounds) > 1
